@@ -25,12 +25,36 @@ def _positions(digest: Column, bits: int) -> list[Column]:
 def repeat_filter(hashed: DataFrame, digest: str, bits: int) -> DataFrame:
     """First pass: a Bloom filter of the positions that two or more rows set, as (chunk, bitmap) rows of 4 KB."""
     at = hashed.select(F.explode(F.array(*_positions(F.col(digest), bits))).alias("bit"))
-    twice = at.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return twice.groupBy((F.col("bit") / _CHUNK).cast("long").alias("chunk")).agg(
+    return _bitmaps(at.groupBy("bit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+
+
+def member_filter(hashed: DataFrame, digest: str, bits: int) -> DataFrame:
+    """A plain Bloom filter of the digests, in the same form."""
+    return _bitmaps(hashed.select(F.explode(F.array(*_positions(F.col(digest), bits))).alias("bit")))
+
+
+def _bitmaps(positions: DataFrame) -> DataFrame:
+    return positions.groupBy((F.col("bit") / _CHUNK).cast("long").alias("chunk")).agg(
         F.bitmap_construct_agg(F.pmod("bit", F.lit(_CHUNK))).alias("bitmap")
     )
 
 
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """docs without the rows whose keys are in dropped (a stored frame with the same key columns; null equals null).
+    Only rows that a Bloom filter of dropped lets through are joined; the rest pass straight through."""
+    n = dropped.count()
+    if not n:
+        return docs
+    columns, bits = docs.columns, filter_bits(n)
+    digest, flag = (next(x for x in (f"{a}{'_' * i}" for i in range(99)) if x not in columns) for a in ("digest", "possible"))
+    seen = stored(member_filter(dropped.withColumn(digest, F.xxhash64(*keys)), digest, bits), "dropped")
+    flagged = flag_possible(docs.withColumn(digest, F.xxhash64(*keys)), digest, seen, bits, flag)
+    gone = dropped.select(*(F.col(k).alias(f"{flag}_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"{flag}_{k}")) for k in keys]
+    stay = flagged.filter(flag).join(gone, same, "left_anti")
+    return flagged.filter(~F.col(flag)).select(columns).unionByName(stay.select(columns))
+
+
 def _is_set(bitmap: Column, bit: Column) -> Column:
     within = F.pmod(bit, F.lit(_CHUNK)).cast("int")
     octet = F.conv(F.hex(F.substring(bitmap, (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

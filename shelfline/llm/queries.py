@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_dedup, media, piece_codec, token_counts, token_store
+from . import bloom_dedup, media, piece_codec, simhash, token_counts, token_store
 
 #: Where the public tokenizers lie; a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,11 +32,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(_table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_exact_dedup, op4_media_columns, op7_token_counts, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_exact_dedup, op4_media_columns, op7_token_counts, op8_simhash, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
