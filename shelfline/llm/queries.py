@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_dedup, media, piece_codec, simhash, token_counts, token_store
+from . import bloom_dedup, media, mixing, piece_codec, quality, simhash, token_counts, token_store, toxicity
 
 #: Where the public tokenizers lie; a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_rows(_table(spark, sf_dir, "documents"), WORD_BPE, 2)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.decide(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.encode_media(_table(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), PIECE_BPE)
 
@@ -36,11 +44,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(_table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_exact_dedup, op4_media_columns, op7_token_counts, op8_simhash, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_exact_dedup, op4_media_columns, op6_mixing, op7_token_counts, op8_simhash, op9_toxicity, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
