@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_dedup, media, mixing, piece_codec, quality, simhash, token_counts, token_store, toxicity
+from . import bloom_dedup, media, mixing, piece_codec, quality, simhash, substring_dedup, token_counts, token_store, toxicity
 
 #: Where the public tokenizers lie; a parameter of the operators.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.encode_media(_table(spark, sf_dir, "documents")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -52,7 +56,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(_table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_exact_dedup, op4_media_columns, op6_mixing, op7_token_counts, op8_simhash, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality, op3_exact_dedup, op4_media_columns, op5_substring_dedup, op6_mixing, op7_token_counts, op8_simhash, op9_toxicity, op10_sentencepiece)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
@@ -60,4 +64,17 @@ ORACLE_SQL = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op5_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             s AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS win
+                   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+             r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM s)
+                   WHERE k > 1),
+             gone AS (SELECT DISTINCT doc_id, i + j AS at FROM r, (SELECT unnest(range(0, 20)) AS j)),
+             word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS at FROM w),
+             kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.at) AS t, count(*) AS n
+                      FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.at = gone.at GROUP BY word.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
 }
