@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,12 +178,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: st
     w, bias, slope, intercept = model.weights.astype(np.float32), model.bias, model.slope, model.intercept
 
     @F.pandas_udf("double")
-    def judged(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def judged(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             margins = np.array([w[x].sum(dtype=np.float64) + bias for x in _documents(part.tolist())])
             yield pd.Series(probability(margins, slope, intercept), dtype="float64")
 
-    judged.func.__annotations__.clear()
     return docs.withColumn(column, judged(text_of(text_col))).filter(F.col(column) >= threshold).drop(column)
