@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def ratio(top: Column, bottom: Column, digits: int) -> Column:
     """top / bottom rounded half to even; 0 where the bottom is not positive."""
-    return F.when(bottom > 0, F.bround(top / bottom, digits)).otherwise(F.lit(0.0))
+    return F.coalesce(ratio_or_null(top, bottom, digits), F.lit(0.0))
 
 
 def ratio_or_null(top: Column, bottom: Column, digits: int) -> Column:
