@@ -80,16 +80,14 @@ class Recent:
         """A dict that has at least the given words."""
         if len(self.now) > self.words or self.held > self.chars:
             self.before, self.now, self.held = self.now, {}, 0
-        now, before, missing = self.now, self.before, []
-        for w in words:
-            if w not in now:
-                if w in before:
-                    now[w] = before[w]
-                else:
-                    missing.append(w)
-                self.held += len(w)
+        now, before = self.now, self.before
+        missing = words.difference(now)
         if missing:
-            now.update(zip(missing, self.make(missing)))
+            self.held += sum(map(len, missing))
+            again = missing.intersection(before)
+            now.update((w, before[w]) for w in again)
+            new = list(missing.difference(again))
+            now.update(zip(new, self.make(new)))
         return now
 
 

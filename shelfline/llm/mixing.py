@@ -162,7 +162,8 @@ def _drawn(placed: DataFrame, sizes: list[int], goals: list[int], block: int, se
         .select("sid", "begin", "block", F.greatest("begin", F.col("block") * block).alias("lo"), F.least(end, (F.col("block") + 1) * block).alias("hi"))
     )
     hi = F.least("hi", F.col("block") * block + F.col("most"))
-    return pieces.join(slots, ["sid", "block"]).select("shard", "slot", "sid", "begin", (F.col("lo") - F.col("begin")).alias("first"), (hi - F.col("lo")).alias("words")).filter("words > 0")
+    # the planner can't tell how many slots the draws expand to, so it's told to shuffle them
+    return pieces.join(slots.hint("merge"), ["sid", "block"]).select("shard", "slot", "sid", "begin", (F.col("lo") - F.col("begin")).alias("first"), (hi - F.col("lo")).alias("words")).filter("words > 0")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK_WORDS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

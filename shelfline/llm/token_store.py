@@ -31,21 +31,66 @@ _encoders: dict[str, Recent] = {}
 
 
 def _word_ids(path: str) -> Recent:
-    """Ids of words by the tokenizers library, as little-endian 16-bit or 32-bit bytes, for recent words of this worker."""
+    """Ids of words by the tokenizers library, as little-endian 16-bit or 32-bit bytes, for recent words of this worker.
+
+    Words of letters only are one pre-token each, so that many are encoded as one text and cut where a token ends a
+    word; all others are encoded one by one."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
         kind = id_type(path)
+        vocabulary = library.get_vocab()
+        ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            ends_word[i] = token.endswith("</w>")
 
-        def encode(words: list[str]):
-            return [np.array(x.ids, kind).tobytes() for x in library.encode_batch_fast(words, add_special_tokens=False)]
+        if library.encode("Ab, c.", add_special_tokens=False).ids != [i for x in ("ab", ",", "c", ".") for i in library.encode(x, add_special_tokens=False).ids]:
+            raise ValueError("expected a tokenizer that drops white space, lower-cases and parts words from marks")
 
-        _encoders[path] = Recent(encode)
+        def encode(words: list[str]):
+            got = dict.fromkeys(words, b"")
+            plain = [w for w in words if w.isalpha()]
+            ids = np.array(library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, kind)
+            ends = (np.flatnonzero(ends_word[ids]) + 1) * ids.itemsize
+            if len(ends) == len(plain):
+                data = ids.tobytes()
+                for w, begin, end in zip(plain, [0, *ends.tolist()], ends.tolist()):
+                    got[w] = data[begin:end]
+                words = [w for w in words if w and not w.isalpha()]
+            for w, x in zip(words, library.encode_batch_fast(words, add_special_tokens=False)):
+                got[w] = np.array(x.ids, kind).tobytes()
+            return got.values()
+
+        _encoders[path] = Recent(encode, words=500_000, chars=8_000_000)
     return _encoders[path]
 
 
+def _spaced(text: str, mark: str) -> str:
+    """A space before each mark where all marks follow letters, digits or spaces: the tokenizer parts them there anyway."""
+    parts = text.split(mark)
+    fits = len(parts) > 1 and all(p and (p[-1].isalnum() or p[-1] == " ") for p in parts[:-1])
+    return f" {mark}".join(parts) if fits else text
+
+
+def _units(text: str) -> list[str]:
+    """Parts of a text that the tokenizer encodes by themselves; it drops white space and lower-cases, so line ends count
+    as spaces, and texts of Latin-1 without special tokens are lower-cased for fewer distinct parts."""
+    text = text.replace("\n", " ")
+    if "<|" not in text and _is_latin(text):
+        text = text.lower()
+    return _spaced(_spaced(text, "."), ",").split(" ")
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def id_type(path: str) -> str:
     from tokenizers import Tokenizer
 
@@ -141,10 +186,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for rows in chunks(texts):
-                words = [[w for w in texts[i].replace("\n", " ").split(" ") if w] for i in rows]
+                words = [_units(texts[i]) for i in rows]
                 known = cache.learn(set().union(*words))
                 for i, doc in zip(rows, words):
-                    payload = b"".join([known[w] for w in doc]) + end
+                    payload = b"".join(map(known.__getitem__, doc)) + end
                     keys.append(ids[i])
                     payloads.append(payload)
                     held += len(payload)
