@@ -7,8 +7,8 @@ their hashes, the first of them stays. Where segments of a minimizer differ, the
 segments are the reference of a suffix automaton: each segment is streamed through it for matching statistics, its
 spans of 20 or more matching words are marked, and it joins the reference.
 
-So a reference shard holds the repeated passages of one minimizer instead of a part of the corpus that would have to
-be sent to every task: nothing that grows with the data is broadcast."""
+So a reference shard holds passages that share 17 words instead of a part of the corpus that would have to be sent to
+every task: nothing that grows with the data is broadcast."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bloom_dedup import filter_bits, flag_possible, member_filter
 from .common import chunks, partitions, stored, text_of
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM, OFFSETS = 20, 6, 4
 #: Segments that a task holds before it passes them on.
 AT_ONCE = 1_000_000
 _B = 0x9E3779B97F4A7C15 | 1
@@ -60,6 +60,13 @@ def _leftmost_least(m: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+def _orders(hashes: np.ndarray) -> np.ndarray:
+    """The order of minimizers: a mixed hash of the gram that begins at each word."""
+    with np.errstate(over="ignore"):
+        g2 = _joined(hashes, hashes, 1, 1)
+        return _mixed(_joined(_joined(g2, g2, 2, 2), g2, 4, 2))
+
+
 def segments(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of documents' word hashes one after another, begins[i] being where document i begins (and a last entry, the end):
     minimizer hash, content hash, document, first window, number of windows of all segments."""
@@ -68,10 +75,9 @@ def segments(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):
         g2 = _joined(hashes, hashes, 1, 1)
         g4 = _joined(g2, g2, 2, 2)
-        g6 = _joined(g4, g2, 4, 2)
         g8 = _joined(g4, g4, 4, 4)
         g20 = _joined(_joined(g8, g8, 8, 8), g4, 16, 4)
-        order = _mixed(g6)
+        order = _orders(hashes)
         place = _leftmost_least(order, WINDOW - GRAM + 1)
         document = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
         room = begins[1:][document] - np.arange(len(hashes))
@@ -202,54 +208,95 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of segments by minimizer: repeats of a content are sure; first ones of a minimizer with several
-    contents are asked for their words."""
-    parts = []
+    """Segments sorted by minimizer, content, document and place: repeats of a content are sure; first ones of a
+    minimizer with several contents are asked for their words. Besides a batch only two rows are held."""
+    before: list | None = None  # the row before the batch
+    alone: list | None = None  # the first row of a minimizer that has one content so far
     for batch in batches:
-        sure = np.asarray(batch.column(0)) == _SURE
         columns = [batch.column(i).to_numpy() for i in range(6)]
+        sure = columns[0] == _SURE
         if sure.any():
             yield _rows(**{c: x[sure] for c, x in zip(_ROW, columns)})
-        parts.append([x[~sure] for x in columns[1:]])
-    if not parts:
-        return
-    m, c, k, f, n = (np.concatenate(x) for x in zip(*parts))
-    order, lead, same = _firsts(m, c, k, f)
-    order, lead = order[~same], lead[~same]
-    group = np.cumsum(np.r_[True, m[order][1:] != m[order][:-1]]) - 1 if len(order) else order
-    mixed = np.bincount(group, lead)[group] > 1 if len(order) else lead
-    keep = ~lead | mixed
-    order, lead = order[keep], lead[keep]
-    for at in range(0, len(order), 100_000):
-        part, ask = order[at : at + 100_000], lead[at : at + 100_000]
-        yield _rows(kind=np.where(ask, _ASK, _SURE), route=m[part], content=c[part], key=k[part], first=f[part], n=n[part])
+            columns = [x[~sure] for x in columns]
+        size = len(columns[0])
+        if not size:
+            continue
+        kind, m, c, k, f, n = columns
+        last = before or [0, ~m[0], c[0], k[0], f[0], n[0]]
+        changed = [x != np.r_[y, x[:-1]] for x, y in zip((m, c, k, f), last[1:5])]
+        opens, lead, fresh = changed[0], changed[0] | changed[1], changed[0] | changed[1] | changed[2] | changed[3]
+        # a minimizer's second content calls for its first one too
+        second = lead & ~opens
+        where = np.maximum.accumulate(np.where(opens, np.arange(size), -1))  # its opening row, -1: before this batch
+        wanted = np.zeros(size, bool)
+        wanted[where[second & (where >= 0)]] = True
+        if alone is not None and (second & (where < 0)).any():
+            yield _rows(**{c: np.array([x]) for c, x in zip(_ROW, [_ASK, *alone[1:]])})
+            alone = None
+        ask = second | wanted
+        keep = ask | (fresh & ~lead)
+        yield _rows(kind=np.where(ask, _ASK, _SURE)[keep], route=m[keep], content=c[keep], key=k[keep], first=f[keep], n=n[keep])
+        before = [x[-1] for x in columns]
+        if opens.any():
+            at = where[-1]
+            alone = None if wanted[at] else [x[at] for x in columns]
 
 
 _SCHEMA = "kind byte, route long, content long, key long, first int, n int"
 
 
+def shards_of(hashes: np.ndarray, place: np.ndarray, first: int, n: int) -> Iterator[tuple[int, int, int]]:
+    """A segment's reference shards: (shard, first window, number of windows). Windows in which as many words precede
+    the minimizer, up to OFFSETS - 1, go together, by all words that each of them must have: 17 or 18 of 20. So a
+    short phrase that is frequent in many contexts makes many shards, not a large one."""
+    p = int(place[first])
+    for ahead in range((p - first - n + 1) // OFFSETS * OFFSETS, p - first + 1, OFFSETS):
+        most = min(ahead + OFFSETS - 1, WINDOW - GRAM)
+        lo, hi = max(first, p - most), min(first + n - 1, p - ahead)
+        shard = xxhash.xxh3_64_intdigest(hashes[p - ahead : p + WINDOW - most].tobytes(), ahead)
+        yield shard - (1 << 64) if shard >> 63 else shard, lo, hi - lo + 1
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, texts, asked = (batch.column(i).to_pylist() for i in range(3))
         out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["route", "key", "first", "words"])
+            out.clear()
+            return made
+
         for key, text, wanted in zip(keys, texts, asked):
             hashes = word_hashes(text.encode().split())
-            out += [(x["route"], key, x["first"], hashes[x["first"] : x["first"] + x["n"] + WINDOW - 1].tobytes()) for x in wanted]
-        for at in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 50_000]), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["route", "key", "first", "words"])
+            place = _leftmost_least(_orders(hashes), WINDOW - GRAM + 1)
+            for x in wanted:
+                for shard, lo, n in shards_of(hashes, place, x["first"], x["n"]):
+                    out.append((shard, key, lo, hashes[lo : lo + n + WINDOW - 1].tobytes()))
+                if len(out) >= 50_000:
+                    yield rows()
+        if out:
+            yield rows()
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by minimizer, document and place: each against the automaton of those before it."""
-    shard, reference, before = None, Automaton(), None
+    """Segments sorted by shard, document and place: each against the automaton of those before it. The automaton is
+    begun when a shard's second segment comes."""
+    shard, reference, before, waiting = None, Automaton(), None, []
     for batch in batches:
         out: list[tuple] = []
         for route, key, first, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if route != shard:
-                shard, reference, before = route, Automaton(), None
+                shard, before, waiting = route, (key, first), [words]
+                if len(reference.next) > 1:
+                    reference = Automaton()
+                continue
             if (key, first) == before:
                 continue
             before = (key, first)
+            for x in waiting:
+                reference.add(np.frombuffer(x, np.uint64).tolist())
+            waiting = []
             sequence = np.frombuffer(words, np.uint64).tolist()
             repeated = [length >= WINDOW for length in reference.matching(sequence)[WINDOW - 1 :]]
             begin = None
@@ -260,7 +307,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((key, first + begin, i - begin))
                     begin = None
             if not all(repeated):
-                reference.add(sequence)
+                waiting = [words]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], ["key", "first", "n"])
 
@@ -269,7 +316,7 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
     """Stored (key, first, n): n consecutive windows from word `first` on of document `key` also start earlier."""
     spark = keyed.sparkSession
     n = partitions(spark)
-    met = stored(keyed.select("key", "text").mapInArrow(_cut, _SCHEMA).repartition(n, "route").mapInArrow(_meet, _SCHEMA).select("kind", "route", "key", "first", "n"), "segments")
+    met = stored(keyed.select("key", "text").mapInArrow(_cut, _SCHEMA).repartition(n, "route").sortWithinPartitions("route", "content", "key", "first").mapInArrow(_meet, _SCHEMA).select("kind", "route", "key", "first", "n"), "segments")
     asked = stored(met.filter(F.col("kind") == _ASK).groupBy("key").agg(F.collect_list(F.struct("route", "first", "n")).alias("asked")), "asked")
     words = _with(keyed, asked, "asked", inner=True).select("key", "text", "asked").mapInArrow(_fetch, "route long, key long, first int, words binary")
     streamed = words.repartition(n, "route").sortWithinPartitions("route", "key", "first").mapInArrow(_stream, "key long, first int, n int")

@@ -244,3 +244,29 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 100 for i in range(100, 401)}, **{i: 1000 for i in range(1000, 1300)}}
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7])
+def test_meeting_segments_does_not_depend_on_batches(step):
+    import pyarrow as pa
+
+    rng = random.Random(step)
+    rows = sorted((2 if rng.random() < 0.9 else 0, rng.randrange(12), rng.randrange(3), rng.randrange(6), rng.randrange(2), 1) for _ in range(80))
+    rows.sort(key=lambda r: r[1:5])
+
+    def met(size):
+        parts = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + size]), substring_dedup._ROW.values())], list(substring_dedup._ROW)) for i in range(0, len(rows), size)]
+        return Counter(tuple(r.values()) for b in substring_dedup._meet(iter(parts)) for r in b.to_pylist())
+
+    got = met(step)
+    assert got == met(1000)
+    firsts = [r for r in rows if r[0] == 2]
+    contents = defaultdict(set)
+    for _, m, c, *_ in firsts:
+        contents[m].add(c)
+    first_of = {}
+    for r in firsts:
+        first_of.setdefault(r[1:3], r[3:5])
+    asked = {(m, c, *first_of[m, c]) for m, cs in contents.items() if len(cs) > 1 for c in cs}
+    assert {tuple(list(k)[1:5]) for k in got if k[0] == 1} == asked
+    assert sum(n for k, n in got.items() if k[0] == 0) == sum(r[0] == 0 for r in rows) + len({r[1:5] for r in firsts}) - len(first_of)
