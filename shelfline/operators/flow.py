@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import AGE_BUCKETS, age_bucket, ratio, ratio_or_null, week_ending_sunday
 
-_ZERO = F.lit(0).cast("long")
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def metrics(orders: DataFrame, items: DataFrame) -> DataFrame:
@@ -15,11 +18,11 @@ def metrics(orders: DataFrame, items: DataFrame) -> DataFrame:
     open_, closed = F.col("status") == "OPEN", F.col("status") == "CLOSED"
     head = orders.agg(
         F.count(F.lit(1)).alias("orders"), F.count_if(open_).alias("open_orders"), F.count_if(closed).alias("closed_orders"), F.count_if("is_overdue").alias("overdue_orders"),
-        F.coalesce(F.sum("qty_ordered"), _ZERO).alias("qty_ordered"), F.coalesce(F.sum("qty_fulfilled"), _ZERO).alias("qty_fulfilled"),
+        F.coalesce(F.sum("qty_ordered"), _zero()).alias("qty_ordered"), F.coalesce(F.sum("qty_fulfilled"), _zero()).alias("qty_fulfilled"),
         F.sum(F.when(closed, F.col("lead_time_days"))).alias("lead_sum"), F.median(F.when(closed, F.col("lead_time_days"))).alias("median_lead_days"),
         F.count_if(closed & (F.col("lead_time_days") <= F.col("sla_days"))).alias("on_time"),
     )
-    line = items.agg(F.count(F.lit(1)).alias("items"), *(F.count_if(F.col("fill_status") == s).alias(f"{s.lower()}_items") for s in ("FULL", "PARTIAL", "NIL")), F.coalesce(F.sum("outstanding_qty"), _ZERO).alias("outstanding_qty"), F.coalesce(F.sum("value_outstanding_cents"), _ZERO).alias("value_outstanding_cents"))
+    line = items.agg(F.count(F.lit(1)).alias("items"), *(F.count_if(F.col("fill_status") == s).alias(f"{s.lower()}_items") for s in ("FULL", "PARTIAL", "NIL")), F.coalesce(F.sum("outstanding_qty"), _zero()).alias("outstanding_qty"), F.coalesce(F.sum("value_outstanding_cents"), _zero()).alias("value_outstanding_cents"))
     return head.join(F.broadcast(line)).select(  # one row each
         "orders", "open_orders", "closed_orders", "overdue_orders", "items", "full_items", "partial_items", "nil_items", "qty_ordered", "qty_fulfilled", "outstanding_qty", "value_outstanding_cents",
         ratio(F.col("qty_fulfilled"), F.col("qty_ordered"), 4).alias("fulfilment_rate"), ratio_or_null(F.col("lead_sum"), F.col("closed_orders"), 2).alias("mean_lead_days"), "median_lead_days",
@@ -31,7 +34,7 @@ def stage_funnel(orders: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     """Counts of the given stages in their order, zeros kept."""
     counts = orders.groupBy("stage").agg(F.count(F.lit(1)).alias("orders"), F.sum("outstanding_qty").alias("outstanding_qty"))
     every = orders.sparkSession.createDataFrame(list(enumerate(stages)), "ord int, stage string")
-    return F.broadcast(every).join(counts, "stage", "left").select("ord", "stage", F.coalesce("orders", _ZERO).alias("orders"), F.coalesce("outstanding_qty", _ZERO).alias("outstanding_qty"))
+    return F.broadcast(every).join(counts, "stage", "left").select("ord", "stage", F.coalesce("orders", _zero()).alias("orders"), F.coalesce("outstanding_qty", _zero()).alias("outstanding_qty"))
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def ageing(orders: DataFrame) -> DataFrame:
     """Open orders by age, a null age as 0, empty buckets kept."""
     counts = orders.filter("status = 'OPEN'").groupBy(age_bucket(F.coalesce("age_days", F.lit(0))).alias("bucket")).agg(F.count(F.lit(1)).alias("orders"), F.sum("outstanding_qty").alias("outstanding_qty"))
     every = orders.sparkSession.createDataFrame([(b,) for b in AGE_BUCKETS], "bucket string")
-    return F.broadcast(every).join(counts, "bucket", "left").select("bucket", F.coalesce("orders", _ZERO).alias("orders"), F.coalesce("outstanding_qty", _ZERO).alias("outstanding_qty"))
+    return F.broadcast(every).join(counts, "bucket", "left").select("bucket", F.coalesce("orders", _zero()).alias("orders"), F.coalesce("outstanding_qty", _zero()).alias("outstanding_qty"))
 
 
 def ageing_by_group(orders: DataFrame, group: str) -> DataFrame:
