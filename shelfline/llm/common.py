@@ -70,7 +70,7 @@ class Recent:
     """What was computed for recent distinct words, in two generations so that memory stays bounded: when the new
     one is full it becomes the old one, and what is used again moves on."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable], words: int = 250_000, chars: int = 4_000_000):
+    def __init__(self, make: Callable[[list[str]], Iterable], words: int = 100_000, chars: int = 2_000_000):
         self.make, self.words, self.chars = make, words, chars
         self.now: dict = {}
         self.before: dict = {}

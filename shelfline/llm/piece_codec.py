@@ -26,7 +26,7 @@ def _words(model: str) -> Recent:
             for ids in known.ids(marked(words)):
                 yield ",".join(map(str, ids)), len(ids), known.decoded(ids)
 
-        _recent[model] = Recent(make, words=150_000)
+        _recent[model] = Recent(make, words=60_000, chars=1_500_000)
     return _recent[model]
 
 

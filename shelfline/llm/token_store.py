@@ -63,7 +63,7 @@ def _word_ids(path: str) -> Recent:
                 got[w] = np.array(x.ids, kind).tobytes()
             return got.values()
 
-        _encoders[path] = Recent(encode, words=500_000, chars=8_000_000)
+        _encoders[path] = Recent(encode, words=150_000, chars=4_000_000)
     return _encoders[path]
 
 
