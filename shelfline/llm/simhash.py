@@ -7,7 +7,7 @@ every pair within the radius meets in one of 2**(radius + 1) - 1 tables, with ce
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,12 +100,12 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return small.union(large)
 
 
-def _classes(rows: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, int]:
+def _classes(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, int]:
     """Of stored fingerprint rows: a row for each fingerprint with the root it reaches, its documents' number and
     smallest (doc_id, tie); a row for each root with the smallest of all; and the number of rows."""
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tie")))
     distinct = stored(rows.groupBy("print").agg(F.count(F.lit(1)).alias("copies"), least.alias("first")), "prints")
-    roots = connected_components(links(distinct, radius))
+    roots = connected_components(link(distinct))
     by_print = stored(
         distinct.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted"
     )
@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     its row links others; a component of null doc_ids only has component_id null. Repeated rows give repeated results,
     an empty table an empty one."""
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    by_print, tops, n = _classes(rows, radius)
+    by_print, tops, n = _classes(rows, lambda prints: links(prints, radius))
     table = stored(attach(by_print, tops, "root", "prints", by_print.count()).select("print", "copies", F.col("top.doc_id").alias("component_id")), "classes")
     named = attach(rows, table, "print", "copies", n)
     return named.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -132,7 +132,13 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str
     hash. Rows equal in both are one document and stay or go together. Rows with a null doc_id stay, as nothing names
     them."""
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    by_print, tops, n = _classes(rows, radius)
+    return keep_one(docs, rows, lambda prints: links(prints, radius), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, rows: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """docs with one document of each component that link makes of the distinct values of print; rows: doc_id, tie and
+    print of docs, stored."""
+    by_print, tops, n = _classes(rows, link)
     table = stored(attach(by_print, tops, "root", "prints", by_print.count()).filter("docs > 1").select("print", "copies", "top"), "classes")
     grouped = attach(rows, table, "print", "copies", n).filter("top is not null and doc_id is not null")
     dropped = stored(grouped.filter(F.struct("doc_id", "tie") != F.col("top")).select("doc_id", "tie").distinct(), "near_copies")
