@@ -20,6 +20,8 @@ from .common import partitions, stored, text_of
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK_WORDS, SHARD_BLOCKS, MOST_SHARDS, ROUNDS = 256, 4096, 4096, 4
+#: Of the hash that rounds a document's times; apart from the draws' seed.
+ROUND_SEED = 23
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -186,13 +188,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     return rows.join(F.broadcast(facts), "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source", "tie")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", on_average: bool = False, **how) -> DataFrame:
     """docs as the mix has them, all columns kept: each row as often as its words are taken, to the nearest whole number
-    (half counts up). What is taken less than half is left out. Texts without words are left out."""
+    (half counts up). What is taken less than half is left out. Texts without words are left out.
+
+    The nearest number is one-sided for long documents, all of which are taken at about their source's ratio. With
+    on_average the fraction is the chance of one more time, by a hash of (doc_id, tie) and ROUND_SEED, so that a source's
+    words are expected to be those taken. Rows equal in doc_id, text and source have one number."""
     columns = docs.columns
     new = {a: next(x for x in (f"{a}{'_' * i}" for i in range(99)) if x not in columns) for a in ("key", "tie", "times")}
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    ratio = F.col("taken") / F.col("size")
+    drawn = F.xxhash64(F.lit(ROUND_SEED), "doc_id", "tie").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    times = (F.floor(ratio) + F.when(drawn < ratio - F.floor(ratio), 1).otherwise(0) if on_average else F.floor(ratio + 0.5)).cast("int")
     plan = plan.filter("size > 0").groupBy("doc_id", "tie", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).select(F.col("doc_id").alias("k"), F.col("tie").alias("t"), F.col("source").alias("s"), times.alias(new["times"])).filter(F.col(new["times"]) > 0)
     keyed = docs.withColumn(new["key"], F.col(id_col).cast("long")).withColumn(new["tie"], F.xxhash64(text_of(text_col)))
     same = F.col(new["key"]).eqNullSafe(F.col("plan.k")) & (F.col(new["tie"]) == F.col("plan.t")) & F.col(f"docs.{source_col}").eqNullSafe(F.col("plan.s"))
