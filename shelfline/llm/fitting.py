@@ -15,16 +15,20 @@ def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, y) of at most `most` labelled rows outside of the held-out fold, the smallest by a hash of doc_id.
-    The ids are at most `most` rows of two columns, so they are broadcast and texts don't move."""
+    """(doc_id, text, y) of at most `most` labelled ids outside of the held-out fold, the smallest by a hash of doc_id;
+    an id with several labels has the largest. Of rows with one id the smallest text counts, so the bound holds for rows
+    too. The ids are at most `most` rows of two columns, so they are broadcast and only chosen texts move. Other columns
+    of docs and labels, of whatever name, are left behind first."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    given = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y"))
     chosen = (
-        labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(modulus, remainder, id_col))
-        .groupBy(F.col(id_col).alias("labelled"))
-        .agg(F.max(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("labelled"), "labelled")
+        given.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder))
+        .groupBy("doc_id")
+        .agg(F.max("y").cast("int").alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("labelled")).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[float, float]:

@@ -23,7 +23,6 @@ from .fitting import held_out, logistic, probability, training_sample
 WIDTH_BITS = 18
 #: The fit sees this many labelled rows at most.
 MOST_TRAINING = 8000
-_SHAPE_LENGTH = 16
 
 
 def shape(word: str) -> str:
@@ -34,8 +33,6 @@ def shape(word: str) -> str:
         if kind != last:
             out.append(kind)
             last = kind
-            if len(out) == _SHAPE_LENGTH:
-                break
     return "".join(out)
 
 
@@ -140,8 +137,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, remainder: int = 2, most: int = MOST_TRAINING) -> Model:
-    """Fits on a bounded sample of labelled rows outside of the held-out fold; its features are made on the executors,
-    and a bounded number of short arrays comes to the driver. Copies count once each."""
+    """Fits on at most `most` labelled rows outside of the held-out fold; its features are made on the executors, and
+    that many arrays come to the driver. Each row counts, also one whose text another row has; of rows with one doc_id
+    the smallest text does. Null texts count as empty; extra columns are not looked at; with no rows the score is 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +165,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 4, remainder: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
+    """doc_id, held_out, score, predicted for each row of docs: whole texts, null as empty, repeated rows repeated, an
+    empty table empty; extra columns are not looked at."""
     scored = score(docs, train(docs, labels, "quality", modulus, remainder))
     return scored.select("doc_id", held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-CLASHING = "digest possible keep_id group_size row tie key score print size sid times plan docs path kind n begin".split()
+CLASHING = "digest possible keep_id group_size row tie key score print size sid times plan docs path kind n begin y labelled part fold token y_ evidence".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 PASSAGE = " ".join(f"passage{i}" for i in range(60))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,6 +46,8 @@ def test_scores_of_odd_rows(request, labelled, kind):
     odd = request.getfixturevalue(kind)
     for model, rows in ((quality.train(docs, labels), quality.score), (toxicity.train(docs, labels), toxicity.find_passages)):
         assert Counter(r.doc_id for r in rows(odd, model).collect()) == Counter(d for d, _ in pairs_of(odd))
+    for train in (quality.train, toxicity.train):
+        train(odd, labels.union(labels.sparkSession.createDataFrame([(d, d % 2, d % 3 % 2) for d in range(1, 17)], labels.schema)))
     kept = quality.accepted(odd, quality.train(docs, labels), 0.0)
     assert kept.columns == odd.columns and Counter(pairs_of(kept)) == Counter(pairs_of(odd))
 
@@ -63,7 +66,7 @@ def test_labels_of_the_held_out_fold_change_nothing(spark, labelled):
     )
     same = labels.filter("quality in (0, 1) and toxic in (0, 1)")
     assert (quality.train(docs, turned).weights == quality.train(docs, same).weights).all()
-    assert toxicity.train(docs, turned).lexicon == toxicity.train(docs, same).lexicon
+    assert toxicity.train(docs, turned) == toxicity.train(docs, same)
 
 
 def test_dual_coordinate_descent_reaches_the_optimum():
@@ -84,11 +87,10 @@ def test_dual_coordinate_descent_reaches_the_optimum():
 
 def test_maximal_segments_against_their_definition():
     rng = random.Random(8)
-    for _ in range(200):
+    for _ in range(300):
         n = rng.randint(1, 14)
-        values = [rng.choice([-0.25, 0.5, 0.75, 2.0, -0.25, -0.25]) for _ in range(n)]
-        places = [(i, v) for i, v in enumerate(values) if v > 0]
-        got = toxicity.maximal_segments(places, n)
+        values = [rng.choice([-0.25, 0.5, 0.75, 2.0, -0.25, -0.25, -1.0]) for _ in range(n)]
+        got = toxicity.maximal_segments(np.array(values))
 
         def best(lo, hi):
             """The definition: the largest sum (shortest on ties) splits a stretch, and both sides go on."""
@@ -104,6 +106,83 @@ def test_maximal_segments_against_their_definition():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
 
 
+@pytest.mark.parametrize("gap", [-3.0, -1.0, -0.5])
+def test_segments_take_linear_time(gap):
+    def steps(hits):
+        scores, count = np.tile([1.0, gap, gap / 2], hits), [0]
+
+        def trace(frame, event, arg):
+            count[0] += event == "line"
+            return trace
+
+        sys.settrace(trace)
+        toxicity.maximal_segments(scores)
+        sys.settrace(None)
+        return count[0]
+
+    assert steps(8000) < 2.1 * steps(4000)
+
+
+def test_log_odds_by_their_rule():
+    parts = ["ab", "abc", "abcd\n", "xy", "xyz\n", "one"]
+    made = toxicity.log_odds(parts, np.array([30, 20, 9, 0, 0, 1]), np.array([10, 5, 1, 40, 3, 0]), (99, 899))
+    logit = lambda p: np.log(p / (1 - p))
+    two = (30 + 16 * 0.1) / 56
+    three = (20 + 16 * two) / 41
+    whole, other = (9 + 16 * three) / 25, 16 * 0.1 / 56
+    want = {"ab": two, "abc": three, "abcd\n": whole, "xy": other, "xyz\n": 16 * other / 19}
+    assert set(made) == set(want)  # one context isn't enough
+    assert all(abs(made[p] - (logit(x) - logit(0.1) - 1)) < 1e-9 for p, x in want.items())
+    known = toxicity.scorer(made)
+    got = known.learn({"abcd", "abce", "abx", "xyz", "qq"})
+    assert [got[t] for t in ("abcd", "abce", "abx", "xyz", "qq")] == [made["abcd\n"], made["abc"], made["ab"], made["xyz\n"], -1.0]
+
+
+def test_part_counts_against_brute_force(spark):
+    texts = [("Bad dog, bad dog", 1, 0), ("bad dog, good dog", 0, 1), ("badly done", 1, 2), ("badly done", 0, 3), ("", 1, 4), ("a\u4e2d" * 30, 0, 2)]
+    rows = toxicity.part_counts(spark.createDataFrame(texts, "text string, y int, fold int")).collect()
+    for f in range(6):
+        seen = defaultdict(set)
+        for text, y, fold in texts:
+            if fold != f:
+                doc = ["", *toxicity.tokens_of(text), ""]
+                for c in zip(doc, doc[1:], doc[2:]):
+                    seen[c].add(y)
+        want = defaultdict(lambda: [0, 0])
+        for (_, token, _), found in seen.items():
+            for part in [None, *toxicity.parts_of(token)]:
+                want[part][min(found)] += 1
+        for r in rows:
+            assert [r[f"other_{f}"], r[f"toxic_{f}"]] == want.get(r.part, [0, 0])
+        if f == 5:
+            assert {r.part for r in rows} == {p for p, n in want.items() if sum(n) > 1}
+
+
+def test_evidence_of_planted_passages(spark):
+    model = toxicity.Model({"vile\n": 3.0, "vil": 1.0}, 1.5, -2.0, 1.0, -3.0)
+    text = "calm words " * 20 + "vile vile villa vile " + "calm words " * 20 + "vile"
+    row = toxicity.find_passages(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    space = np.log(85) - 2.0
+    want = [(40, 43, 1.5 * 10.0 - space), (84, 84, 1.5 * 3.0 - space)]
+    assert [(p["first"], p["last"]) for p in row[0].passages] == [w[:2] for w in want]
+    assert np.allclose([p.evidence for p in row[0].passages], [w[2] for w in want]) and abs(row[0].evidence - sum(w[2] for w in want)) < 1e-9
+    assert row[1].passages == [] and row[1].evidence == 0
+
+
+def test_toxic_documents_of_every_language(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    judged = defaultdict(list)
+    for r in scored.select("lang", "toxic", "predicted").collect():
+        judged[r.lang, r.toxic].append(r.predicted)
+    assert set(judged) == {(lang, t) for lang in ("en", "de", "fr", "es") for t in (0, 1)}
+    for (lang, t), found in judged.items():
+        right = np.mean(np.array(found) == t)
+        # about one in fifteen of the toxic rows is junk with nothing toxic in it, one of the 15 German ones too
+        assert right >= (0.85 if t else 0.98), (lang, t, right)
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([100, 100, 100]) == [200.0, 83.33333333333333, 166.66666666666666]
     goals = mixing.targets([10, 1000, 1000, 5, 0])
