@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
 #: Payloads are filled up with spaces to a positive multiple of BLOCK bytes.
 BLOCK, RATE = 192, 8000
 #: Frames of a short-time Fourier transform, their distance, the peaks kept of a frame, and how many following frames
-#: a peak is paired with.
-FRAME, HOP, PEAKS, FAN = 192, 96, 2, 3
+#: the strongest peak is paired with.
+FRAME, HOP, PEAKS, FAN = 192, 96, 4, 2
 #: Frames transformed at once, which bounds memory whatever the length of the sound.
 FRAMES_AT_ONCE = 4096
 
@@ -42,7 +42,7 @@ def samples_of(media: bytes) -> bytes:
         return f.readframes(f.getnframes())
 
 
-_WINDOW = np.hanning(FRAME).astype(np.float32)
+_WINDOW = np.hamming(FRAME).astype(np.float32)
 
 
 def peaks(samples: bytes) -> np.ndarray:
@@ -53,6 +53,7 @@ def peaks(samples: bytes) -> np.ndarray:
     found = []
     for at in range(0, n, FRAMES_AT_ONCE):
         part = frames[at : at + FRAMES_AT_ONCE]
+        part = part - part.mean(axis=1, keepdims=True)  # else the level would hide what a short sound has
         spectrum = np.abs(np.fft.rfft(part * _WINDOW, axis=1)[:, 1:]).round(3)
         best = np.empty((len(part), PEAKS), np.int64)
         every = np.arange(len(part))
@@ -64,19 +65,19 @@ def peaks(samples: bytes) -> np.ndarray:
 
 
 def pair_codes(found: np.ndarray) -> np.ndarray:
-    """Time-coded pairs (frame << 32 | bin << 16 | other bin << 8 | frames between), in ascending order."""
-    codes = []
+    """Time-coded pairs (frame << 32 | bin << 16 | other bin << 8 | frames between), in ascending order: a frame's
+    strongest peak with its other ones, so that one frame alone has pairs, and with those of the FAN frames after it."""
     time = np.arange(len(found), dtype=np.int64)
+    codes = [(time << 32) | (found[:, 0] << 16) | (found[:, b] << 8) for b in range(1, PEAKS)]
     for gap in range(1, FAN + 1):
-        for a in range(PEAKS):
-            for b in range(PEAKS):
-                codes.append((time[:-gap] << 32) | (found[:-gap, a] << 16) | (found[gap:, b] << 8) | gap)
-    return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+        codes.append((time[:-gap] << 32) | (found[:-gap, 0] << 16) | (found[gap:, 0] << 8) | gap)
+    return np.sort(np.concatenate(codes))
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: each whole text's UTF-8 bytes, filled up with spaces to a positive multiple of 192, as a
-    WAV file. Null counts as empty."""
+    WAV file. Null counts as empty, so every row has one block at least; repeated rows are repeated, an empty table is
+    empty, extra columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,28 +88,30 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def read_media(media: DataFrame, with_codes: bool = False) -> DataFrame:
+def read_media(media: DataFrame) -> DataFrame:
     """Reads the media column back: payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes), media_bytes,
-    media_sha256, n_pairs and feature (a digest of the sound's peak pairs); with_codes adds the pairs themselves as an
-    array of long. Equal media give equal values."""
+    media_sha256 and codes (the sound's peak pairs, an array of long). Equal media give equal values; an empty table
+    gives an empty one; extra columns are not looked at."""
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "codes": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pairs", "feature")}
-            arrays = []
+            rows = []
             for item in batch.column(2):
                 data = item.as_py()
                 payload = samples_of(data)
-                codes = pair_codes(peaks(payload))
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), len(codes), hashlib.md5(codes.astype("<i8").tobytes()).hexdigest())
-                for values, value in zip(out.values(), row):
-                    values.append(value)
-                if with_codes:
-                    arrays.append(codes)
-            columns = {"doc_id": batch.column(0), "n_bytes": batch.column(1)} | {k: pa.array(v, pa.string() if k.endswith("sha256") or k == "feature" else pa.int64()) for k, v in out.items()}
-            if with_codes:
-                columns["codes"] = pa.array(arrays, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pairs long, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema + ", codes array<long>" * with_codes)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), pair_codes(peaks(payload))))
+            columns = {k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": batch.column(1)} | columns)
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codes array<long>"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def media_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the media of docs and then their codes to the shared folder, and returns what is read back, with n_pairs
+    and feature (a digest of the stored codes) in place of the codes. Rows as encode_media and read_media have them."""
+    media = stored(encode_media(docs, id_col, text_col), "media", "zstd")
+    read = stored(read_media(media), "fingerprints", "zstd")
+    digest = F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(i), "codes")), 16, "0") for i in range(2)))
+    return read.withColumn("n_pairs", F.size("codes").cast("long")).withColumn("feature", F.lower(digest)).drop("codes")

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by drawing fixed-length blocks of words.
 
 Each source's documents, in doc_id order, form one stream of words that is cut into blocks. An output shard draws how
-many blocks it takes of each source from a multinomial over what the sources still owe; slots of a source are numbered
+many blocks it takes of each source from a multinomial over the sources' targets; slots of a source are numbered
 through the shards, and a pseudorandom permutation of the source's block indices maps slots to blocks, a new one each
 time all blocks have been used. Slots and blocks meet in a join by index."""
 
@@ -10,16 +10,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stored, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
-BLOCK_WORDS, SHARD_BLOCKS, MOST_SHARDS, ROUNDS = 256, 4096, 4096, 4
+#: Words of a block, blocks of a shard, shards that are numbered at once, rounds of the permutation.
+BLOCK_WORDS, SHARD_BLOCKS, RUN_SHARDS, ROUNDS = 256, 4096, 4096, 4
+#: Sources are few by nature: weights go by their order. Their names and sizes come to the driver and are broadcast, so
+#: more than this many are refused.
+MOST_SOURCES = 100_000
 #: Of the hash that rounds a document's times; apart from the draws' seed.
 ROUND_SEED = 23
 
@@ -88,35 +91,53 @@ def slots_needed(size: int, goal: int, block: int, source: int, seed: int) -> tu
     return n, goal - words(n - 1)
 
 
-def shard_draws(needed: list[int], seed: int) -> pd.DataFrame:
-    """shard, source, first, n: for each shard a multinomial draw of its slots over the sources, with what each still
-    owes as probabilities and at most that; first numbers a source's slots through the shards."""
-    left = np.array(needed, np.int64)
-    total = int(left.sum())
-    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_BLOCKS)))
-    given, rows = np.zeros(len(left), np.int64), []
-    for shard in range(shards):
-        rng = np.random.default_rng([seed, shard])
-        open_, drawn = total * (shard + 1) // shards - total * shard // shards, np.zeros(len(left), np.int64)
-        while open_:
-            more = np.minimum(rng.multinomial(open_, left / left.sum()), left)
-            drawn += more
-            left -= more
-            open_ -= int(more.sum())
-        rows += [(shard, s, int(given[s]), int(n)) for s, n in enumerate(drawn) if n]
-        given += drawn
-    return pd.DataFrame(rows, columns=["shard", "sid", "first", "n"]).astype("int64")
+def shard_draws(spark: SparkSession, needed: list[int], seed: int) -> DataFrame:
+    """Stored rows shard, sid, first, n: how many of its slots each shard takes of each source, at most SHARD_BLOCKS, and
+    the first of them; first numbers a source's slots through the shards.
+
+    Shards draw by themselves, on the executors: a multinomial over the sources in proportion to what they need, from a
+    seed of their own. Draws beyond what a source needs fall away, and what its draws lack fills further shards in the
+    same way of numbering, so that every source has the slots it needs, whatever the draws."""
+    total = sum(needed)
+    shards = -(-total // SHARD_BLOCKS)
+    share = np.array(needed, np.float64) / max(1, total)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                size = min(SHARD_BLOCKS, total - shard * SHARD_BLOCKS)
+                drawn = np.random.default_rng([seed, shard]).multinomial(size, share / share.sum())
+                sid = np.flatnonzero(drawn)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), shard, np.int64)), pa.array(sid), pa.array(drawn[sid])], ["shard", "sid", "n"])
+
+    drawn = stored(spark.range(0, shards, 1, partitions(spark)).mapInArrow(draw, "shard long, sid long, n long"), "draws") if total else spark.createDataFrame([], "shard long, sid long, n long")
+    # slots are numbered in two steps, through the shards of a run and through the runs, so that no window is long
+    run = (F.col("shard") / RUN_SHARDS).cast("long")
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = drawn.groupBy("sid", run.alias("run")).agg(F.sum("n").alias("n"))
+    ahead = runs.select("sid", "run", F.coalesce(F.sum("n").over(before("sid", "run")), F.lit(0)).alias("ahead"))
+    numbered = drawn.withColumn("run", run).join(ahead, ["sid", "run"])
+    numbered = numbered.withColumn("first", F.col("ahead") + F.coalesce(F.sum("n").over(before("sid", "run", "shard")), F.lit(0)))
+    wanted = spark.createDataFrame([(i, int(n)) for i, n in enumerate(needed)], "sid long, needed long")
+    taken = numbered.join(F.broadcast(wanted), "sid").select("shard", "sid", "first", F.least("n", F.col("needed") - F.col("first")).alias("n")).filter("n > 0")
+    drawn_of = runs.groupBy("sid").agg(F.sum("n").alias("drawn"))
+    short = wanted.join(drawn_of, "sid", "left").select("sid", "needed", F.coalesce("drawn", F.lit(0)).alias("at")).filter("at < needed")
+    more = short.select("sid", "needed", F.explode(F.sequence("at", F.col("needed") - 1, F.lit(SHARD_BLOCKS).cast("long"))).alias("first"), "at")
+    further = more.select((F.lit(shards) + ((F.col("first") - F.col("at")) / SHARD_BLOCKS).cast("long")).alias("shard"), "sid", "first", F.least(F.lit(SHARD_BLOCKS).cast("long"), F.col("needed") - F.col("first")).alias("n"))
+    return stored(taken.unionByName(further), "shards")
 
 
 def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list]:
     """Stored rows (doc_id, tie, source, sid, size, begin), begin being where a document starts in its source's stream;
-    and the sources in order with their sizes. Sources are collected: one row each, up to some 100,000."""
+    and the sources in order with their sizes. Sources are collected, a row each; over MOST_SOURCES raise an error."""
     spark = docs.sparkSession
     rows = stored(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_of(text_col)).alias("tie")),
         "sizes",
     )
-    sources = rows.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.col("source").asc_nulls_last()).collect()
+    sources = rows.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.col("source").asc_nulls_last()).limit(MOST_SOURCES + 1).collect()
+    if len(sources) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     named = spark.createDataFrame([(r.source, i) for i, r in enumerate(sources)], "name string, sid long")
     dealt = stored(
         rows.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("name")))
@@ -139,7 +160,7 @@ def _drawn(placed: DataFrame, sizes: list[int], goals: list[int], block: int, se
     words (the span inside the document)."""
     spark = placed.sparkSession
     needed = [slots_needed(size, goal, block, i, seed) for i, (size, goal) in enumerate(zip(sizes, goals))]
-    draws = shard_draws([n for n, _ in needed], seed)
+    draws = shard_draws(spark, [n for n, _ in needed], seed)
     count = np.array([-(-s // block) for s in sizes], np.int64)
     last = np.array([n - 1 for n, _ in needed], np.int64)
     cut = np.array([c for _, c in needed], np.int64)
@@ -152,8 +173,7 @@ def _drawn(placed: DataFrame, sizes: list[int], goals: list[int], block: int, se
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard, sid, slot, index, limit)], ["shard", "sid", "slot", "block", "most"])
 
     slots = (
-        spark.createDataFrame(draws, "shard long, sid long, first long, n long")
-        .repartition(partitions(spark))
+        draws.repartition(partitions(spark))
         .select("shard", "sid", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
         .mapInArrow(to_blocks, "shard long, sid long, slot long, block long, most long")
     )
@@ -173,7 +193,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     Sources weigh `weights` in turn, by code point, null last. The words taken of a source are its target rounded to
     a whole word, since the last slot takes a part of its block; no document is taken more than ceil(most) times.
-    The draws depend on the seed and the data alone. Null texts and texts without words have size 0 and are never
+    The draws depend on the seed and the data alone. Long texts lie in many blocks. Null texts and texts without words have size 0 and are never
     taken; a null doc_id comes first; rows equal in doc_id and text are placed one after another; an empty table gives
     an empty result."""
     placed, sources = _streams(docs, id_col, text_col, source_col)

@@ -141,9 +141,21 @@ class Shard:
     def document(self, number: int) -> np.ndarray:
         return self.ids[self.ends[number] : self.ends[number + 1]]
 
-    def get(self, key: int) -> np.ndarray | None:
-        slot = self.index.slots(np.array([key], np.int64))[0]
-        return None if slot < 0 else self.document(self.numbers[slot])
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the documents with these keys by the index, all at once; -1 for keys that aren't there."""
+        slots = self.index.slots(keys)
+        return np.where(slots < 0, -1, self.numbers[np.maximum(slots, 0)].astype(np.int64)) if len(self.numbers) else slots
+
+    def numbered(self) -> np.ndarray:
+        """The number under which each stored key leads to its document: by the index, and by place for null keys and
+        for repeats of a key (they follow each other), which the index doesn't hold."""
+        found, again = np.arange(len(self.keys)), np.zeros(len(self.keys), bool)
+        again[1:] = (self.keys[1:] == self.keys[:-1]) & self.known[:-1]
+        asked = np.flatnonzero(self.known & ~again)
+        found[asked] = self.find(self.keys[asked])
+        if len(found) and found.min() < 0:
+            raise ValueError("a stored key is not in its shard's index")
+        return found
 
 
 def _put(folder: str, name: str, data: bytes) -> str:
@@ -160,7 +172,9 @@ def _put(folder: str, name: str, data: bytes) -> str:
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes whole texts (null: empty) without special tokens, appends end_id and writes shards in ascending doc_id
     order (null first; equal doc_ids by a hash of their texts). Returns the stored manifest: one row for each shard
-    of up to 64 MB. Each task encodes and writes one range of doc_ids and can be run again alone."""
+    of up to 64 MB (more only where one text alone has more), none for an empty table. Each task encodes and writes one
+    range of doc_ids and can be run again alone; there are spark.sql.shuffle.partitions ranges. Extra columns are not
+    looked at."""
     spark = docs.sparkSession
     n = partitions(spark)
     kind = id_type(tokenizer)
@@ -225,20 +239,23 @@ def _in_order(manifest: DataFrame) -> DataFrame:
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Reads the shard files back: doc_id, start (ids before it in all shards), n_tokens, ids_crc32 (of the ids as
-    32-bit little-endian integers). One shard is in a task's memory at a time."""
+    32-bit little-endian integers). Each key is looked up in its shard's perfect hash, and the document it leads to is
+    read. One shard is in a task's memory at a time. Null and repeated doc_ids have a row for each document; an empty
+    manifest has none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = _load(path)
-                for lo in range(0, len(shard.keys), 10_000):
-                    rows = range(lo, min(lo + 10_000, len(shard.keys)))
+                numbers = shard.numbered()
+                for lo in range(0, len(numbers), 10_000):
+                    at = numbers[lo : lo + 10_000]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "doc_id": pa.array([int(shard.keys[i]) if shard.known[i] else None for i in rows], pa.int64()),
-                            "start": pa.array(shard.ends[rows.start : rows.stop] + base, pa.int64()),
-                            "n_tokens": pa.array(np.diff(shard.ends[rows.start : rows.stop + 1]), pa.int64()),
-                            "ids_crc32": pa.array([zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in rows], pa.int64()),
+                            "doc_id": pa.array(shard.keys[lo : lo + 10_000], pa.int64(), mask=~shard.known[lo : lo + 10_000]),
+                            "start": pa.array(shard.ends[at] + base, pa.int64()),
+                            "n_tokens": pa.array(shard.ends[at + 1] - shard.ends[at], pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in at], pa.int64()),
                         }
                     )
 
@@ -264,18 +281,20 @@ def fetch(keys: DataFrame, manifest: DataFrame, key_col: str = "doc_id") -> Data
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, shard = None, None
         for batch in batches:
-            for key, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, paths = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            for at in dict.fromkeys(paths):
                 if at != path:
                     path, shard = at, _load(at)
-                ids = shard.get(key)
-                if ids is not None:
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([key], pa.int64()), "ids": pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))})
+                asked = keys[paths == at]
+                numbers = shard.find(asked)
+                ids = [shard.document(n).astype(np.int64) for n in numbers[numbers >= 0]]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(asked[numbers >= 0], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
     placed = keys.select(F.col(key_col).cast("long").alias("key")).filter("key is not null").mapInArrow(place, "key long, path string")
     return placed.repartition(partitions(spark), "path").sortWithinPartitions("path").mapInArrow(look_up, "doc_id long, ids array<long>")
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes the shards of docs to a new folder in the shared folder and reads them back."""
+    """Writes the shards of docs to a new folder in the shared folder and reads them back, as read_documents does."""
     spark: SparkSession = docs.sparkSession
     return read_documents(write_tokens(docs, tokenizer, end_id, fresh_path(spark, "tokens")))

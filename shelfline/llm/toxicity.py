@@ -31,7 +31,7 @@ from .fitting import held_out, logistic, training_sample
 MOST_TRAINING = 10_000
 #: Lengths of leading characters, strength of the prior in contexts, contexts that a part needs to be known, what a
 #: token loses, and the parts of the training rows.
-LENGTHS, PRIOR, LEAST_CONTEXTS, DRIFT, FOLDS = (2, 3, 4, 5, 6, 7, 8, 10), 16.0, 2, 1.0, 5
+LENGTHS, PRIOR, LEAST_CONTEXTS, DRIFT, FOLDS = (2, 3, 4, 5, 6, 7, 8, 10), 16.0, 6, 1.0, 5
 _TOKEN = re.compile(r"\w{1,16}|[^\w\s]")
 _WHOLE = "\n"  # ends a part that is all of its token; no token has it
 
@@ -99,17 +99,20 @@ class Model:
     intercept: float
 
 
-def log_odds(parts: list[str], toxic: np.ndarray, other: np.ndarray, contexts: tuple[float, float]) -> dict[str, float]:
-    """The score of each part from the numbers of its toxic and other contexts; contexts: those of all tokens."""
-    base = (contexts[0] + 1) / (sum(contexts) + 2)
-    share: dict[str, float] = {}
-    for i in sorted(range(len(parts)), key=lambda i: len(parts[i])):
-        part = parts[i]
-        above = next((share[part[:k]] for k in reversed(LENGTHS) if k < len(part.removesuffix(_WHOLE)) and part[:k] in share), base)
-        n = toxic[i] + other[i]
-        if n >= LEAST_CONTEXTS:
-            share[part] = float((toxic[i] + PRIOR * above) / (n + PRIOR))
-    return {p: math.log(x / (1 - x)) - math.log(base / (1 - base)) - DRIFT for p, x in share.items()}
+def log_odds(parts: list[str], toxic: np.ndarray, other: np.ndarray, contexts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The score of each part from the numbers of its toxic and other contexts; contexts: those of all tokens. Columns,
+    where there are some, are models apart."""
+    place = {p: i for i, p in enumerate(parts)}
+    sizes = [len(p.removesuffix(_WHOLE)) for p in parts]
+    above = np.array([next((place[p[:k]] for k in reversed(LENGTHS) if k < n and p[:k] in place), -1) for p, n in zip(parts, sizes)], np.int64)
+    base = (contexts[0] + 1) / (contexts[0] + contexts[1] + 2)
+    share = np.empty(np.shape(toxic))
+    order = np.array([len(p) for p in parts], np.int64)
+    for length in np.unique(order):  # shorter parts first
+        at = np.flatnonzero(order == length)
+        prior = np.where((above[at] < 0).reshape(-1, *[1] * (share.ndim - 1)), base, share[above[at]])
+        share[at] = (toxic[at] + PRIOR * prior) / (toxic[at] + other[at] + PRIOR)
+    return np.log(share / (1 - share)) - np.log(base / (1 - base)) - DRIFT
 
 
 def chance_rate(values: np.ndarray, counts: np.ndarray) -> float:
@@ -170,31 +173,28 @@ def evidence(sums: Column, n: Column, rate: float, log_k: float) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, most: int = MOST_TRAINING) -> Model:
     """Fits to at most `most` labelled rows outside of the held-out fold; equal texts count once, with their largest
     label, and null ones as empty. Contexts and parts are grouped on the executors. To the driver come the parts that
-    these rows have in two contexts or more, a histogram of scores and two numbers a row. Extra columns are not looked
+    these rows have in LEAST_CONTEXTS contexts or more, a histogram of scores and two numbers a row. Extra columns are not looked
     at. With no rows, or with rows of one class, the model has no parts and one score for all."""
     sample = stored(training_sample(docs, labels, label, modulus, remainder, most), "training")
     once = sample.groupBy("text").agg(F.max("y").alias("y"))
     texts = stored(once.select("text", "y", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")), "texts")
     rows = stored(part_counts(texts), "parts").toPandas()
-    toxic, other = ([rows[f"{kind}_{f}"].to_numpy(np.float64) for f in range(FOLDS + 1)] for kind in ("toxic", "other"))
-    whole = np.flatnonzero(rows["part"].isna().to_numpy())
-    named = np.flatnonzero(rows["part"].notna().to_numpy())
-    parts = rows["part"].to_numpy()[named].tolist()
-
-    def table(f: int) -> dict[str, float]:
-        totals = (float(toxic[f][whole].sum()), float(other[f][whole].sum()))
-        return log_odds(parts, toxic[f][named], other[f][named], totals) if min(totals) > 0 else {}
-
-    by_fold = [table(f) for f in range(FOLDS)]
+    named = rows["part"].notna().to_numpy()
+    toxic, other = (rows[[f"{kind}_{f}" for f in range(FOLDS + 1)]].to_numpy(np.float64) for kind in ("toxic", "other"))
+    parts, totals = rows["part"].to_numpy()[named].tolist(), (toxic[~named].sum(0), other[~named].sum(0))
+    del rows
+    if not (totals[0][FOLDS] and totals[1][FOLDS]):
+        parts, toxic, other, named = [], toxic[:0], other[:0], named[:0]
+    scores = log_odds(parts, toxic[named], other[named], totals).astype(np.float32)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [scorer(t) for t in by_fold]
+        known = [scorer(dict(zip(parts, scores[:, f].tolist()))) for f in range(FOLDS)]
         for batch in batches:
             held: dict[str, list] = {"y": [], "n": [], "sums": [], "value": [], "times": []}
             for text, y, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                scores = next(scored_texts([text], known[fold]))
-                value, times = np.unique(np.round(scores, 2), return_counts=True)
-                for name, x in zip(held, (y, len(scores), [s for *_, s in maximal_segments(scores)], value.tolist(), times.tolist())):
+                row = next(scored_texts([text], known[fold]))
+                value, times = np.unique(np.round(row, 2), return_counts=True)
+                for name, x in zip(held, (y, len(row), [s for *_, s in maximal_segments(row)], value.tolist(), times.tolist())):
                     held[name].append(x)
             yield pa.RecordBatch.from_pydict(held, pa.schema([("y", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.float64())), ("value", pa.list_(pa.float64())), ("times", pa.list_(pa.int64()))]))
 
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     log_k = (middle or 0.0) + math.log(math.log(2))  # the median of extreme values
     pairs = scanned.select(F.log1p(F.when(F.col("n") > 0, evidence(F.col("sums"), F.col("n"), rate, log_k)).otherwise(0.0)).alias("x"), "y").toPandas()
     slope, intercept = logistic(pairs["x"].to_numpy(np.float64), pairs["y"].to_numpy(np.float64))
-    return Model(table(FOLDS), rate, log_k, max(0.0, slope), intercept)
+    return Model(dict(zip(parts, scores[:, FOLDS].tolist())), rate, log_k, max(0.0, slope), intercept)
 
 
 def find_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

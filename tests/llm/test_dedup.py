@@ -56,6 +56,19 @@ def test_a_crowded_filter_gives_the_same(spark, monkeypatch):
     assert Counter(map(tuple, bloom_dedup.decide(docs).collect())) == want
 
 
+@pytest.mark.parametrize("name", KINDS)
+def test_slices_with_a_filter_each_give_the_same(request, monkeypatch, name):
+    docs = request.getfixturevalue(name)
+    want = [Counter(map(tuple, f(docs).select("doc_id", x).collect())) for f, x in ((bloom_dedup.decide, "keep_id"), (bloom_dedup.distinct_documents, "text"))]
+    monkeypatch.setattr(bloom_dedup, "slices", lambda n: 5)
+    assert [Counter(map(tuple, f(docs).select("doc_id", x).collect())) for f, x in ((bloom_dedup.decide, "keep_id"), (bloom_dedup.distinct_documents, "text"))] == want
+
+
+def test_slices_keep_the_filter_dilute():
+    for n in (0, 1, 10**6, 10**8, 10**10):
+        assert n <= bloom_dedup.slices(n) * bloom_dedup.MOST_BITS / bloom_dedup.BITS_PER_ROW
+
+
 def test_most_rows_pass_straight_through(spark):
     rows = spark.range(20_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
     bits = bloom_dedup.filter_bits(20_000)

@@ -1,7 +1,9 @@
 """Token store, token counts and SentencePiece codec against their libraries; media columns against a plain version."""
 
+import cmath
 import hashlib
 import io
+import math
 import wave
 import zlib
 from collections import Counter
@@ -94,6 +96,25 @@ def test_token_store_keyed_access(spark, documents):
     assert got == {k: library.encode(texts[k], add_special_tokens=False).ids + [2] for k in asked}
 
 
+def test_rows_come_through_the_index(spark, documents, monkeypatch):
+    manifest = token_store.write_tokens(documents, WORD, 2, fresh_path(spark, "shards"))
+    shard = token_store._load(manifest.first().path)
+    assert (shard.numbered() == np.arange(len(shard.keys))).all()
+    shard.numbers = shard.numbers[::-1]
+    assert (shard.numbered() != np.arange(len(shard.keys))).any()
+    shard.index.prints = shard.index.prints ^ np.uint32(1)
+    with pytest.raises(ValueError):
+        shard.numbered()
+
+
+def test_keyed_access_beside_clashing_columns(awkward):
+    manifest = token_store.write_tokens(awkward, WORD, 2, fresh_path(awkward.sparkSession, "shards"))
+    texts = dict(reversed([(d, t) for d, t in sorted(pairs_of(awkward), key=lambda p: p[0]) if d != 17]))
+    library = Tokenizer.from_file(WORD)
+    got = {r.doc_id: list(r.ids) for r in token_store.fetch(awkward.filter("doc_id <> 17").dropDuplicates(["doc_id"]), manifest).collect()}
+    assert got == {d: library.encode(t, add_special_tokens=False).ids + [2] for d, t in texts.items()}
+
+
 def test_null_keys_are_stored_and_not_indexed(spark, nameless):
     rows = token_store.token_rows(nameless, WORD, 2).collect()
     assert Counter(r.doc_id for r in rows) == Counter({None: 4, 1: 1, 2: 1})
@@ -123,7 +144,7 @@ def plain_media(text):
 @pytest.mark.parametrize("name", ["awkward", "documents", "nameless", "empty"])
 def test_media_columns(request, name):
     docs = request.getfixturevalue(name)
-    got = media.read_media(media.encode_media(docs)).collect()
+    got = media.media_rows(docs).collect()
     assert Counter(tuple(r)[:7] for r in got) == Counter((d, *plain_media(t)) for d, t in pairs_of(docs))
     assert len({(r.payload_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
 
@@ -135,7 +156,31 @@ def test_peaks_of_a_tone():
     assert (found[:, 0] == 12).all()
     codes = media.pair_codes(found)
     assert (np.diff(codes) >= 0).all() and ((codes >> 16 & 255) == 12).sum() >= len(found) - 3
-    assert len(media.pair_codes(media.peaks(b" " * 192))) == 0
+    assert len(media.pair_codes(media.peaks(b" " * 192))) == 3
+
+
+def plain_codes(payload):
+    """The codes by a transform written out, sum by sum."""
+    best, codes = [], []
+    for at in range(0, len(payload) - 191, 96):
+        level = sum(payload[at : at + 192]) / 192
+        x = [(payload[at + i] - level) / 128 * (0.54 - 0.46 * math.cos(2 * math.pi * i / 191)) for i in range(192)]
+        size = [abs(sum(v * cmath.exp(-2j * math.pi * k * i / 192) for i, v in enumerate(x))) for k in range(1, 97)]
+        best.append([k + 1 for k in sorted(range(96), key=lambda k: -round(size[k], 3))[:4]])
+    for t, peaks in enumerate(best):
+        codes += [t << 32 | peaks[0] << 16 | p << 8 for p in peaks[1:]]
+        codes += [t << 32 | peaks[0] << 16 | best[t + g][0] << 8 | g for g in (1, 2) if t + g < len(best)]
+    return sorted(codes)
+
+
+def test_stored_codes_against_a_plain_transform(spark):
+    texts = ["", "hello world", "another short text", "Short, too!", " ".join(f"word{i * i}" for i in range(120)), "aXbY" * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in media.read_media(media.encode_media(docs)).collect()}
+    for i, text in enumerate(texts):
+        payload = text.encode().ljust(max(1, -(-len(text) // 192)) * 192)
+        assert got[i].codes == plain_codes(payload)
+    assert len({r.feature for r in media.media_rows(docs).collect()}) == len(texts)
 
 
 def test_peaks_do_not_depend_on_the_parts_they_are_made_in(monkeypatch):
