@@ -47,13 +47,13 @@ _WINDOW = np.hamming(FRAME).astype(np.float32)
 
 def peaks(samples: bytes) -> np.ndarray:
     """The PEAKS strongest frequency bins of each frame, strongest first (ties: the lower bin)."""
-    wave_ = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    wave_ = np.frombuffer(samples, np.uint8).astype(np.float32) / 128
+    wave_ = np.diff(wave_, prepend=wave_[:1])  # the change: else the level hides what a short sound has
     n = 1 + (len(wave_) - FRAME) // HOP
     frames = np.lib.stride_tricks.sliding_window_view(wave_, FRAME)[::HOP][:n]
     found = []
     for at in range(0, n, FRAMES_AT_ONCE):
         part = frames[at : at + FRAMES_AT_ONCE]
-        part = part - part.mean(axis=1, keepdims=True)  # else the level would hide what a short sound has
         spectrum = np.abs(np.fft.rfft(part * _WINDOW, axis=1)[:, 1:]).round(3)
         best = np.empty((len(part), PEAKS), np.int64)
         every = np.arange(len(part))

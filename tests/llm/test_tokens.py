@@ -163,8 +163,7 @@ def plain_codes(payload):
     """The codes by a transform written out, sum by sum."""
     best, codes = [], []
     for at in range(0, len(payload) - 191, 96):
-        level = sum(payload[at : at + 192]) / 192
-        x = [(payload[at + i] - level) / 128 * (0.54 - 0.46 * math.cos(2 * math.pi * i / 191)) for i in range(192)]
+        x = [(payload[at + i] - payload[max(0, at + i - 1)]) / 128 * (0.54 - 0.46 * math.cos(2 * math.pi * i / 191)) for i in range(192)]
         size = [abs(sum(v * cmath.exp(-2j * math.pi * k * i / 192) for i, v in enumerate(x))) for k in range(1, 97)]
         best.append([k + 1 for k in sorted(range(96), key=lambda k: -round(size[k], 3))[:4]])
     for t, peaks in enumerate(best):
