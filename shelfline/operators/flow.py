@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import AGE_BUCKETS, age_bucket, ratio, ratio_or_null, week_ending_sunday
 
+#: Fixed values of the verdicts: scarce below and above, back orders that make it chronic, filled well, few sold.
+LOW_FILL, HIGH_UNMET, HIGH_STOCKOUT, CHRONIC, GOOD_FILL, FEW_SOLD = 0.6, 0.4, 0.3, 3, 0.9, 5
 
 
 def _zero() -> Column:
@@ -131,30 +133,59 @@ def branch_item_heatmap(items: DataFrame, branches: tuple[int, ...], top: int =
     return cells.withColumnsRenamed({str(b): f"b{b}" for b in branches})
 
 
-def product_performance(lines: DataFrame, items: DataFrame, orders: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
-    """Sales and fill of the last days beside all back orders of each product, and a verdict."""
-    recent = lines.filter(F.col("doc_date") >= F.date_sub(as_of, days))
-    sales = recent.groupBy("product_id").agg(F.sum("sent_qty").alias("sold"), F.sum("requested_qty").alias("requested"))
-    leads = orders.select("bo_no", "lead_time_days")
-    short = items.join(leads, "bo_no").groupBy("product_id").agg(F.sum("qty_ordered").alias("bo_qty"), F.sum("outstanding_qty").alias("outstanding"), F.countDistinct("bo_no").alias("bo_orders"), F.sum("lead_time_days").alias("lead_sum"), F.count("lead_time_days").alias("leads"))
-    both = sales.join(short, "product_id", "full").na.fill(0, ["sold", "requested", "bo_qty", "outstanding", "bo_orders"])
-    fill = ratio_or_null(F.col("sold"), F.col("requested"), 3)
-    pressure = ratio_or_null(F.col("bo_qty"), F.col("sold") + F.col("bo_qty"), 3)
+def last_months(rows: DataFrame, day: str, n: int) -> DataFrame:
+    """The rows of the last n months that have any; the months are a row each."""
+    month = F.trunc(day, "month")
+    known = rows.select(month.alias("__month")).distinct().orderBy(F.desc("__month")).limit(n)
+    return rows.join(F.broadcast(known), month == F.col("__month"), "left_semi")
+
+
+def product_performance(lines: DataFrame, items: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
+    """Of each product: sales of the last days // 30 months on record, requests and fill of the last days, all its back
+    orders, and a verdict that tells products that could not be had from those that nobody asked for. Sorted by the
+    value of lost sales, then by unmet demand and sales value."""
+    sales = last_months(lines, "doc_date", max(1, days // 30)).groupBy("product_id").agg(F.sum("sent_qty").alias("sold_qty"), F.sum(F.col("sent_qty") * F.col("price_cents")).alias("sold_cents"))
+    nil = F.count_if(F.col("fill_status") == "NIL")
+    asked = lines.filter(F.col("doc_date") >= F.date_sub(as_of, days)).groupBy("product_id").agg(F.sum("requested_qty").alias("requested_qty"), F.sum("sent_qty").alias("sent_qty"), F.count(F.lit(1)).alias("lines"), nil.alias("nil_lines"), F.max("description").alias("description"), F.max("category").alias("category"))
+    short = items.groupBy("product_id").agg(
+        F.countDistinct("bo_no").alias("bo_incidents"), F.sum("qty_ordered").alias("bo_qty"), F.sum("qty_fulfilled").alias("bo_fulfilled"), F.sum("outstanding_qty").alias("bo_outstanding_qty"),
+        F.sum("value_outstanding_cents").alias("lost_sales_cents"), F.sum("lead_time_days").alias("lead_sum"), F.count("lead_time_days").alias("leads"),
+    )
+    counts = ["sold_qty", "sold_cents", "requested_qty", "sent_qty", "lines", "nil_lines", "bo_incidents", "bo_qty", "bo_fulfilled", "bo_outstanding_qty", "lost_sales_cents"]
+    all_ = asked.join(sales, "product_id", "full").join(short, "product_id", "full").na.fill(0, counts)
+    c = F.col
+    unmet = F.greatest(c("requested_qty") - c("sent_qty"), _zero())
+    rated = all_.withColumns({
+        "fill_rate": ratio_or_null(c("sent_qty"), c("requested_qty"), 3), "unmet_demand_ratio": ratio_or_null(unmet, c("requested_qty"), 3), "stockout_line_pct": ratio_or_null(c("nil_lines"), c("lines"), 3),
+        "recovery_rate": ratio_or_null(c("bo_fulfilled"), c("bo_qty"), 3), "avg_wait_days": ratio_or_null(c("lead_sum"), c("leads"), 1), "demand_captured_pct": ratio_or_null(c("sold_qty"), c("sold_qty") + c("bo_qty"), 3),
+    })
+    scarce = F.coalesce((c("fill_rate") < LOW_FILL) | (c("unmet_demand_ratio") > HIGH_UNMET) | (c("stockout_line_pct") > HIGH_STOCKOUT), F.lit(False))
+    unwanted = F.coalesce(c("fill_rate") >= GOOD_FILL, F.lit(True)) & (c("bo_incidents") == 0) & (c("sold_qty") <= FEW_SOLD)
     verdict = (
-        F.when((F.col("sold") == 0) & (F.col("bo_qty") == 0), "no activity").when(F.col("sold") == 0, "unmet demand")
-        .when(F.col("pressure") >= 0.5, "short").when((F.col("fill_rate") >= 0.8) & (F.col("pressure") < 0.2), "healthy").otherwise("watch")
+        F.when((c("requested_qty") == 0) & (c("bo_incidents") == 0), "No demand signal")
+        .when(scarce & (c("bo_incidents") >= CHRONIC), "Chronic shortage").when(scarce, "Supply-constrained")
+        .when(unwanted, "Genuinely low demand").otherwise("Healthy")
     )
-    return both.withColumns({"fill_rate": fill, "pressure": pressure, "avg_wait_days": ratio_or_null(F.col("lead_sum"), F.col("leads"), 1)}).select("product_id", "sold", "requested", "bo_qty", "outstanding", "bo_orders", "fill_rate", "pressure", "avg_wait_days", verdict.alias("verdict"))
+    named = rated.withColumn("description", F.coalesce("description", F.col("product_id").cast("string"))).withColumn("verdict", verdict)
+    shown = ["product_id", "description", "category", *counts[:4], "fill_rate", "unmet_demand_ratio", "stockout_line_pct", "bo_incidents", "bo_qty", "bo_outstanding_qty", "recovery_rate", "avg_wait_days", "demand_captured_pct", "lost_sales_cents", "verdict"]
+    return named.select(*shown).orderBy(F.desc("lost_sales_cents"), F.desc_nulls_last("unmet_demand_ratio"), F.desc("sold_cents"), "product_id")
 
 
-def verdict_counts(performance: DataFrame) -> DataFrame:
-    return performance.groupBy("verdict").agg(F.count(F.lit(1)).alias("products"), F.median("fill_rate").alias("median_fill"))
+def performance_kpis(performance: DataFrame) -> DataFrame:
+    """One row: products, how many have each verdict that calls for something, lost sales and the median fill rate."""
+    has = lambda verdict: F.count_if(F.col("verdict") == verdict)
+    return performance.agg(
+        F.count(F.lit(1)).alias("products"), has("Supply-constrained").alias("supply_constrained"), has("Chronic shortage").alias("chronic_shortage"), has("Genuinely low demand").alias("genuinely_low_demand"),
+        F.count_if(F.coalesce("stockout_line_pct", F.lit(0.0)) > 0).alias("products_with_stockout"), F.coalesce(F.sum("lost_sales_cents"), _zero()).alias("lost_sales_cents"), F.bround(F.median("fill_rate"), 3).alias("median_fill_rate"),
+    )
 
 
 def low_sales(rates: DataFrame, stock: DataFrame, items: DataFrame, least: int = 3, gap: float = 0.4) -> DataFrame:
-    """Series that sold under (1 - gap) of what was predicted, and why: rates has branch_id, product_id, predicted, actual."""
-    short = items.filter("status = 'OPEN'").groupBy("branch_id", "product_id").agg(F.sum("outstanding_qty").alias("on_order"))
+    """Series that sold under (1 - gap) of what was predicted, and why: an open back order, no stock and none, or neither,
+    so that demand is low. rates has branch_id, product_id, predicted, actual. The largest shortfall comes first."""
+    ordered = items.filter("status = 'OPEN'").groupBy("branch_id", "product_id").agg(F.sum(F.col("qty_ordered") - F.col("qty_fulfilled")).alias("backordered"))
     low = rates.filter((F.col("predicted") >= least) & (F.col("actual") < F.col("predicted") * (1 - gap)))
-    met = low.join(short, ["branch_id", "product_id"], "left").join(stock.select("branch_id", "product_id", "on_hand"), ["branch_id", "product_id"], "left").na.fill(0, ["on_order", "on_hand"])
-    cause = F.when((F.col("on_order") > 0) & (F.col("on_hand") <= 0), "stocked out, on back order").when(F.col("on_order") > 0, "partly supplied").when(F.col("on_hand") <= 0, "stocked out").otherwise("low demand")
-    return met.select("branch_id", "product_id", "predicted", "actual", (F.col("predicted") - F.col("actual")).alias("shortfall"), "on_order", "on_hand", cause.alias("cause"))
+    met = low.join(ordered, ["branch_id", "product_id"], "left").join(stock.select("branch_id", "product_id", "on_hand"), ["branch_id", "product_id"], "left").na.fill(0, ["backordered", "on_hand"])
+    cause = F.when(F.col("backordered") > 0, "Stockout, back ordered").when(F.col("on_hand") <= 0, "No stock, no back order").otherwise("Low demand, stock available")
+    told = met.select("branch_id", "product_id", "predicted", "actual", (F.col("predicted") - F.col("actual")).alias("shortfall"), "backordered", "on_hand", cause.alias("cause"))
+    return told.orderBy(F.desc("shortfall"), F.desc("backordered"), "branch_id", "product_id")

@@ -143,7 +143,9 @@ def monthly_forecast(series: DataFrame) -> DataFrame:
     s = s.withColumn("sigma", F.when(n == 0, 0.0).when(n >= 2, spread(y)).otherwise(0.7 * F.col("point")))
     cv = F.when(n >= 2, spread(sold) / (_sum(sold) / n))
     confidence = F.when(n <= 1, "Low").when((n == F.size(y)) & (F.coalesce(cv, F.lit(0.0)) <= 0.6), "High").otherwise("Medium")
-    return s.select("branch", "sku", F.bround("point", 4).alias("point"), F.bround("sigma", 4).alias("sigma"), F.bround(F.greatest(F.lit(0.0), F.col("point") - Z80 * F.col("sigma")), 4).alias("low"), F.bround(F.col("point") + Z80 * F.col("sigma"), 4).alias("high"), n.alias("months_sold"), pattern(y).alias("pattern"), confidence.alias("confidence"))
+    # products of decimal fractions lie on a half but for their last bit; a little more makes these round up
+    four = lambda c, name: F.bround(c + 1e-9, 4).alias(name)
+    return s.select("branch", "sku", four(F.col("point"), "point"), four(F.col("sigma"), "sigma"), four(F.greatest(F.lit(0.0), F.col("point") - Z80 * F.col("sigma")), "low"), four(F.col("point") + Z80 * F.col("sigma"), "high"), n.alias("months_sold"), pattern(y).alias("pattern"), confidence.alias("confidence"))
 
 
 def backtest(series: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def allocation_split(spark, sf_dir):
 @register()
 def allocation_by_request(spark, sf_dir):
     """What branches requested in the last quarter, out of the warehouse's stock."""
-    lines = tables.delivery_lines(spark, sf_dir).filter(F.col("age_days").between(0, 91))
+    lines = tables.delivery_lines(spark, sf_dir, product=False).filter(F.col("age_days").between(0, 91))
     asked = lines.groupBy("product_id", "branch_id").agg(F.sum("requested_qty").alias("requested"))
     rows = asked.join(_rates(spark, sf_dir).select("product_id", "branch_id", "rate"), ["product_id", "branch_id"], "left").join(tables.stock_levels(spark, sf_dir).select("product_id", "branch_id", "on_hand"), ["product_id", "branch_id"], "left")
     return allocation.split_requests(rows.na.fill(0, ["rate", "on_hand"]).join(_supply(spark, sf_dir).withColumnRenamed("available", "qty"), "product_id"))
@@ -66,7 +66,7 @@ def weekly_order(spark, sf_dir):
     SELECT *, SUM(change) OVER (PARTITION BY branch_id, product_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM (
       SELECT branch_id, product_id, dn_no * 10 + line_no AS seq, CAST(SUM(requested_qty - 2 * sent_qty) AS BIGINT) AS change FROM dn GROUP BY ALL))"""))
 def stock_ledger(spark, sf_dir):
-    lines = tables.delivery_lines(spark, sf_dir)
+    lines = tables.delivery_lines(spark, sf_dir, product=False)
     moves = lines.groupBy("branch_id", "product_id", (F.col("dn_no") * 10 + F.col("line_no")).alias("seq")).agg(F.sum(F.col("requested_qty") - 2 * F.col("sent_qty")).alias("change"))
     return allocation.ledger(moves)
 
@@ -116,7 +116,7 @@ def recode_aliases(spark, sf_dir):
 @register()
 def family_borrowing(spark, sf_dir):
     """Rates of nations' products drawn towards those of the same name."""
-    lines = tables.delivery_lines(spark, sf_dir)
+    lines = tables.delivery_lines(spark, sf_dir, product=False)
     monthly = lines.groupBy("branch", F.col("product_id").alias("sku"), F.trunc("doc_date", "month").alias("period")).agg(F.sum("requested_qty").alias("qty"))
     series = panel.as_arrays(panel.densify(monthly))
     rate = F.aggregate(panel.tail(F.col("y"), 12), F.lit(0.0), lambda a, v: a + v) / 48

@@ -53,8 +53,8 @@ def _monthly(source: str, m: int) -> str:
     sqrt(SUM(qty * qty)::DOUBLE / COUNT(*) FILTER (qty > 0) - pow(SUM(qty)::DOUBLE / COUNT(*) FILTER (qty > 0), 2)) AS sd_sold FROM ({source}) GROUP BY branch, sku)"""
 
 
-@register(using("fine", f"""SELECT branch, sku, round_even(point, 4) AS point, round_even(sigma, 4) AS sigma, round_even(GREATEST(0, point - 1.28::DOUBLE * sigma), 4) AS low,
-    round_even(point + 1.28::DOUBLE * sigma, 4) AS high, CAST(nnz AS INTEGER) AS months_sold,
+@register(using("fine", f"""SELECT branch, sku, round_even(point + 1e-9::DOUBLE, 4) AS point, round_even(sigma + 1e-9::DOUBLE, 4) AS sigma, round_even(GREATEST(0, point - 1.28::DOUBLE * sigma) + 1e-9::DOUBLE, 4) AS low,
+    round_even(point + 1.28::DOUBLE * sigma + 1e-9::DOUBLE, 4) AS high, CAST(nnz AS INTEGER) AS months_sold,
     CASE WHEN nnz = 0 THEN 'none' WHEN nnz = 1 AND last > 0 THEN 'new' WHEN last <= 0 THEN 'dropped' WHEN q2 > q1 AND q3 > q2 THEN 'growing' WHEN q2 < q1 AND q3 < q2 THEN 'declining'
          WHEN nnz < 6 THEN 'intermittent' ELSE 'regular' END AS pattern,
     CASE WHEN nnz <= 1 THEN 'Low' WHEN nnz = 6 AND COALESCE(cv, 0) <= 0.6 THEN 'High' ELSE 'Medium' END AS confidence
@@ -69,7 +69,7 @@ _BEFORE = "SELECT branch, sku, t - n + 7 AS i, qty FROM (SELECT *, MAX(t) OVER (
 
 @register(using("panel", f"""SELECT COUNT(*) AS series, round_even(wape, 2) AS wape, round_even(wape_last, 2) AS wape_last, round_even(wape_mean, 2) AS wape_mean, round_even(bias, 2) AS bias,
     round_even((wape_last - wape) / wape_last * 100, 1) AS skill_pct FROM (SELECT COUNT(*) AS n, SUM(ABS(f - a)) * 100 / SUM(a) AS wape, SUM(ABS(last - a))::DOUBLE * 100 / SUM(a) AS wape_last,
-      SUM(ABS(mean - a)) * 100 / SUM(a) AS wape_mean, SUM(f - a) * 100 / SUM(a) AS bias FROM (SELECT round_even(m.point, 4) AS f, m.last, x.mean, y.qty AS a FROM ({_monthly(_BEFORE, 6)}) m
+      SUM(ABS(mean - a)) * 100 / SUM(a) AS wape_mean, SUM(f - a) * 100 / SUM(a) AS bias FROM (SELECT round_even(m.point + 1e-9::DOUBLE, 4) AS f, m.last, x.mean, y.qty AS a FROM ({_monthly(_BEFORE, 6)}) m
       JOIN (SELECT branch, sku, AVG(qty) AS mean FROM ({_BEFORE}) GROUP BY branch, sku) x ON m.branch = x.branch AND m.sku = x.sku
       JOIN (SELECT branch, sku, arg_max(qty, t) AS qty FROM dense GROUP BY branch, sku) y ON m.branch = y.branch AND m.sku = y.sku)), (SELECT DISTINCT branch, sku FROM dense)
     GROUP BY ALL""", dense=dense_sql()))

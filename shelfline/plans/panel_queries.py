@@ -64,15 +64,21 @@ def recent_level(spark, sf_dir):
     return panel.recent_level(series, "y", "level").select("branch", "sku", F.bround("level", 6).alias("level"))
 
 
+def _months(spark, sf_dir) -> list[datetime.date]:
+    """The month starts from the first note to the last."""
+    ends = tables.table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("m")).agg(F.min("m").alias("a"), F.max("m").alias("b")).first()
+    n = (ends.b.year - ends.a.year) * 12 + ends.b.month - ends.a.month + 1 if ends.a else 0
+    return [datetime.date(ends.a.year + (ends.a.month - 1 + i) // 12, (ends.a.month - 1 + i) % 12 + 1, 1) for i in range(n)]
+
+
 @register(using("dn", """SELECT region AS branch, brand AS sku, period, MIN((dn_no * 13 + line_no) % 50) AS reading FROM dn JOIN (
       SELECT doc_date, period FROM (SELECT doc_date, p.period, ROW_NUMBER() OVER (PARTITION BY doc_date ORDER BY ABS(doc_date - p.period), p.period) AS k
-        FROM (SELECT DISTINCT doc_date FROM dn), (SELECT CAST(unnest(generate_series(DATE '2001-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS period) p
+        FROM (SELECT DISTINCT doc_date FROM dn), (SELECT CAST(unnest(generate_series((SELECT date_trunc('month', MIN(doc_date)) FROM dn), (SELECT date_trunc('month', MAX(doc_date)) FROM dn), INTERVAL 1 MONTH)) AS DATE) AS period) p
         WHERE ABS(doc_date - p.period) <= 15) WHERE k = 1) near ON dn.doc_date = near.doc_date GROUP BY region, brand, period"""))
 def stock_by_nearest_period(spark, sf_dir):
-    """Readings of 2001 put to the nearest month start within 15 days, the least of each."""
-    periods = [datetime.date(2001, m, 1) for m in range(1, 13)]
+    """Readings put to the nearest month start within 15 days, the least of each."""
     readings = tables.delivery_lines(spark, sf_dir).select("region", "brand", "doc_date", ((F.col("dn_no") * 13 + F.col("line_no")) % 50).alias("reading"))
-    near = panel.nearest_period(readings.filter(F.col("doc_date") >= "2000-12-01"), "doc_date", periods, 15).filter("period is not null")
+    near = panel.nearest_period(readings, "doc_date", _months(spark, sf_dir), 15).filter("period is not null")
     return near.groupBy(F.col("region").alias("branch"), F.col("brand").alias("sku"), "period").agg(F.min("reading").alias("reading"))
 
 
@@ -82,7 +88,8 @@ def stock_by_nearest_period(spark, sf_dir):
     WHERE (week_start - DATE '1995-01-02') // 7 % 10 <> 0 GROUP BY branch, sku, week_start) WHERE qty > 0"""))
 def months_to_weeks(spark, sf_dir):
     """Monthly units as weeks; every tenth week is taken as covered by real readings."""
-    covered = spark.sql("select explode(sequence(date'1995-01-02', date'2002-12-30', interval 70 days)) as week_start")
+    last = _months(spark, sf_dir)[-1:]
+    covered = spark.sql(f"select explode(sequence(date'1995-01-02', add_months(date'{last[0]}', 1), interval 70 days)) as week_start") if last else None
     return panel.months_to_weeks(tables.monthly_panel(spark, sf_dir), "qty", covered)
 
 
@@ -104,9 +111,13 @@ def part_month_decisions(spark, sf_dir):
 
 @register()
 def uncensored_demand(spark, sf_dir):
-    """Nation by brand series without stock readings: probable stockouts lifted to the in-stock level."""
-    series = panel.as_arrays(dense(spark, sf_dir, "branch")).withColumn("on_hand", F.transform("y", lambda v: F.lit(None).cast("double")))
-    found = panel.uncensor(series)
+    """Nation by brand series, made scarce in some months, with readings of none on hand for half of these and of some
+    for other months: probable stockouts lifted to the in-stock level."""
+    series = panel.as_arrays(dense(spark, sf_dir, "branch"))
+    scarce = lambda i: (i + F.length("branch")) % 9 == 4
+    sold = F.transform("y", lambda v, i: F.when(scarce(i), F.lit(0.0)).otherwise(v))
+    held = F.transform("y", lambda v, i: F.when(scarce(i) & (i % 2 == 0), 0.0).when(i % 5 == 0, 40.0))
+    found = panel.uncensor(series.select("branch", "sku", sold.alias("y"), held.alias("on_hand")))
     return found.select("branch", "sku", F.bround("level", 6).alias("level"), F.size(F.filter("masked", lambda m: m)).alias("masked"), F.bround(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 4).alias("units"))
 
 

@@ -14,7 +14,7 @@ _RATES = """SELECT branch_id, product_id, SUM(requested_qty)::DOUBLE / 26 AS rat
 
 
 def _rates(spark, sf_dir):
-    return planning.weekly_rates(tables.delivery_lines(spark, sf_dir), tables.as_of())
+    return planning.weekly_rates(tables.delivery_lines(spark, sf_dir, product=False), tables.as_of())
 
 
 @register(using("lines", "SELECT branch_id, product_id, round_even(rate, 6) AS rate, recent_sales, weeks_sold, revenue_cents, units FROM rates", rates=_RATES))
@@ -26,7 +26,7 @@ def weekly_rates(spark, sf_dir):
     SELECT branch_id, product_id, round_even(SUM(requested_qty)::DOUBLE / 4, 6), 'last month' FROM lines WHERE doc_date > DATE '2001-08-31' - 30 AND doc_date <= DATE '2001-08-31'
     AND branch_id NOT IN (SELECT branch_id FROM rates) GROUP BY branch_id, product_id""", rates=_RATES))
 def weekly_demand_estimate(spark, sf_dir):
-    found = planning.demand_estimate(_rates(spark, sf_dir), tables.delivery_lines(spark, sf_dir), tables.as_of())
+    found = planning.demand_estimate(_rates(spark, sf_dir), tables.delivery_lines(spark, sf_dir, product=False), tables.as_of())
     return found.selectExpr("branch_id", "product_id", "bround(rate, 6) as rate", "basis")
 
 

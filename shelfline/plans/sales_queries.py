@@ -60,7 +60,7 @@ def abc_by_turnover(spark, sf_dir):
 
 
 def _product_classes(spark, sf_dir):
-    revenue = tables.delivery_lines(spark, sf_dir).groupBy("product_id").agg(F.sum("revenue_cents").alias("revenue_cents"))
+    revenue = tables.delivery_lines(spark, sf_dir, product=False).groupBy("product_id").agg(F.sum("revenue_cents").alias("revenue_cents"))
     return sales.abc(revenue, "product_id", "revenue_cents")
 
 

@@ -9,11 +9,11 @@ from .registry import register
 @register("""SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, COUNT(*) AS events, MIN(event_id) AS first_event, MAX(event_id) AS last_event
     FROM events GROUP BY 1, 2""")
 def stream_weekly_counts(spark, sf_dir):
-    table = jobs.run_to_table(jobs.weekly_counts(jobs.events(spark, sf_dir)), "weekly-counts", "complete")
+    table = jobs.run_to_table(jobs.weekly_counts(jobs.events(spark, sf_dir)), "weekly-counts", ["week", "event_type"])
     return table.selectExpr("cast(week.start as date) as week_start", "event_type", "events", "first_event", "last_event")
 
 
 @register("""SELECT bo_no, event_id, to_stage, next_us - at_us AS stay_us FROM (SELECT user_id AS bo_no, event_id, event_type AS to_stage, epoch_us(ts) AS at_us,
     LEAD(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_us FROM events) WHERE next_us IS NOT NULL""")
 def stream_stage_stays(spark, sf_dir):
-    return jobs.run_to_table(jobs.stage_stays(jobs.events(spark, sf_dir)), "stage-stays", "append")
+    return jobs.run_to_table(jobs.stage_stays(jobs.events(spark, sf_dir)), "stage-stays")

@@ -31,47 +31,54 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(F.col("n_nationkey").alias("branch_id"), F.col("n_name").alias("branch"), F.col("r_name").alias("region"))
 
 
-def delivery_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Delivery-note lines with what was requested and sent, the shortfall, its value and age."""
-    line = table(spark, sf_dir, "lineitem")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("doc_date"))
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delivery notes: date, status and branch of each order. Orders meet customers before any line moves."""
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("order_status"), F.col("o_orderdate").cast("date").alias("doc_date"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("branch_id"))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", cents("p_retailprice").alias("price_cents"))
+    placed = order.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(branches(spark, sf_dir)), "branch_id")
+    return placed.select(F.col("o_orderkey").alias("dn_no"), "doc_date", "order_status", "branch_id", "branch", "region")
+
+
+def delivery_lines(spark: SparkSession, sf_dir: str, product: bool = True) -> DataFrame:
+    """Delivery-note lines with what was requested and sent, the shortfall, its value and age. With product=False the
+    columns of the product and the values by its price are left out, and lines are shuffled once, by their note."""
+    line = table(spark, sf_dir, "lineitem")
     requested = F.col("l_quantity").cast("long")
     sent = F.when(F.col("l_returnflag") == "N", requested).when(F.col("l_returnflag") == "A", F.floor(F.col("l_quantity") / 2)).otherwise(F.lit(0).cast("long"))
-    lines = (
-        line.join(order, line.l_orderkey == order.o_orderkey)
-        .join(customer, F.col("o_custkey") == customer.c_custkey)
-        .join(F.broadcast(branches(spark, sf_dir)), "branch_id")
-        .join(part, line.l_partkey == part.p_partkey)
-        .select(
-            F.col("l_orderkey").alias("dn_no"), F.col("l_linenumber").alias("line_no"), "doc_date", "branch_id", "branch", "region",
-            F.col("l_partkey").alias("product_id"), F.col("p_name").alias("description"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"),
-            requested.alias("requested_qty"), sent.alias("sent_qty"), F.col("l_linestatus").alias("line_status"), F.col("o_orderstatus").alias("order_status"), "price_cents", cents("l_extendedprice").alias("revenue_cents"),
-        )
-    )
+    lines = line.select(
+        F.col("l_orderkey").alias("dn_no"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("product_id"), requested.alias("requested_qty"), sent.alias("sent_qty"),
+        F.col("l_linestatus").alias("line_status"), cents("l_extendedprice").alias("revenue_cents"),
+    ).join(notes(spark, sf_dir), "dn_no")
     short = F.greatest(F.col("requested_qty") - F.col("sent_qty"), F.lit(0).cast("long"))
     status = F.when(short == 0, "FULL").when(F.col("sent_qty") == 0, "NIL").otherwise("PARTIAL")
-    return lines.withColumns({"backorder_qty": short, "fill_status": status, "backorder_cents": short * F.col("price_cents"), "age_days": F.datediff(as_of(), F.col("doc_date"))})
+    lines = lines.withColumns({"backorder_qty": short, "fill_status": status, "age_days": F.datediff(as_of(), F.col("doc_date"))})
+    if not product:
+        return lines
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("description"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), cents("p_retailprice").alias("price_cents"))
+    return lines.join(part, "product_id").withColumn("backorder_cents", F.col("backorder_qty") * F.col("price_cents"))
 
 
-def back_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines as back-order items; outstanding is never below zero."""
-    lines = delivery_lines(spark, sf_dir).filter("backorder_qty > 0")
+def back_order_items(spark: SparkSession, sf_dir: str, product: bool = True) -> DataFrame:
+    """Short lines as back-order items; outstanding is never below zero. Each has its order's lead time, where closed."""
+    lines = delivery_lines(spark, sf_dir, product).filter("backorder_qty > 0")
     fulfilled = F.when(F.col("line_status") == "F", F.col("backorder_qty")).otherwise(F.floor(F.col("backorder_qty") / 2))
     outstanding = F.greatest(F.col("qty_ordered") - F.col("qty_fulfilled"), F.lit(0).cast("long"))
-    return (
-        lines.select(F.col("dn_no").alias("bo_no"), "line_no", "branch_id", "branch", "product_id", "description", "category", "price_cents", "doc_date", F.when(F.col("order_status") == "F", "CLOSED").otherwise("OPEN").alias("status"), F.col("backorder_qty").alias("qty_ordered"), fulfilled.alias("qty_fulfilled"))
+    of_product = ["description", "category", "price_cents"] if product else []
+    lead = F.when(F.col("order_status") == "F", (F.col("dn_no") % 45 + 1).cast("int"))
+    items = (
+        lines.select(F.col("dn_no").alias("bo_no"), "line_no", "branch_id", "branch", "product_id", *of_product, "doc_date", F.when(F.col("order_status") == "F", "CLOSED").otherwise("OPEN").alias("status"), lead.alias("lead_time_days"), F.col("backorder_qty").alias("qty_ordered"), fulfilled.alias("qty_fulfilled"))
         .withColumn("outstanding_qty", outstanding)
         .withColumn("fill_status", F.when(F.col("outstanding_qty") == 0, "FULL").when(F.col("qty_fulfilled") == 0, "NIL").otherwise("PARTIAL"))
-        .withColumn("value_outstanding_cents", F.col("outstanding_qty") * F.col("price_cents"))
     )
+    return items.withColumn("value_outstanding_cents", F.col("outstanding_qty") * F.col("price_cents")) if product else items
 
 
-def back_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each back order: sums of its items, lead time when closed, age and whether it is overdue."""
-    heads = back_order_items(spark, sf_dir).groupBy("bo_no", "branch_id", "branch", "status", "doc_date").agg(
-        F.count(F.lit(1)).alias("items"), F.sum("qty_ordered").alias("qty_ordered"), F.sum("qty_fulfilled").alias("qty_fulfilled"), F.sum("value_outstanding_cents").alias("value_outstanding_cents")
+def back_orders(spark: SparkSession, sf_dir: str, product: bool = True) -> DataFrame:
+    """One row for each back order: sums of its items, lead time when closed, age and whether it is overdue. With
+    product=False without its value."""
+    value = [F.sum("value_outstanding_cents").alias("value_outstanding_cents")] if product else []
+    heads = back_order_items(spark, sf_dir, product).groupBy("bo_no", "branch_id", "branch", "status", "doc_date").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("qty_ordered").alias("qty_ordered"), F.sum("qty_fulfilled").alias("qty_fulfilled"), *value
     )
     return (
         heads.withColumnRenamed("doc_date", "submitted_at")
@@ -100,5 +107,5 @@ def monthly_panel(spark: SparkSession, sf_dir: str, by: str = "region") -> DataF
 
 def stock_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock on hand of each branch and product that ever met, a fixed function of the keys."""
-    pairs = delivery_lines(spark, sf_dir).select("branch_id", "branch", "product_id").distinct()
+    pairs = delivery_lines(spark, sf_dir, product=False).select("branch_id", "branch", "product_id").distinct()
     return pairs.withColumn("on_hand", (F.col("branch_id") * 31 + F.col("product_id") * 17) % 120)

@@ -8,14 +8,16 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new folder in spark.checkpoint.dir; a local one only where that is unset and Spark runs on this machine alone."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{(shared or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,21 +34,27 @@ def weekly_counts(stream: DataFrame, late: str = "7 days") -> DataFrame:
     return timed.groupBy(week.alias("week"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 
-def stage_stays(stream: DataFrame) -> DataFrame:
+def stage_stays(stream: DataFrame, idle_days: int = 365) -> DataFrame:
     """bo_no, event_id, to_stage, stay_us: how long an order stays in a stage, told when its next event comes. State is
-    one event for each order."""
+    one event for each order, and none after idle_days without one. Events that come after a later one of their order has
+    been told are left out: the stay that they would divide is told already."""
 
     def next_of(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(["at_us", "event_id"])
         if state.exists:
             event_id, to_stage, at_us = state.get
+            rows = rows[(rows["at_us"] > at_us) | ((rows["at_us"] == at_us) & (rows["event_id"] > event_id))]
             rows = pd.concat([pd.DataFrame({"event_id": [event_id], "to_stage": [to_stage], "at_us": [at_us]}), rows])
         state.update((int(rows["event_id"].iloc[-1]), rows["to_stage"].iloc[-1], int(rows["at_us"].iloc[-1])))
+        state.setTimeoutDuration(idle_days * 86_400_000)
         stays = rows["at_us"].to_numpy()
         yield pd.DataFrame({"bo_no": key[0], "event_id": rows["event_id"].to_numpy()[:-1], "to_stage": rows["to_stage"].to_numpy()[:-1], "stay_us": stays[1:] - stays[:-1]})
 
     rows = stream.select(F.col("user_id").alias("bo_no"), "event_id", F.col("event_type").alias("to_stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
-    return rows.groupBy("bo_no").applyInPandasWithState(next_of, "bo_no long, event_id long, to_stage string, stay_us long", "event_id long, to_stage string, at_us long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("bo_no").applyInPandasWithState(next_of, "bo_no long, event_id long, to_stage string, stay_us long", "event_id long, to_stage string, at_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ledger(changes: DataFrame) -> DataFrame:
@@ -73,13 +81,19 @@ def replace_by_key(stream: DataFrame, target: str, keys: list[str], checkpoint:
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_to_table(frame: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream to its end and reads what it wrote. Complete mode keeps the last batch's table."""
+def run_to_table(frame: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream to its end and reads what it wrote. With keys it runs in update mode: each batch adds the rows it
+    changed, and of a key the row of the last batch counts; without, in append mode."""
     spark = frame.sparkSession
     folder = work_folder(spark, name)
-    writer = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{folder}/table").start().awaitTermination()
-    else:
-        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/table")
+    writer = frame.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if keys is None:
+        writer.outputMode("append").format("parquet").option("path", f"{folder}/table").start().awaitTermination()
+        return spark.read.parquet(f"{folder}/table")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    writer.outputMode("update").foreachBatch(put).start().awaitTermination()
+    latest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return spark.read.parquet(f"{folder}/table").withColumn("__rank", F.row_number().over(latest)).filter("__rank = 1").drop("__rank", "batch")
