@@ -49,12 +49,13 @@ def stage_stays(stream: DataFrame, idle_days: int = 365) -> DataFrame:
             rows = rows[(rows["at_us"] > at_us) | ((rows["at_us"] == at_us) & (rows["event_id"] > event_id))]
             rows = pd.concat([pd.DataFrame({"event_id": [event_id], "to_stage": [to_stage], "at_us": [at_us]}), rows])
         state.update((int(rows["event_id"].iloc[-1]), rows["to_stage"].iloc[-1], int(rows["at_us"].iloc[-1])))
-        state.setTimeoutDuration(idle_days * 86_400_000)
+        state.setTimeoutTimestamp(max(int(rows["at_us"].iloc[-1]) // 1000 + idle_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         stays = rows["at_us"].to_numpy()
         yield pd.DataFrame({"bo_no": key[0], "event_id": rows["event_id"].to_numpy()[:-1], "to_stage": rows["to_stage"].to_numpy()[:-1], "stay_us": stays[1:] - stays[:-1]})
 
-    rows = stream.select(F.col("user_id").alias("bo_no"), "event_id", F.col("event_type").alias("to_stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
-    return rows.groupBy("bo_no").applyInPandasWithState(next_of, "bo_no long, event_id long, to_stage string, stay_us long", "event_id long, to_stage string, at_us long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{idle_days} days")
+    rows = timed.select(F.col("user_id").alias("bo_no"), "event_id", F.col("event_type").alias("to_stage"), "ts", F.unix_micros("ts").alias("at_us"))
+    return rows.groupBy("bo_no").applyInPandasWithState(next_of, "bo_no long, event_id long, to_stage string, stay_us long", "event_id long, to_stage string, at_us long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ledger(changes: DataFrame) -> DataFrame:
