@@ -22,7 +22,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import allocation_queries, fill_queries, flow_queries, forecast_queries, panel_queries, planning_queries, sales_queries, stream_queries  # noqa: F401
+    from . import allocation_queries, entry_queries, fill_queries, flow_queries, forecast_queries, panel_queries, planning_queries, sales_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
