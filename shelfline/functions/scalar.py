@@ -43,6 +43,16 @@ def parsed_int(text: Column) -> Column:
 
 
 def parsed_date(text: Column) -> Column:
-    """The first of several formats that fits."""
-    formats = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd")
-    return F.coalesce(*(F.try_to_date(text, f) for f in formats))
+    """The first thing in a text that looks like a date: day, month, year with / or -, month first where only that fits, or
+    year first. Two-digit years count with / only, from 69 on in the last century."""
+    token = F.regexp_extract(text, r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}-\d{1,2}-\d{1,2}", 0)
+    piece = lambda pattern, i: F.regexp_extract(token, pattern, i).try_cast("int")
+
+    def made(pattern: str, year: int, month: int, day: int) -> Column:
+        y = piece(pattern, year)
+        y = F.when(F.length(F.regexp_extract(token, pattern, year)) == 2, y + F.when(y >= 69, 1900).otherwise(2000)).otherwise(y)
+        parts = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), *(F.lpad(piece(pattern, i).cast("string"), 2, "0") for i in (month, day)))
+        return F.when(y.isNotNull(), F.try_to_date(parts, "yyyy-MM-dd"))
+
+    slashed, dashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
+    return F.coalesce(made(slashed, 3, 2, 1), made(dashed, 3, 2, 1), made(r"^(\d{1,2})/(\d{1,2})/(\d{2})$", 3, 2, 1), made(slashed, 3, 1, 2), made(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3))
