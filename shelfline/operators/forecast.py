@@ -51,15 +51,19 @@ def ratio_base(series: DataFrame, out: str) -> DataFrame:
 MODELS = ("snaive", "sba", "damped", "last_month", "ratio_base")
 
 
-def model_levels(series: DataFrame, h: int) -> DataFrame:
-    """Forecasts of all models as rows: branch, sku, model, yhat (h values)."""
-    s = ratio_base(panel.damped_mean(series, "y", "damped"), "ratio_base")
+def model_levels(series: DataFrame, h: int, only: str | None = None) -> DataFrame:
+    """Forecasts of all models, or of one, as rows: branch, sku, model, yhat (h values)."""
+    s = series
+    if only in (None, "damped"):
+        s = panel.damped_mean(s, "y", "damped")
+    if only in (None, "ratio_base"):
+        s = ratio_base(s, "ratio_base")
     flat = lambda c: F.array_repeat(c, h)
-    each = F.array(
-        F.struct(F.lit("snaive").alias("model"), seasonal_naive(F.col("y"), h).alias("yhat")), F.struct(F.lit("sba").alias("model"), flat(croston(F.col("y"))).alias("yhat")),
-        F.struct(F.lit("damped").alias("model"), flat(F.col("damped")).alias("yhat")), F.struct(F.lit("last_month").alias("model"), flat(last_month_rule(F.col("y"))).alias("yhat")),
-        F.struct(F.lit("ratio_base").alias("model"), flat(F.col("ratio_base")).alias("yhat")),
-    )
+    made = {
+        "snaive": lambda: seasonal_naive(F.col("y"), h), "sba": lambda: flat(croston(F.col("y"))), "damped": lambda: flat(F.col("damped")),
+        "last_month": lambda: flat(last_month_rule(F.col("y"))), "ratio_base": lambda: flat(F.col("ratio_base")),
+    }
+    each = F.array(*(F.struct(F.lit(m).alias("model"), made[m]().alias("yhat")) for m in MODELS if only in (None, m)))
     return s.select("branch", "sku", F.explode(each).alias("m")).select("branch", "sku", "m.model", "m.yhat")
 
 
@@ -78,18 +82,6 @@ def scores(series: DataFrame, h: int = 3) -> DataFrame:
     return sums.join(F.broadcast(scale)).select("model", *(F.bround(c, 4).alias(c) for c in ("mae", "rmse", "wape", "bias")), F.bround(F.col("mae") / F.col("scale"), 4).alias("mase"))
 
 
-def choose(table: DataFrame, pinned: str | None = None) -> str:
-    """Of models within three points of the best WAPE the one of least bias (in steps of five around +5); models biased
-    under -12 are out unless all are. The table has a row for each model."""
-    rows = table.collect()
-    if pinned in {r.model for r in rows}:
-        return pinned
-    fit = [r for r in rows if r.bias >= -12] or rows
-    best = min(r.wape for r in fit)
-    close = [r for r in fit if r.wape <= best + 3]
-    return min(close, key=lambda r: (round(abs(r.bias - 5) / 5), r.wape, r.model)).model
-
-
 def blend(levels: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean over the models present, weights renormalised."""
     table = levels.sparkSession.createDataFrame(list(weights.items()), "model string, w double")
@@ -97,27 +89,13 @@ def blend(levels: DataFrame, weights: dict[str, float]) -> DataFrame:
     return cells.groupBy("branch", "sku", "h").agg((F.sum(F.col("f") * F.col("w")) / F.sum("w")).alias("yhat"))
 
 
-def finalise(served: DataFrame, series: DataFrame, uplift: float = 1.0, pool: float = 0.2, down: float = 0.3, up: float = 2.0, least: float = 1.0) -> DataFrame:
-    """One rate for each series (branch, sku, yhat): raised by the uplift, drawn towards the branch's median multiple of
-    the recent level, held between bands around the recent and whole-history levels, and at least one unit."""
-    level = panel.recent_level(panel.damped_mean(series, "y", "full"), "y", "recent").select("branch", "sku", "recent", "full")
-    joined = served.join(level, ["branch", "sku"]).withColumn("raised", F.col("yhat") * uplift)
-    multiple = F.when(F.col("recent") > 0, F.col("raised") / F.col("recent"))
-    medians = joined.groupBy("branch").agg(F.median(multiple).alias("typical"), F.count(multiple).alias("members"))
-    pooled = F.when((F.col("recent") > 0) & (F.col("members") >= 3), ((1 - pool) * multiple + pool * F.col("typical")) * F.col("recent")).otherwise(F.col("raised"))
-    low = F.when(F.col("recent") > 0, F.greatest(pooled, F.col("recent") * max(0.0, 1 - down))).otherwise(pooled)
+def anchored(served: DataFrame, down: float = 0.3, up: float = 2.0, least: float = 1.0) -> DataFrame:
+    """served: branch, sku, yhat, recent, full. Rates held between bands around the recent level below and the larger of
+    the recent and whole-history levels above, and at least one unit."""
+    low = F.when(F.col("recent") > 0, F.greatest("yhat", F.col("recent") * max(0.0, 1 - down))).otherwise(F.col("yhat"))
     ceiling = F.greatest("recent", "full")
     held = F.when(ceiling > 0, F.least(low, ceiling * (1 + up))).otherwise(low)
-    return joined.join(F.broadcast(medians), "branch").select("branch", "sku", F.col("recent").alias("recent_level"), F.greatest(held, F.lit(least)).alias("yhat"))
-
-
-def forecast_state(series: DataFrame, h: int = 3, pinned: str | None = None) -> DataFrame:
-    """The served forecast: score the models, choose one, fit it on all history, and finish it into monthly and weekly
-    rates."""
-    model = choose(scores(series, h), pinned)
-    served = model_levels(series, h).filter(F.col("model") == model).select("branch", "sku", (_sum(F.col("yhat")) / h).alias("yhat"))
-    done = finalise(served, series)
-    return done.select("branch", "sku", F.lit(model).alias("method"), F.bround("yhat", 4).alias("monthly"), F.ceil(F.bround(F.col("yhat") / 4, 6)).alias("weekly_demand"), F.bround("recent_level", 4).alias("recent_level"))
+    return served.withColumn("yhat", F.greatest(held, F.lit(least)))
 
 
 def pattern(q: Column) -> Column:

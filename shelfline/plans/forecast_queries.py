@@ -97,8 +97,3 @@ def model_blend(spark, sf_dir):
     levels = forecast.model_levels(_series(spark, sf_dir), 3)
     made = forecast.blend(levels, {"damped": 0.5, "sba": 0.3, "snaive": 0.2})
     return made.select("branch", "sku", "h", F.bround("yhat", 4).alias("yhat"))
-
-
-@register()
-def forecast_state(spark, sf_dir):
-    return forecast.forecast_state(_series(spark, sf_dir))

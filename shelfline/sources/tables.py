@@ -109,3 +109,11 @@ def stock_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock on hand of each branch and product that ever met, a fixed function of the keys."""
     pairs = delivery_lines(spark, sf_dir, product=False).select("branch_id", "branch", "product_id").distinct()
     return pairs.withColumn("on_hand", (F.col("branch_id") * 31 + F.col("product_id") * 17) % 120)
+
+
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sku (a brand), item (its first product's name) and category."""
+    from ..operators.files import category
+
+    part = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("sku")).agg(F.min("p_name").alias("item"))
+    return part.withColumn("category", category(F.col("item")))
