@@ -94,6 +94,9 @@ def recoded_skus(spark, sf_dir):
     return recode.find_recodes(_codes(spark, sf_dir))
 
 
+_WALK = "SELECT branch, old, new, basis, 1 AS depth FROM found UNION ALL SELECT w.branch, w.old, f.new, w.basis, depth + 1 FROM walk w JOIN found f ON w.branch = f.branch AND w.new = f.old"
+
+
 @register("WITH RECURSIVE " + using("dn", """SELECT branch, old, arg_max(new, depth) AS new, any_value(basis) AS basis FROM walk GROUP BY branch, old""", codes=_CODES, life=_LIFE, best=_BEST, found=_FOUND, walk="""
     SELECT branch, old, new, basis, 1 AS depth FROM found UNION ALL SELECT w.branch, w.old, f.new, w.basis, depth + 1 FROM walk w JOIN found f ON w.branch = f.branch AND w.new = f.old""")[5:])
 def recode_chains(spark, sf_dir):
@@ -108,7 +111,8 @@ def merged_history(spark, sf_dir):
     return merged.select("branch", "sku", "t", F.bround("qty", 4).alias("qty"))
 
 
-@register()
+@register("WITH RECURSIVE " + using("dn", """SELECT old, arg_min(new, (-n, new)) AS new FROM (SELECT old, new, COUNT(*) AS n FROM (SELECT branch, old, arg_max(new, depth) AS new FROM walk GROUP BY branch, old) GROUP BY ALL) GROUP BY old""",
+    codes=_CODES, life=_LIFE, best=_BEST, found=_FOUND, walk=_WALK)[5:])
 def recode_aliases(spark, sf_dir):
     return recode.aliases(recode.follow(recode.find_recodes(_codes(spark, sf_dir))))
 

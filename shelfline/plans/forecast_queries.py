@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast, panel
 from ..sources import tables
-from .panel_queries import dense, dense_sql
+from .panel_queries import _ALL, damped_sql, dense, dense_sql
 from .registry import register
 from .views import using
 
@@ -21,12 +21,15 @@ def seasonal_naive(spark, sf_dir):
     return _series(spark, sf_dir).select("branch", "sku", F.posexplode(forecast.seasonal_naive(F.col("y"), 6)).alias("h", "yhat"))
 
 
-@register("WITH RECURSIVE " + using("fine", """SELECT branch, sku, round_even(COALESCE(0.95::DOUBLE * z / p, 0), 6) AS rate FROM (
-    SELECT branch, sku, arg_max(z, t) AS z, arg_max(p, t) AS p FROM walk GROUP BY branch, sku)""", dense=dense_sql("fine"), walk="""
-    SELECT branch, sku, CAST(0 AS INTEGER) AS t, CAST(NULL AS DOUBLE) AS z, 0::DOUBLE AS p, 1::DOUBLE AS q FROM (SELECT DISTINCT branch, sku FROM dense) UNION ALL
+_WALK = """SELECT branch, sku, CAST(0 AS INTEGER) AS t, CAST(NULL AS DOUBLE) AS z, 0::DOUBLE AS p, 1::DOUBLE AS q FROM (SELECT DISTINCT branch, sku FROM dense) UNION ALL
     SELECT w.branch, w.sku, d.t, CASE WHEN d.qty > 0 THEN CASE WHEN z IS NULL THEN d.qty ELSE 0.1::DOUBLE * d.qty + 0.9::DOUBLE * z END ELSE z END,
     CASE WHEN d.qty > 0 THEN CASE WHEN z IS NULL THEN q ELSE 0.1::DOUBLE * q + 0.9::DOUBLE * p END ELSE p END, CASE WHEN d.qty > 0 THEN 1 ELSE q + 1 END
-    FROM walk w JOIN dense d ON w.branch = d.branch AND w.sku = d.sku AND d.t = w.t + 1""")[5:])
+    FROM walk w JOIN dense d ON w.branch = d.branch AND w.sku = d.sku AND d.t = w.t + 1"""
+_RATES = "SELECT branch, sku, COALESCE(0.95::DOUBLE * z / p, 0) AS rate FROM (SELECT branch, sku, arg_max(z, t) AS z, arg_max(p, t) AS p FROM walk GROUP BY branch, sku)"
+_LAST4 = "SELECT branch, sku, t - n + 4 AS t, 4 AS n, qty FROM (SELECT *, MAX(t) OVER (PARTITION BY branch, sku) AS n FROM dense) WHERE t > n - 4"
+
+
+@register("WITH RECURSIVE " + using("fine", "SELECT branch, sku, round_even(rate, 6) AS rate FROM rates", dense=dense_sql("fine"), walk=_WALK, rates=_RATES)[5:])
 def croston_rate(spark, sf_dir):
     return _series(spark, sf_dir, "branch").select("branch", "sku", F.bround(forecast.croston(F.col("y")), 6).alias("rate"))
 
@@ -36,7 +39,8 @@ def last_month_rule(spark, sf_dir):
     return _series(spark, sf_dir).select("branch", "sku", forecast.last_month_rule(F.col("y")).alias("forecast"))
 
 
-@register()
+@register("WITH RECURSIVE " + using("fine", f"""SELECT a.branch, a.sku, round_even(CASE WHEN live THEN GREATEST(level, rate) ELSE level END, 6) AS level FROM ({damped_sql(_LAST4)}) a JOIN rates r ON a.branch = r.branch AND a.sku = r.sku
+    JOIN (SELECT branch, sku, MAX(qty) FILTER (t > n - 6) > 0 AS live FROM ({_ALL}) GROUP BY branch, sku) b ON a.branch = b.branch AND a.sku = b.sku""", dense=dense_sql("fine"), walk=_WALK, rates=_RATES)[5:])
 def ratio_base_level(spark, sf_dir):
     return forecast.ratio_base(_series(spark, sf_dir, "branch"), "level").select("branch", "sku", F.bround("level", 6).alias("level"))
 
@@ -92,7 +96,8 @@ def model_scores(spark, sf_dir):
     return forecast.scores(_series(spark, sf_dir))
 
 
-@register()
+@register("WITH RECURSIVE " + using("panel", f"""SELECT a.branch, a.sku, CAST(h AS INTEGER) AS h, round_even(0.5::DOUBLE * level + 0.3::DOUBLE * rate + 0.2::DOUBLE * qty, 4) AS yhat FROM ({damped_sql(_ALL)}) a JOIN rates r ON a.branch = r.branch AND a.sku = r.sku
+    JOIN (SELECT branch, sku, t - n + 3 AS h, qty FROM ({_ALL}) WHERE t > n - 4) s ON a.branch = s.branch AND a.sku = s.sku WHERE h < 3""", dense=dense_sql(), walk=_WALK, rates=_RATES)[5:])
 def model_blend(spark, sf_dir):
     levels = forecast.model_levels(_series(spark, sf_dir), 3)
     made = forecast.blend(levels, {"damped": 0.5, "sba": 0.3, "snaive": 0.2})

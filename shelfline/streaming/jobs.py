@@ -3,11 +3,13 @@ its checkpoint and ends."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,6 +75,61 @@ def ledger(changes: DataFrame) -> DataFrame:
     return changes.groupBy("branch_id", "product_id").applyInPandasWithState(fold, "branch_id long, product_id long, seq long, change long, balance long", "balance long", "append", GroupStateTimeout.NoTimeout)
 
 
+def accumulate(notes: DataFrame) -> DataFrame:
+    """entry.accumulated() as a stream: notes (branch_id, branch, seq, kind, dn_no, doc_date, shorts) load the branch's open
+    back order, and a CLOSE puts out its rows: branch_id, bo_no, notes, product_id, qty_ordered. State of a branch is its
+    open order as JSON and how often each number has been used this year and last."""
+
+    def load(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"open": None, "used": {}}
+        out = []
+        for note in pd.concat(list(parts)).sort_values("seq").itertuples():
+            now = held["open"]
+            if note.kind == "CLOSE":
+                if now:
+                    out += [(key[0], now["bo_no"], now["notes"], int(p), q) for p, q in now["short"].items()]
+                held["open"] = None
+                continue
+            if now is None:
+                year, week, _ = note.doc_date.isocalendar()
+                base = f"BO-{note.branch}-{year}W{week:02d}"
+                held["used"] = {k: v for k, v in held["used"].items() if int(k.rsplit("-", 1)[1][:4]) >= year - 1}
+                held["used"][base] = held["used"].get(base, 0) + 1
+                n = held["used"][base]
+                now = held["open"] = {"bo_no": base if n == 1 else f"{base}-{n}", "notes": 0, "short": {}}
+            now["notes"] += 1
+            for s in note.shorts:
+                now["short"][str(s["product_id"])] = now["short"].get(str(s["product_id"]), 0) + int(s["qty"])
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["branch_id", "bo_no", "notes", "product_id", "qty_ordered"])
+
+    return notes.groupBy("branch_id").applyInPandasWithState(load, "branch_id long, bo_no string, notes long, product_id long, qty_ordered long", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def merge_parts(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Uploads of parts of months (branch, period, sku, item, qty, turnover_cents, day_from, day_to) merged into the Parquet
+    table at target by entry.merged_month(): only the partitions (branch, period) of a batch are read and replaced. A
+    batch that runs again finds its days in the table and changes nothing."""
+    from ..operators.entry import merged_month
+
+    schema = "sku string, item string, qty long, turnover_cents long, day_from int, day_to int, branch string, period date"
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*(F.col(c.split()[0]) for c in schema.split(", ")))
+        keys = new.select("branch", "period").distinct()
+        try:
+            table = spark.read.schema(schema).parquet(target)
+            old = table.join(F.broadcast(keys), ["branch", "period"], "left_semi").select(new.columns)  # a row for each month of the batch
+        except AnalysisException:  # nothing is there yet
+            old = spark.createDataFrame([], new.schema)
+        draft = f"{checkpoint}-draft/{number}"
+        merged_month(old, new).drop("decision").write.mode("overwrite").parquet(draft)
+        spark.read.parquet(draft).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("branch", "period").parquet(target)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def replace_by_key(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> None:
     """Rows of a batch replace all rows with the same partition keys in the Parquet table at target."""
 
