@@ -32,7 +32,8 @@ def _words(model: str) -> Recent:
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int): the pieces of each whole text as sentencepiece gives them, without begin and end ids.
-    Null counts as empty and has no ids."""
+    Null counts as empty and has no ids; repeated rows are repeated, extra columns are not looked at, long runs are merged
+    as round_trip says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(model)
@@ -63,7 +64,9 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded text) for each
-    row, without shuffles. Null counts as empty; repeated rows give repeated results; no text is cut."""
+    row, without shuffles. Null counts as empty; repeated rows give repeated results; no text is cut; extra columns are
+    not looked at; an empty table is empty. Runs of more than 4,096 characters that no piece ends in leave the rounds and
+    are merged through a heap, with the same result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _words(model)

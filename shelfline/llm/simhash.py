@@ -115,7 +115,8 @@ def _classes(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> tuple[D
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links of
-    at most `radius` bits reach, itself included).
+    at most `radius` bits reach, itself included). Fingerprints meet in covering tables; those of buckets with over
+    SMALL_BUCKET of them meet at the values within half the radius instead, which loses no link either.
 
     Null texts count as empty, with fingerprint zero, and link like any other. A null doc_id is no component_id, but
     its row links others; a component of null doc_ids only has component_id null. Repeated rows give repeated results,
