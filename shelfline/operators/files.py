@@ -39,7 +39,7 @@ def read_cells(spark: SparkSession, path: str, width: int) -> DataFrame:
     """file, row, cells of CSV files without regard to headers; the path may have wildcards. A file's rows keep its order."""
     schema = ", ".join(f"c{i} string" for i in range(width))
     table = spark.read.schema(schema).option("header", False).csv(path)
-    rows = table.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.array(*(f"c{i}" for i in range(width))).alias("cells"))
+    rows = table.select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.array(*(f"c{i}" for i in range(width))).alias("cells"))
     order = Window.partitionBy("file").orderBy("at", "id")
     return rows.select("file", (F.row_number().over(order) - 1).alias("row"), "cells")
 
