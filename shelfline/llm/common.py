@@ -42,17 +42,6 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(*frames: DataFrame) -> None:
-    """Removes the folders of frames that stored() gave, once nothing reads them any more. What is left goes when the
-    cluster clears its shared folder."""
-    for frame in frames:
-        spark, folder = frame.sparkSession, shared_folder(frame.sparkSession)
-        for path in {file.rsplit("/", 1)[0] for file in frame.inputFiles()}:
-            if path.split("://")[-1].split(":", 1)[-1].lstrip("/").startswith(folder.split("://")[-1].split(":", 1)[-1].lstrip("/")):
-                target = spark._jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
