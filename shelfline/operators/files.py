@@ -109,7 +109,7 @@ def monthly_panel(cells: DataFrame, branches: list[tuple[str, str]], default_yea
         F.coalesce(_number(F.get("cells", F.lit(2))), F.lit(0.0)).alias("qty"), value("__t").alias("turnover"), value("__g").alias("gp_pct"), value("__p").alias("profit"),
     ).filter("sku <> ''")
     sums = typed.groupBy("branch_code", "sku", "period").agg(
-        F.min_by("item", "__at").alias("item"), F.sum("qty").alias("qty"), F.coalesce(F.sum("turnover"), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum("profit"), F.lit(0.0)).alias("profit"),
+        F.min_by("item", F.struct("__at", "item")).alias("item"), F.sum("qty").alias("qty"), F.coalesce(F.sum("turnover"), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum("profit"), F.lit(0.0)).alias("profit"),
         F.avg("gp_pct").alias("gp_pct"), F.min_by("day_from", "__at").alias("day_from"), F.min_by("day_to", "__at").alias("day_to"),
     )
     return sums.withColumn("category", category(F.col("item")))

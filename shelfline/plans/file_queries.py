@@ -46,7 +46,7 @@ def sales_file_names(spark, sf_dir):
 
 _CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(item, '{words}', 'i') THEN '{label}'" for label, words in files.CATEGORIES) + f" ELSE '{files.OTHER_CATEGORY}' END"
 _UPLOADED = f"""SELECT branch_code, sku, period, item, qty, turnover, profit, gp_pct, day_from, day_to, {_CATEGORY_SQL} AS category FROM (
-    SELECT branch_code, sku, period, arg_min(description, (file, place)) AS item, CAST(SUM(requested_qty) AS DOUBLE) AS qty, CAST(SUM(sent_qty) AS DOUBLE) AS turnover, CAST(SUM(backorder_qty) AS DOUBLE) AS profit,
+    SELECT branch_code, sku, period, arg_min(description, (file, place, description)) AS item, CAST(SUM(requested_qty) AS DOUBLE) AS qty, CAST(SUM(sent_qty) AS DOUBLE) AS turnover, CAST(SUM(backorder_qty) AS DOUBLE) AS profit,
       round_even(AVG(line_no), 6) AS gp_pct, CAST(MIN(day_from) AS INTEGER) AS day_from, CAST(MIN(day_to) AS INTEGER) AS day_to FROM (
       SELECT r.*, l.brand AS sku, l.description, l.requested_qty, l.sent_qty, l.backorder_qty, l.line_no, l.dn_no * 10 + l.line_no AS place FROM lines l JOIN read r ON l.branch_id = r.branch_id AND date_trunc('month', l.doc_date) = r.m)
     WHERE period IS NOT NULL GROUP BY branch_code, sku, period)"""
@@ -78,7 +78,7 @@ def files_over_stored(spark, sf_dir):
     return files.files_first(_uploaded(spark, sf_dir).select("branch_code", "sku", "period", "qty"), stored, ["branch_code", "period"])
 
 
-@register(using("dn", """SELECT file, CASE WHEN k = 4 THEN NULL ELSE w END AS week_start, CASE WHEN k = 4 THEN NULL WHEN branch_id % 8 = 3 THEN CASE WHEN k = 2 THEN 'B0' ELSE 'OTHER' || chr(65 + branch_id % 10) END ELSE 'B' || branch_id END AS branch_code FROM (
+@register(using("dn", """SELECT file, CASE WHEN k = 4 THEN NULL WHEN k = 2 AND year(w) < 2000 THEN CAST(w + INTERVAL 100 YEAR AS DATE) ELSE w END AS week_start, CASE WHEN k = 4 THEN NULL WHEN branch_id % 8 = 3 THEN CASE WHEN k = 2 THEN 'B0' ELSE 'OTHER' || chr(65 + branch_id % 10) END ELSE 'B' || branch_id END AS branch_code FROM (
     SELECT branch_id, w, k, CASE k WHEN 0 THEN name || ' ' || day(w) || '-' || month(w) || '-' || year(w) WHEN 1 THEN name || '  - ' || strftime(w, '%Y-%m-%d') WHEN 2 THEN CASE WHEN branch_id % 8 = 3 THEN '' ELSE name || ' ' END || strftime(w, '%d.%m.%y')
         WHEN 3 THEN name || ' ' || strftime(w, '%Y.%m.%d') ELSE name || ' 31-02-2001' END || '.xlsx' AS file FROM (
       SELECT DISTINCT branch_id, CAST(date_trunc('week', doc_date) AS DATE) AS w, (day(date_trunc('week', doc_date)) + branch_id) % 5 AS k, CASE WHEN branch_id % 8 = 3 THEN 'other ' || chr(97 + branch_id % 10) ELSE 'Nation ' || chr(65 + branch_id) END AS name FROM dn WHERE year(doc_date) >= 2000)) GROUP BY ALL"""))
@@ -140,10 +140,10 @@ def warehouse_snapshot(spark, sf_dir):
 
 
 @register("""SELECT 'list' || l_suppkey % 30 AS file, l_orderkey * 10 + l_linenumber AS row, 'P' || l_partkey AS sku, CAST(l_quantity AS BIGINT) * CASE WHEN l_suppkey % 30 % 3 = 1 THEN 1000 ELSE 1 END AS qty
-    FROM lineitem WHERE l_linenumber <> 4 AND l_quantity > 0""")
+    FROM lineitem WHERE l_linenumber <> 4 AND l_quantity > 0 AND l_orderkey > 0""")
 def quantity_lists(spark, sf_dir):
     """Lists with the header in the first or third row or without one, counts with thousands commas in some."""
-    line = tables.table(spark, sf_dir, "lineitem")
+    line = tables.table(spark, sf_dir, "lineitem").filter("l_orderkey > 0")
     k = F.col("l_suppkey") % 30
     sku, n = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("long").cast("string")
     qty = F.when(F.col("l_linenumber") == 4, "-").when(k % 3 == 1, F.concat(n, F.lit(",000"))).otherwise(n)
