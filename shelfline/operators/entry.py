@@ -162,20 +162,39 @@ def audit(rows: DataFrame, entity: str, key: str, action: str, *detail: str) ->
 
 def merged_month(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of months after uploads of parts of them. Both: branch, period, sku, item, qty, turnover_cents, day_from,
-    day_to. By the days a month had and those that come: all new ones replace, ones inside stay out, ones next to them
-    are added by sku over the widened days, all others are refused (the old rows stay). Adds decision."""
+    day_to; new also `part`, if there are several uploads of a month: they are taken one after another in its order. By the
+    days a month has by then and those that come: all new ones replace, ones inside stay out, ones next to them are added by
+    sku over the widened days, all others are refused. Adds decision, that of each part in order with commas between, or
+    keep where nothing came. A month's parts, a few, are folded as an array; its rows meet only their fate."""
     from .panel import merge_decision
 
     keys = ["branch", "period"]
-    span = lambda rows, s: rows.groupBy(*keys).agg(F.min("day_from").alias(f"{s}_from"), F.max("day_to").alias(f"{s}_to"))
-    spans = span(old, "old").join(span(new, "new"), keys, "full")
-    decision = F.when(F.col("new_from").isNull(), "keep").otherwise(merge_decision(*(F.col(c) for c in ("old_from", "old_to", "new_from", "new_to"))))
-    decided = spans.select(*keys, decision.alias("decision"), F.least("old_from", "new_from").alias("__from"), F.greatest("old_to", "new_to").alias("__to"))
-    tagged = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True))).join(decided, keys)
-    kept = tagged.filter(F.when(F.col("decision").isin("save", "replace"), F.col("__new")).when(F.col("decision") == "add", True).otherwise(~F.col("__new")))
-    widened = F.col("decision") == "add"
-    first = F.min_by("item", F.struct(F.col("__new"), F.col("item")))
+    new = new.withColumn("__part", F.col("part").cast("string") if "part" in new.columns else F.lit("")).drop("part")
+    span = lambda rows, *more: rows.groupBy(*keys, *more).agg(F.min("day_from").alias("from"), F.max("day_to").alias("to"))
+    parts = span(new, "__part").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__part", "from", "to"))).alias("parts"))
+    strings = F.array().cast("array<string>")
+    start = F.struct(F.col("from"), F.col("to"), F.col("from").isNotNull().alias("old"), strings.alias("kept"), strings.alias("decisions"))
+
+    def take(s: Column, p: Column) -> Column:
+        said = merge_decision(s["from"], s["to"], p["from"], p["to"])
+        alone, add = said.isin("save", "replace"), said == "add"
+        return F.struct(
+            F.when(alone, p["from"]).when(add, F.least(s["from"], p["from"])).otherwise(s["from"]).alias("from"),
+            F.when(alone, p["to"]).when(add, F.greatest(s["to"], p["to"])).otherwise(s["to"]).alias("to"),
+            (s["old"] & ~alone).alias("old"),
+            F.when(alone, F.array(p["__part"])).when(add, F.concat(s["kept"], F.array(p["__part"]))).otherwise(s["kept"]).alias("kept"),
+            F.concat(s["decisions"], F.array(said)).alias("decisions"),
+        )
+
+    folded = span(old).join(parts, keys, "full").withColumn("fate", F.aggregate(F.coalesce("parts", F.array().cast("array<struct<__part:string,from:int,to:int>>")), start, take))
+    said = F.when(F.col("parts").isNull(), "keep").otherwise(F.array_join("fate.decisions", ","))
+    decided = folded.select(*keys, "fate", said.alias("decision"))
+    tagged = old.withColumn("__part", F.lit(None).cast("string")).unionByName(new).join(decided, keys)
+    own = F.col("__part").isNull()
+    kept = tagged.filter(F.when(own, F.col("fate.old")).otherwise(F.array_contains("fate.kept", F.col("__part"))))
+    widened = F.size("fate.kept") + F.col("fate.old").cast("int") > 1
+    first = F.min_by("item", F.struct(F.when(own, 0).otherwise(F.array_position("fate.kept", F.col("__part"))), F.col("item")))
     return kept.groupBy(*keys, "sku", "decision").agg(
         first.alias("item"), F.sum("qty").alias("qty"), F.sum("turnover_cents").alias("turnover_cents"),
-        F.min(F.when(widened, F.col("__from")).otherwise(F.col("day_from"))).alias("day_from"), F.max(F.when(widened, F.col("__to")).otherwise(F.col("day_to"))).alias("day_to"),
+        F.min(F.when(widened, F.col("fate.from")).otherwise(F.col("day_from"))).alias("day_from"), F.max(F.when(widened, F.col("fate.to")).otherwise(F.col("day_to"))).alias("day_to"),
     )

@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Lin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import forecast, panel
+from . import boosting, forecast, panel
 
 #: The least history of a training row, lags, the Tweedie power, bounds of the learned ratio, the weight of
 #: rows of the last periods and how many these are.
@@ -98,6 +98,8 @@ def fit_ratio(rows: DataFrame, under: float = 1.6):
 
 def predict(model, rows: DataFrame, ratio: bool = False) -> DataFrame:
     """rows with yhat, never below 0; with ratio the model's bounded ratio of the base level."""
+    if isinstance(model, boosting.Trees):
+        return boosting.predict(model, rows)
     told = model.transform(_assembled(rows)).drop("features")
     value = F.greatest("damped", "croston") * F.greatest(F.lit(RATIO_LOW), F.least(F.lit(RATIO_HIGH), F.col("prediction"))) if ratio else F.col("prediction")
     return told.withColumn("yhat", F.greatest(F.lit(0.0), value)).drop("prediction")

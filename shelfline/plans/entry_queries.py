@@ -198,3 +198,41 @@ def merged_months(spark, sf_dir):
     old = months("line_no % 2 = 1 and year(doc_date) < 2000", ((1, 1, 10, 5), (12, 28, 20, 15)))
     new = months("line_no % 2 = 0 and year(doc_date) > 1996", ((13, 10, 1, 14), (20, 20, 28, 25)))
     return entry.merged_month(old, new)
+
+
+def _days(name: str, spans: tuple) -> str:
+    """Columns f and t of a month's days by its number modulo 4."""
+    return ", ".join(f"CASE month(period) % 4 {' '.join(f'WHEN {i} THEN {span[k]}' for i, span in enumerate(spans))} END AS day_{w}" for k, w in enumerate(("from", "to")))
+
+
+#: Days on record, of a first and of a second upload, for months whose number has a remainder of 0 to 3 by 4.
+_SPANS = {"old": ((1, 12), (1, 28), (10, 20), (5, 15)), "one": ((13, 20), (10, 20), (1, 28), (14, 25)), "two": ((21, 28), (1, 31), (5, 30), (16, 20))}
+_SOME = {"old": "line_no % 2 = 1 AND year(doc_date) < 2000", "one": "line_no % 2 = 0 AND dn_no % 2 = 0 AND year(doc_date) > 1996", "two": "line_no % 2 = 0 AND dn_no % 2 = 1 AND year(doc_date) > 1996"}
+
+
+def _fate(step: str, f: str, t: str, pf: str, pt: str) -> str:
+    said = f"CASE WHEN {pf} IS NULL THEN NULL WHEN {f} IS NULL THEN 'save' WHEN {pf} <= {f} AND {pt} >= {t} THEN 'replace' WHEN {pf} >= {f} AND {pt} <= {t} THEN 'skip' WHEN {pf} = {t} + 1 OR {pt} = {f} - 1 THEN 'add' ELSE 'reject' END"
+    return f"*, {said} AS d{step}, CASE WHEN {said} IN ('save', 'replace') THEN {pf} WHEN {said} = 'add' THEN LEAST({f}, {pf}) ELSE {f} END AS f{step}, CASE WHEN {said} IN ('save', 'replace') THEN {pt} WHEN {said} = 'add' THEN GREATEST({t}, {pt}) ELSE {t} END AS t{step}"
+
+
+@register(using("dn", f"""SELECT branch, period, sku, decision, arg_min(item, (part, item)) AS item, CAST(SUM(qty) AS BIGINT) AS qty, CAST(SUM(turnover_cents) AS BIGINT) AS turnover_cents,
+      CAST(MIN(CASE WHEN wide THEN f2 ELSE day_from END) AS INTEGER) AS day_from, CAST(MAX(CASE WHEN wide THEN t2 ELSE day_to END) AS INTEGER) AS day_to FROM (
+    SELECT r.*, k.* EXCLUDE (branch, period), [keep0, keep1, keep2][part + 1] AS kept, keep0::INT + keep1::INT + keep2::INT > 1 AS wide FROM (SELECT *, 0 AS part FROM old UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two) r JOIN (
+      SELECT *, COALESCE(NULLIF(concat_ws(',', d1, d2), ''), 'keep') AS decision, f0 IS NOT NULL AND COALESCE(d1, '') NOT IN ('save', 'replace') AND COALESCE(d2, '') NOT IN ('save', 'replace') AS keep0,
+        COALESCE(d1, '') IN ('save', 'replace', 'add') AND COALESCE(d2, '') NOT IN ('save', 'replace') AS keep1, COALESCE(d2, '') IN ('save', 'replace', 'add') AS keep2 FROM (
+      SELECT {_fate('2', 'f1', 't1', 'pf2', 'pt2')} FROM (SELECT {_fate('1', 'f0', 't0', 'pf1', 'pt1')} FROM (
+        SELECT branch, period, MIN(day_from) FILTER (part = 0) AS f0, MAX(day_to) FILTER (part = 0) AS t0, MIN(day_from) FILTER (part = 1) AS pf1, MAX(day_to) FILTER (part = 1) AS pt1, MIN(day_from) FILTER (part = 2) AS pf2, MAX(day_to) FILTER (part = 2) AS pt2
+        FROM (SELECT *, 0 AS part FROM old UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY ALL)))) k ON k.branch = r.branch AND k.period = r.period) WHERE kept GROUP BY branch, period, sku, decision""",
+    **{n: _range(_PARTS.format(_SOME[n]), _days(n, _SPANS[n])) for n in _SPANS}))
+def merged_month_parts(spark, sf_dir):
+    """Odd lines as months on record and even lines as two uploads of parts of months, merged one after the other."""
+    lines = tables.delivery_lines(spark, sf_dir)
+
+    def months(name):
+        sums = lines.filter(_SOME[name]).groupBy(F.col("region").alias("branch"), F.trunc("doc_date", "month").alias("period"), F.col("brand").alias("sku")).agg(
+            F.min(F.concat_ws(" ", "brand", "category")).alias("item"), F.sum("requested_qty").alias("qty"), F.sum("revenue_cents").alias("turnover_cents")
+        )
+        return sums.selectExpr("*", *_days(name, _SPANS[name]).split(", "))
+
+    parts = months("one").withColumn("part", F.lit(1)).unionByName(months("two").withColumn("part", F.lit(2)))
+    return entry.merged_month(months("old"), parts)

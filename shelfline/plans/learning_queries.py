@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import files, forecast, learning, panel
+from ..operators import boosting, files, forecast, learning, panel, saved_models, serving
 from ..sources import tables
+from ..streaming import jobs, loads
 from .panel_queries import _months, dense, dense_sql
 from .registry import register
 from .views import using
@@ -123,3 +124,22 @@ def model_choice(spark, sf_dir):
 @register()
 def forecast_state(spark, sf_dir):
     return learning.forecast_state(_series(spark, sf_dir).select("branch", "sku", "y"), tables.brands(spark, sf_dir).select("sku", "category"))
+
+
+@register()
+def boosted_forecast(spark, sf_dir):
+    """The next months by trees boosted on the Tweedie deviance, saved, loaded again and told step by step."""
+    folder = jobs.work_folder(spark, "saved-models")
+    series, month = _series(spark, sf_dir), _first_month(spark, sf_dir)
+    rows = learning.design(series, month)
+    signed = loads.signature(series.select("branch", "sku", "y"), []).first()
+    saved_models.trained(spark, folder, "trees", rows, learning.FEATURES, f"{signed.rows}:{signed.digest}")
+    row = saved_models.load(spark, folder, "trees")
+    told = learning.recursive(boosting.Trees.from_json(row.model), series, month, HORIZON)
+    return told.select("branch", "sku", F.lit(row.version).alias("version"), F.posexplode(F.transform("yhat", lambda v: F.bround(v, 4))).alias("h", "yhat"))
+
+
+@register()
+def served_forecast(spark, sf_dir):
+    """The forecast of the candidate that does best on the last months, with its band."""
+    return serving.served(_series(spark, sf_dir), _first_month(spark, sf_dir), HORIZON)[0]

@@ -108,26 +108,29 @@ def accumulate(notes: DataFrame) -> DataFrame:
 
 def merge_parts(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Uploads of parts of months (branch, period, sku, item, qty, turnover_cents, day_from, day_to) merged into the Parquet
-    table at target by entry.merged_month(): only the partitions (branch, period) of a batch are read and replaced. A
-    batch that runs again finds its days in the table and changes nothing."""
+    table at target by entry.merged_month(): only the partitions (branch, period) of a batch are read and replaced. Each
+    file is a part; those of a batch are merged in order of their time and name. A batch that runs again finds its days in
+    the table and changes nothing."""
     from ..operators.entry import merged_month
 
     schema = "sku string, item string, qty long, turnover_cents long, day_from int, day_to int, branch string, period date"
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*(F.col(c.split()[0]) for c in schema.split(", ")))
+        new = batch.select(*(F.col(c.split()[0]) for c in schema.split(", ")), "part")
         keys = new.select("branch", "period").distinct()
         try:
             table = spark.read.schema(schema).parquet(target)
-            old = table.join(F.broadcast(keys), ["branch", "period"], "left_semi").select(new.columns)  # a row for each month of the batch
+            old = table.join(F.broadcast(keys), ["branch", "period"], "left_semi").select(new.drop("part").columns)  # a row for each month of the batch
         except AnalysisException:  # nothing is there yet
-            old = spark.createDataFrame([], new.schema)
+            old = spark.createDataFrame([], new.drop("part").schema)
         draft = f"{checkpoint}-draft/{number}"
         merged_month(old, new).drop("decision").write.mode("overwrite").parquet(draft)
         spark.read.parquet(draft).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("branch", "period").parquet(target)
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    part = F.concat_ws(" ", F.date_format("_metadata.file_modification_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "_metadata.file_name")
+    named = stream.select("*", part.alias("part"))
+    named.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def replace_by_key(stream: DataFrame, target: str, keys: list[str], checkpoint: str) -> None:

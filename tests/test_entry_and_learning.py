@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -48,6 +49,28 @@ def test_parts_of_months_come_as_a_stream(spark, tmp_path):
     assert got == {("A", "x", "one", 12, 120, 1, 20), ("A", "y", "why", 2, 20, 1, 20), ("B", "z", "all", 8, 80, 1, 31)}
 
 
+@pytest.mark.parametrize("record, parts, want", [
+    (None, [(1, 10, 10), (5, 15, 7)], {("save,reject", 10, 1, 10)}), (None, [(1, 5, 4), (20, 25, 6)], {("save,reject", 4, 1, 5)}),
+    ((8, 12, 3), [(1, 5, 4), (20, 25, 6)], {("reject,reject", 3, 8, 12)}), ((8, 12, 3), [(1, 7, 4), (13, 20, 6)], {("add,add", 13, 1, 20)}),
+    ((8, 12, 3), [(13, 20, 6), (1, 31, 50), (2, 3, 9)], {("add,replace,skip", 50, 1, 31)}), ((8, 12, 3), [], {("keep", 3, 8, 12)}),
+])
+def test_parts_of_a_month_are_taken_one_after_another(spark, tmp_path, record, parts, want):
+    schema = "branch string, period date, sku string, item string, qty long, turnover_cents long, day_from int, day_to int"
+    row = lambda f, t, q: ("A", datetime.date(2001, 3, 1), "x", "X", q, q, f, t)
+    old = spark.createDataFrame([row(*record)] if record else [], schema)
+    new = spark.createDataFrame([(*row(*p), i) for i, p in enumerate(parts)], schema + ", part int")
+    assert {(r.decision, r.qty, r.day_from, r.day_to) for r in entry.merged_month(old, new).collect()} == want
+    # the same as files of one batch, each later than the one before
+    source, target = str(tmp_path / "in"), str(tmp_path / "table")
+    for i, p in enumerate(([record] if record else []) + parts):
+        spark.createDataFrame([row(*p)], schema).coalesce(1).write.mode("append").parquet(source)
+        for f in os.listdir(source):
+            if f.endswith(".parquet") and os.path.getmtime(f"{source}/{f}") > 10_000:
+                os.utime(f"{source}/{f}", (i, i))
+    jobs.merge_parts(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "c"))
+    assert {(r.qty, r.day_from, r.day_to) for r in spark.read.parquet(target).collect()} == {w[1:] for w in want}
+
+
 def test_probes_share_what_is_left():
     assert allocation.probe_sizes(np.array([1.0, 1.0, 1.0]), 30, 0.0) == [10, 7, 4]
     assert allocation.probe_sizes(np.array([5.0, 1.0]), 9, 2.0) == [9]
