@@ -68,9 +68,10 @@ def _word_ids(path: str) -> Recent:
 
 
 def _spaced(text: str, mark: str) -> str:
-    """A space before each mark where all marks follow letters, digits or spaces: the tokenizer parts them there anyway."""
+    """A space before each mark where all marks follow letters, digits or spaces: the tokenizer parts them there anyway.
+    What counts is the lower-cased letter: that of U+0130 ends in a combining dot, which a mark stays with."""
     parts = text.split(mark)
-    fits = len(parts) > 1 and all(p and (p[-1].isalnum() or p[-1] == " ") for p in parts[:-1])
+    fits = len(parts) > 1 and all(p and (p[-1].lower()[-1].isalnum() or p[-1] == " ") for p in parts[:-1])
     return f" {mark}".join(parts) if fits else text
 
 

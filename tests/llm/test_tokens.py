@@ -187,3 +187,16 @@ def test_peaks_do_not_depend_on_the_parts_they_are_made_in(monkeypatch):
     whole = media.peaks(sound)
     monkeypatch.setattr(media, "FRAMES_AT_ONCE", 7)
     assert (media.peaks(sound) == whole).all()
+
+
+def test_marks_after_letters_whose_lower_case_is_longer(spark):
+    library = Tokenizer.from_file(WORD)
+    longer = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) > 1]
+    assert "İ" in longer
+    rng = np.random.default_rng(11)
+    alphabet = [*longer * 3, *"aAıIeǅßŒ", ".", ",", " ", "\n", "1", "-"]
+    texts = ["TARİHİ, YENİ.", "Kısa: İKİ.", "İ", ".İ,İ"] + ["".join(rng.choice(alphabet, rng.integers(1, 25))) for _ in range(3000)]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.token_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD, 2).collect()}
+    for i, x in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        ids = np.array([*x.ids, 2], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), texts[i]
