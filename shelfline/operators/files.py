@@ -185,15 +185,17 @@ def invoice_sku(description: Column) -> tuple[Column, Column]:
     return F.when(code != "", code).otherwise("ITEM"), clean
 
 
-def document_lines(rows: DataFrame) -> DataFrame:
+def document_lines(rows: DataFrame, once: bool = True) -> DataFrame:
     """rows: file, row, sku, description, requested, sent (text; sku null on invoices). Lines with what was requested and
     sent: a blank sent is 0 and more than requested counts as requested; on an invoice all was sent and the code comes
-    from the description. Of equal products and requests of a file the first counts."""
+    from the description. With once, of equal products and requests of a file the first counts."""
     invoice = F.col("sku").isNull()
     code, clean = invoice_sku(F.col("description"))
     asked = parsed_int(F.col("requested"))
     sent = F.when(invoice, asked).otherwise(F.least(F.coalesce(parsed_int(F.col("sent")), F.lit(0).cast("long")), asked))
     lines = rows.select("file", "row", F.when(invoice, code).otherwise(F.trim("sku")).alias("sku"), F.when(invoice, clean).otherwise(F.col("description")).alias("description"), asked.alias("requested_qty"), sent.alias("sent_qty"))
+    if not once:
+        return lines.filter("requested_qty > 0")
     place = F.row_number().over(Window.partitionBy("file", "sku", "requested_qty").orderBy("row"))
     return lines.filter("requested_qty > 0").withColumn("__place", place).filter("__place = 1").drop("__place")
 

@@ -22,7 +22,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import allocation_queries, entry_queries, file_queries, fill_queries, flow_queries, forecast_queries, learning_queries, load_queries, panel_queries, planning_queries, report_queries, sales_queries, stream_queries  # noqa: F401
+    from . import allocation_queries, document_queries, entry_queries, file_queries, fill_queries, flow_queries, forecast_queries, learning_queries, load_queries, panel_queries, planning_queries, report_queries, sales_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
