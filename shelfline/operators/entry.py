@@ -4,7 +4,6 @@ Nothing is updated in place. Each function derives the rows that a document adds
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,27 +107,16 @@ def accumulated(notes: DataFrame) -> DataFrame:
     opens another, numbered by its week (the second of a week has -2 behind it, and so on). A row for each order and
     product, with the order's notes and whether it is still open."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows, used = [], {}
-        now: dict | None = None
-        for note in part.sort_values("seq").itertuples():
-            if note.kind == "CLOSE":
-                now = None
-                continue
-            if now is None:
-                year, week, _ = note.doc_date.isocalendar()
-                base = f"BO-{note.branch}-{year}W{week:02d}"
-                used[base] = used.get(base, 0) + 1
-                now = {"bo_no": base if used[base] == 1 else f"{base}-{used[base]}", "notes": 0, "short": {}, "branch_id": note.branch_id, "last": 0}
-                rows.append(now)
-            now["notes"] += 1
-            now["last"] = note.seq
-            for s in note.shorts:
-                now["short"][s["product_id"]] = now["short"].get(s["product_id"], 0) + int(s["qty"])
-        found = [(b["branch_id"], b["bo_no"], b["notes"], b is now, p, q) for b in rows for p, q in b["short"].items()]
-        return pd.DataFrame(found, columns=["branch_id", "bo_no", "notes", "is_open", "product_id", "qty_ordered"])
-
-    return notes.groupBy("branch_id").applyInPandas(run, "branch_id long, bo_no string, notes long, is_open boolean, product_id long, qty_ordered long")
+    branch, close = Window.partitionBy("branch_id"), (F.col("kind") == "CLOSE").cast("long")
+    before = F.coalesce(F.sum(close).over(branch.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = notes.withColumns({"__order": before, "__closes": F.sum(close).over(branch)}).filter("kind <> 'CLOSE'")
+    orders = placed.groupBy("branch_id", "__order").agg(
+        F.min("seq").alias("__first"), F.min_by(week_number(F.col("branch"), F.col("doc_date")), "seq").alias("__base"), F.count(F.lit(1)).alias("notes"), F.bool_and(F.col("__order") == F.col("__closes")).alias("is_open")
+    )
+    nth = F.row_number().over(Window.partitionBy("branch_id", "__base").orderBy("__first"))
+    numbered = orders.withColumn("__nth", nth).withColumn("bo_no", F.when(F.col("__nth") == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", F.col("__nth").cast("string"))))
+    sums = placed.select("branch_id", "__order", F.explode("shorts").alias("s")).groupBy("branch_id", "__order", "s.product_id").agg(F.sum("s.qty").alias("qty_ordered"))
+    return sums.join(numbered, ["branch_id", "__order"]).select("branch_id", "bo_no", "notes", "is_open", "product_id", F.col("qty_ordered").cast("long").alias("qty_ordered"))
 
 
 def upserted(products: DataFrame, changes: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import average_rank
+
 LOW_COVER_WEEKS, EXCESS_COVER_WEEKS, SAFETY_WEEKS, LEAD_WEEKS = 1.5, 12, 1.2, 2
 MONTH_WEEKS = 4
 
@@ -69,6 +71,35 @@ def worst_performers(rates: DataFrame, stock: DataFrame, limit: int = 15) -> Dat
     return scored.filter(F.col("place") <= limit).select("branch_id", "place", "product_id", "on_hand", "units", "revenue_cents", "score")
 
 
+def worst_of_network(rates: DataFrame, stock: DataFrame, weeks: int = 26, limit: int = 15, branch_ids: list[int] | None = None) -> DataFrame:
+    """The two lists of dead and slow stock, of products over the network (`overall`) and of products in branches
+    (`branch`): of what is in stock the least sum of average-tie percent ranks by units and by revenue, of equal ones the
+    larger stock. Shares are of all units and of all positive revenue in scope, cover is in weeks, null without a rate.
+    branch_ids restricts both lists. rates: branch_id, product_id, units, revenue_cents; stock: branch_id, product_id, on_hand."""
+    if branch_ids:
+        rates, stock = (df.filter(F.col("branch_id").isin(branch_ids)) for df in (rates, stock))
+    held = stock.groupBy("branch_id", "product_id").agg(F.sum("on_hand").alias("on_hand"))
+    known = held.join(rates.select("branch_id", "product_id", "units", "revenue_cents"), ["branch_id", "product_id"], "full").na.fill(0, ["on_hand", "units", "revenue_cents"])
+    products = known.groupBy("product_id").agg(*(F.sum(c).alias(c) for c in ("on_hand", "units", "revenue_cents")))
+    totals = products.agg(F.sum("units").alias("__u"), F.sum(F.greatest("revenue_cents", F.lit(0))).alias("__r"))
+
+    def listed(rows: DataFrame, scope: str) -> DataFrame:
+        rows = rows.filter("on_hand > 0")
+        ranked = average_rank(average_rank(rows, "units", "__by_units"), "revenue_cents", "__by_revenue")
+        n = rows.agg(F.count(F.lit(1)).alias("__n"))
+        order = [F.asc("__score"), F.desc("on_hand"), F.asc("branch_id"), F.asc("product_id")]
+        worst = ranked.withColumn("__score", F.col("__by_units") + F.col("__by_revenue")).orderBy(*order).limit(limit)
+        place = F.row_number().over(Window.orderBy(*order)).alias("place")  # `limit` rows
+        share = lambda c, t: F.coalesce(F.bround(100 * F.greatest(F.col(c), F.lit(0)) / F.col(t), 4), F.lit(0.0))
+        return worst.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(n)).select(  # one row each
+            F.lit(scope).alias("scope"), place, "branch_id", "product_id", "on_hand", "units", "revenue_cents", share("units", "__u").alias("units_pct"), share("revenue_cents", "__r").alias("revenue_pct"),
+            F.when(F.col("units") > 0, F.bround(F.bround(F.col("on_hand") / (F.col("units") / weeks), 8), 1)).alias("cover_weeks"), (F.col("units") == 0).alias("dead"), F.bround(F.col("__score") / (2 * F.col("__n")), 6).alias("score"),
+        )
+
+    overall = products.withColumn("branch_id", F.lit(None).cast(dict(known.dtypes)["branch_id"]))
+    return listed(overall, "overall").unionByName(listed(known, "branch"))
+
+
 def transport_plan(rates: DataFrame, stock: DataFrame, days: int = 10) -> DataFrame:
     """What each branch lacks of so many days of its larger rate, modelled or recent."""
     demand = F.greatest(F.col("rate"), F.col("recent_sales") / MONTH_WEEKS)

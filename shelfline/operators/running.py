@@ -19,3 +19,18 @@ def running_total(df: DataFrame, value: str, key: str, total: str, pieces: int =
     sums = sums.select("__range", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"))
     inside = Window.partitionBy("__range").orderBy(F.desc(value), key).rowsBetween(Window.unboundedPreceding, 0)
     return ranged.join(F.broadcast(sums), "__range").withColumn(total, F.col("__ahead") + F.sum(value).over(inside)).drop("__range", "__ahead")
+
+
+def average_rank(df: DataFrame, value: str, twice: str, pieces: int = 64) -> DataFrame:
+    """Adds twice the rank of value among all rows, from the smallest on, ties sharing the mean of their ranks: a whole
+    number. Rows are counted by value first; the values are cut into ranges at approximate quantiles and numbered inside
+    each, and the ranges' counts are carried in front. Nulls rank first."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__k"))
+    bounds = counts.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 1000).alias("b")).collect()[0].b or []
+    ranged = counts.withColumn("__range", sum((F.when(F.col(value) > b, 1).otherwise(0) for b in sorted(set(bounds))), F.lit(0)))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = ranged.groupBy("__range").agg(F.sum("__k").alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy("__range").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__ahead") + F.coalesce(F.sum("__k").over(inside), F.lit(0))
+    ranks = ranged.join(F.broadcast(sums), "__range").select(F.col(value).alias("__value"), (2 * before + F.col("__k") + 1).alias(twice))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("__value"))).drop("__value")

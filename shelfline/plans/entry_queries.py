@@ -120,13 +120,15 @@ def rebuilt_items(spark, sf_dir):
 _SEQ = "SELECT dn_no, branch_id, branch, doc_date, ROW_NUMBER() OVER (PARTITION BY branch_id ORDER BY doc_date, dn_no) AS seq FROM (SELECT DISTINCT dn_no, branch_id, branch, doc_date FROM dn)"
 
 
-@register(using("dn", """SELECT CAST(b.branch_id AS BIGINT) AS branch_id, base || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS bo_no, notes, is_open, product_id, qty_ordered FROM (
+_ACCUMULATED = """SELECT CAST(b.branch_id AS BIGINT) AS branch_id, base || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS bo_no, notes, is_open, product_id, qty_ordered FROM (
       SELECT branch_id, seq // 11 AS grp, COUNT(*) AS notes, seq // 11 = MAX(MAX(seq) // 11) OVER (PARTITION BY branch_id) AS is_open, 'BO-' || branch || '-' || CAST(isoyear(MIN(doc_date)) AS VARCHAR) || 'W' || lpad(CAST(week(MIN(doc_date)) AS VARCHAR), 2, '0') AS base,
         ROW_NUMBER() OVER (PARTITION BY branch_id, isoyear(MIN(doc_date)), week(MIN(doc_date)) ORDER BY seq // 11) AS nth FROM seq GROUP BY branch_id, branch, seq // 11) b
     JOIN (SELECT s.branch_id, seq // 11 AS grp, product_id, CAST(SUM(requested_qty - sent_qty) AS BIGINT) AS qty_ordered FROM dn JOIN seq s ON dn.dn_no = s.dn_no WHERE requested_qty > sent_qty GROUP BY ALL) q
-      ON b.branch_id = q.branch_id AND b.grp = q.grp""", seq=_SEQ))
-def accumulated_back_orders(spark, sf_dir):
-    """One open back order a branch, loaded note by note and closed before every 11th."""
+      ON b.branch_id = q.branch_id AND b.grp = q.grp"""
+
+
+def noted(spark, sf_dir):
+    """Notes of each branch in order, and a close before every 11th."""
     from pyspark.sql import Window
 
     lines = tables.delivery_lines(spark, sf_dir, product=False)
@@ -135,7 +137,13 @@ def accumulated_back_orders(spark, sf_dir):
     seq = F.row_number().over(Window.partitionBy("branch_id").orderBy("doc_date", "dn_no"))
     notes = shorts.withColumns({"n": seq, "kind": F.lit("NOTE")})
     closes = notes.filter("n % 11 = 0").select("branch_id", "branch", (F.col("n") * 2 - 1).alias("seq"), F.lit("CLOSE").alias("kind"), "dn_no", "doc_date", F.slice("shorts", 1, 0).alias("shorts"))
-    return entry.accumulated(notes.select("branch_id", "branch", (F.col("n") * 2).alias("seq"), "kind", "dn_no", "doc_date", "shorts").unionByName(closes))
+    return notes.select("branch_id", "branch", (F.col("n") * 2).alias("seq"), "kind", "dn_no", "doc_date", "shorts").unionByName(closes)
+
+
+@register(using("dn", _ACCUMULATED, seq=_SEQ))
+def accumulated_back_orders(spark, sf_dir):
+    """One open back order a branch, loaded note by note and closed before every 11th."""
+    return entry.accumulated(noted(spark, sf_dir))
 
 
 @register("""SELECT sku, name, category, price_cents, CASE WHEN o_name IS NULL THEN 'new' WHEN name = o_name AND category = o_category AND price_cents = o_price THEN 'same' ELSE 'changed' END AS change FROM (
@@ -215,17 +223,19 @@ def _fate(step: str, f: str, t: str, pf: str, pt: str) -> str:
     return f"*, {said} AS d{step}, CASE WHEN {said} IN ('save', 'replace') THEN {pf} WHEN {said} = 'add' THEN LEAST({f}, {pf}) ELSE {f} END AS f{step}, CASE WHEN {said} IN ('save', 'replace') THEN {pt} WHEN {said} = 'add' THEN GREATEST({t}, {pt}) ELSE {t} END AS t{step}"
 
 
-@register(using("dn", f"""SELECT branch, period, sku, decision, arg_min(item, (part, item)) AS item, CAST(SUM(qty) AS BIGINT) AS qty, CAST(SUM(turnover_cents) AS BIGINT) AS turnover_cents,
+_MERGED_PARTS = f"""SELECT branch, period, sku, decision, arg_min(item, (part, item)) AS item, CAST(SUM(qty) AS BIGINT) AS qty, CAST(SUM(turnover_cents) AS BIGINT) AS turnover_cents,
       CAST(MIN(CASE WHEN wide THEN f2 ELSE day_from END) AS INTEGER) AS day_from, CAST(MAX(CASE WHEN wide THEN t2 ELSE day_to END) AS INTEGER) AS day_to FROM (
     SELECT r.*, k.* EXCLUDE (branch, period), [keep0, keep1, keep2][part + 1] AS kept, keep0::INT + keep1::INT + keep2::INT > 1 AS wide FROM (SELECT *, 0 AS part FROM old UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two) r JOIN (
       SELECT *, COALESCE(NULLIF(concat_ws(',', d1, d2), ''), 'keep') AS decision, f0 IS NOT NULL AND COALESCE(d1, '') NOT IN ('save', 'replace') AND COALESCE(d2, '') NOT IN ('save', 'replace') AS keep0,
         COALESCE(d1, '') IN ('save', 'replace', 'add') AND COALESCE(d2, '') NOT IN ('save', 'replace') AS keep1, COALESCE(d2, '') IN ('save', 'replace', 'add') AS keep2 FROM (
       SELECT {_fate('2', 'f1', 't1', 'pf2', 'pt2')} FROM (SELECT {_fate('1', 'f0', 't0', 'pf1', 'pt1')} FROM (
         SELECT branch, period, MIN(day_from) FILTER (part = 0) AS f0, MAX(day_to) FILTER (part = 0) AS t0, MIN(day_from) FILTER (part = 1) AS pf1, MAX(day_to) FILTER (part = 1) AS pt1, MIN(day_from) FILTER (part = 2) AS pf2, MAX(day_to) FILTER (part = 2) AS pt2
-        FROM (SELECT *, 0 AS part FROM old UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY ALL)))) k ON k.branch = r.branch AND k.period = r.period) WHERE kept GROUP BY branch, period, sku, decision""",
-    **{n: _range(_PARTS.format(_SOME[n]), _days(n, _SPANS[n])) for n in _SPANS}))
-def merged_month_parts(spark, sf_dir):
-    """Odd lines as months on record and even lines as two uploads of parts of months, merged one after the other."""
+        FROM (SELECT *, 0 AS part FROM old UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY ALL)))) k ON k.branch = r.branch AND k.period = r.period) WHERE kept GROUP BY branch, period, sku, decision"""
+_PART_VIEWS = {n: _range(_PARTS.format(_SOME[n]), _days(n, _SPANS[n])) for n in _SPANS}
+
+
+def month_parts(spark, sf_dir):
+    """Months on record, and a first and a second upload of parts of months."""
     lines = tables.delivery_lines(spark, sf_dir)
 
     def months(name):
@@ -234,5 +244,12 @@ def merged_month_parts(spark, sf_dir):
         )
         return sums.selectExpr("*", *_days(name, _SPANS[name]).split(", "))
 
-    parts = months("one").withColumn("part", F.lit(1)).unionByName(months("two").withColumn("part", F.lit(2)))
-    return entry.merged_month(months("old"), parts)
+    return {n: months(n) for n in _SPANS}
+
+
+@register(using("dn", _MERGED_PARTS, **_PART_VIEWS))
+def merged_month_parts(spark, sf_dir):
+    """Odd lines as months on record and even lines as two uploads of parts of months, merged one after the other."""
+    months = month_parts(spark, sf_dir)
+    parts = months["one"].withColumn("part", F.lit(1)).unionByName(months["two"].withColumn("part", F.lit(2)))
+    return entry.merged_month(months["old"], parts)

@@ -70,3 +70,13 @@ def worst_performers(spark, sf_dir):
     FROM rates r LEFT JOIN stock s ON r.branch_id = s.branch_id AND r.product_id = s.product_id) WHERE to_transport > 0""", rates=_RATES))
 def transport_plan(spark, sf_dir):
     return planning.transport_plan(_rates(spark, sf_dir), tables.stock_levels(spark, sf_dir))
+
+
+@register(using("lines stock", """SELECT scope, place, branch_id, product_id, on_hand, units, revenue_cents, round_even(100 * units / tu, 4) AS units_pct, round_even(100 * revenue_cents / tr, 4) AS revenue_pct,
+    CASE WHEN units > 0 THEN round_even(round_even(on_hand / (units / 26), 8), 1) END AS cover_weeks, units = 0 AS dead, round_even(points / (2 * n), 6) AS score FROM (
+    SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY scope ORDER BY points, on_hand DESC, branch_id, product_id) AS INTEGER) AS place FROM (
+      SELECT *, COUNT(*) OVER (PARTITION BY scope) AS n, (2 * RANK() OVER (PARTITION BY scope ORDER BY units) + COUNT(*) OVER (PARTITION BY scope, units) - 1) + (2 * RANK() OVER (PARTITION BY scope ORDER BY revenue_cents) + COUNT(*) OVER (PARTITION BY scope, revenue_cents) - 1) AS points FROM both_ WHERE on_hand > 0)), (SELECT SUM(units) AS tu, SUM(GREATEST(revenue_cents, 0)) AS tr FROM both_ WHERE scope = 'overall')
+    WHERE place <= 15""", rates=_RATES, known="SELECT COALESCE(s.branch_id, r.branch_id) AS branch_id, COALESCE(s.product_id, r.product_id) AS product_id, COALESCE(on_hand, 0) AS on_hand, COALESCE(units, 0) AS units, COALESCE(revenue_cents, 0) AS revenue_cents FROM stock s FULL JOIN rates r ON r.branch_id = s.branch_id AND r.product_id = s.product_id",
+    both_="SELECT 'branch' AS scope, branch_id, product_id, CAST(on_hand AS BIGINT) AS on_hand, CAST(units AS BIGINT) AS units, CAST(revenue_cents AS BIGINT) AS revenue_cents FROM known UNION ALL SELECT 'overall', NULL, product_id, CAST(SUM(on_hand) AS BIGINT), CAST(SUM(units) AS BIGINT), CAST(SUM(revenue_cents) AS BIGINT) FROM known GROUP BY product_id"))
+def worst_of_network(spark, sf_dir):
+    return planning.worst_of_network(_rates(spark, sf_dir), tables.stock_levels(spark, sf_dir))
