@@ -13,14 +13,14 @@ import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_path, stored, text_of
+from .common import chunks, stored, text_of
 
 #: Fixed by the definition of words: letters of Latin-1, and which occurrences lose a letter.
 RUN, LOSES = r"[A-Za-zÀ-ÿ]+", 97
@@ -183,7 +183,6 @@ def rooted(forms: DataFrame) -> DataFrame:
 
     A form occurs at least twice as often as its word, so chains are shorter than the logarithm of the largest count, and
     each round halves what is left of them. Words whose chain has ended leave the rounds."""
-    spark, paths = forms.sparkSession, []
     now = forms.select("word", F.col("form").alias("root"))
     while True:
         now = stored(now, "roots")
