@@ -142,21 +142,50 @@ def aliased(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.join(aliases.select(F.col("old").alias("sku"), F.col("new").alias("__new")), "sku", "left").withColumn("sku", F.coalesce("__new", "sku")).drop("__new")
 
 
+#: Letters that a text and a name share at least for the text to be looked for in the name.
+GRAM = 3
+
+
+def _grams(text: str, size: int) -> Column:
+    """The distinct runs of so many letters, empty for shorter texts."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size))))
+
+
+def _named_by_part(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """__key, lo, hi: the least and the largest lo and hi of the names that contain each key. keys: __key (distinct, not
+    empty); names: __item, lo, hi. A key meets only the names that have its rarest run of three letters; keys shorter than
+    that are such runs themselves."""
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    found = None
+    for size in range(1, GRAM):
+        short = keys.filter(F.length("__key") == size)
+        runs = names.select("lo", "hi", F.explode(_grams("__item", size)).alias("__key"))
+        met = runs.join(short, "__key", "left_semi").groupBy("__key").agg(*ends)
+        found = met if found is None else found.unionByName(met)
+    held = names.select("__item", "lo", "hi", F.explode(_grams("__item", GRAM)).alias("__gram"))
+    of_key = keys.filter(F.length("__key") >= GRAM).select("__key", F.explode(_grams("__key", GRAM)).alias("__gram"))
+    counts = held.join(of_key.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__names"))
+    rarest = of_key.join(counts, "__gram", "left").groupBy("__key").agg(F.min_by("__gram", F.struct(F.coalesce("__names", F.lit(0)), F.col("__gram"))).alias("__gram"))
+    met = rarest.join(held, "__gram").filter(F.contains("__item", "__key")).groupBy("__key").agg(*ends)
+    return found.unionByName(met)
+
+
 def resolved(asked: DataFrame, products: DataFrame, aliases: DataFrame) -> DataFrame:
     """asked: ref. Which product (sku) each text means: the code itself, else the live code of an old one, else the item of
     that name, else the one item whose name contains it; null where that isn't one product. Case doesn't count."""
-    key = F.lower(F.trim("ref"))
-    refs = asked.select("ref", key.alias("__key")).distinct()
+    refs = asked.select("ref", F.lower(F.trim("ref")).alias("__key")).distinct()
     codes = products.select("sku", F.lower("sku").alias("__code"), F.lower("item").alias("__item")).distinct()
-    by_code = refs.join(codes, F.col("__key") == F.col("__code")).select("ref", F.lit(1).alias("rank"), "sku")
+    ranked = lambda rows, rank, lo="sku", hi="sku": rows.select("ref", F.lit(rank).alias("rank"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    by_code = ranked(refs.join(codes, F.col("__key") == F.col("__code")), 1)
     live = aliases.join(codes.select(F.col("sku").alias("new")).distinct(), "new", "left_semi")
-    by_alias = refs.join(live, F.col("__key") == F.lower("old")).select("ref", F.lit(2).alias("rank"), F.col("new").alias("sku"))
-    by_name = refs.join(codes, F.col("__key") == F.col("__item")).select("ref", F.lit(3).alias("rank"), "sku")
+    by_alias = ranked(refs.join(live, F.col("__key") == F.lower("old")), 2, "new", "new")
+    names = codes.filter("__item is not null").groupBy("__item").agg(F.min("sku").alias("lo"), F.max("sku").alias("hi"))
+    by_name = ranked(refs.join(names, F.col("__key") == F.col("__item")), 3, "lo", "hi")
     open_ = refs.join(by_code.select("ref").union(by_alias.select("ref")).union(by_name.select("ref")), "ref", "left_anti").filter("__key <> ''")
-    # names are compared with the texts that are still open, in blocks of these
-    part = open_.join(codes, F.contains("__item", "__key")).select("ref", F.lit(4).alias("rank"), "sku")
-    found = by_code.union(by_alias).union(by_name).union(part).groupBy("ref", "rank").agg(F.min("sku").alias("sku"), F.countDistinct("sku").alias("n"))
-    best = found.groupBy("ref").agg(F.min(F.struct("rank", "n", "sku")).alias("b")).select("ref", F.when(F.col("b.n") == 1, F.col("b.sku")).alias("sku"), F.col("b.rank").alias("rank"))
+    part = ranked(open_.join(_named_by_part(open_.select("__key").distinct(), names), "__key"), 4, "lo", "hi")
+    found = by_code.union(by_alias).union(by_name).union(part).groupBy("ref", "rank").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = found.groupBy("ref").agg(F.min(F.struct("rank", "lo", "hi")).alias("b")).select("ref", F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).alias("sku"), F.col("b.rank").alias("rank"))
     return asked.select("ref").distinct().join(best, "ref", "left").withColumn("rank", F.when(F.col("sku").isNotNull(), F.col("rank")))
 
 
@@ -176,7 +205,8 @@ def by_precedence(asked: DataFrame, *sources: DataFrame) -> DataFrame:
 def weekly_training_set(lines: DataFrame, items: DataFrame, prices: DataFrame) -> DataFrame:
     """A row for each series (branch_id, product_id) and week from the first Monday to the last: demand, the next week's as
     target, calendar, price band and what went on back order, now and in the four weeks before. Weeks without a next one
-    are left out. Price bands are five equal parts of all rows by price, ties in order of series and week."""
+    are left out. Price bands are five equal parts of all rows by price, ties in order of series and week; products without
+    a price are the cheapest."""
     week = lambda day: F.date_trunc("week", day).cast("date")
     demand = lines.groupBy("branch_id", "product_id", week("doc_date").alias("week")).agg(F.sum("requested_qty").alias("demand_qty"))
     weeks = demand.agg(F.min("week").alias("lo"), F.max("week").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("week"))
@@ -196,7 +226,8 @@ def weekly_training_set(lines: DataFrame, items: DataFrame, prices: DataFrame) -
     series = full.groupBy("price_cents", "branch_id", "product_id").agg(F.count(F.lit(1)).alias("__n"))
     within = Window.partitionBy("price_cents").orderBy("branch_id", "product_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = series.select("branch_id", "product_id", F.coalesce(F.sum("__n").over(within), F.lit(0)).alias("__start"))
-    placed = rows.withColumn("__at", F.row_number().over(order)).join(starts, ["branch_id", "product_id"]).join(sizes, "price_cents")
+    placed = rows.withColumn("__at", F.row_number().over(order)).join(starts, ["branch_id", "product_id"])
+    placed = placed.join(sizes.withColumnRenamed("price_cents", "__price"), F.col("price_cents").eqNullSafe(F.col("__price"))).drop("__price")
     place = F.col("__before") + F.col("__start") + F.col("__at")
     band = F.greatest(F.lit(1), F.ceil(5 * (place - 1) / F.greatest(F.col("__all") - 1, F.lit(1)))).cast("int")
     return placed.withColumn("price_band", band).filter("target is not null").drop("__at", "__start", "__before", "__all")

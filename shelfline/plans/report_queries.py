@@ -174,10 +174,10 @@ _WEEK = "CAST(date_trunc('week', doc_date) AS DATE)"
     FROM (SELECT k.branch_id, k.product_id, w.week FROM (SELECT DISTINCT branch_id, product_id FROM recent) k, (SELECT CAST(unnest(generate_series(MIN({_WEEK}), MAX({_WEEK}), INTERVAL 7 DAY)) AS DATE) AS week FROM recent) w) g
     LEFT JOIN (SELECT branch_id, product_id, {_WEEK} AS week, CAST(SUM(requested_qty) AS BIGINT) AS q FROM recent GROUP BY ALL) d ON d.branch_id = g.branch_id AND d.product_id = g.product_id AND d.week = g.week
     LEFT JOIN (SELECT branch_id, product_id, {_WEEK} AS week, CAST(SUM(qty_ordered) AS BIGINT) AS q, COUNT(DISTINCT bo_no) AS n FROM items GROUP BY ALL) b ON b.branch_id = g.branch_id AND b.product_id = g.product_id AND b.week = g.week
-    JOIN part ON p_partkey = g.product_id WINDOW o AS (PARTITION BY g.branch_id, g.product_id ORDER BY g.week)) WHERE target IS NOT NULL""", recent="SELECT * FROM lines WHERE age_days BETWEEN 0 AND 182"))
+    JOIN part ON p_partkey = g.product_id WINDOW o AS (PARTITION BY g.branch_id, g.product_id ORDER BY g.week)) WHERE target IS NOT NULL""", recent="SELECT * FROM lines WHERE age_days BETWEEN 0 AND 546"))
 def weekly_training_set(spark, sf_dir):
-    """The last half year."""
-    lines = tables.delivery_lines(spark, sf_dir, product=False).filter(F.col("age_days").between(0, 182))
+    """The last 78 weeks."""
+    lines = tables.delivery_lines(spark, sf_dir, product=False).filter(F.col("age_days").between(0, 7 * 78))
     prices = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), tables.cents("p_retailprice").alias("price_cents"))
     return reports.weekly_training_set(lines, tables.back_order_items(spark, sf_dir, product=False), prices)
 
