@@ -56,3 +56,16 @@ def parsed_date(text: Column) -> Column:
 
     slashed, dashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})$", r"^(\d{1,2})-(\d{1,2})-(\d{4})$"
     return F.coalesce(made(slashed, 3, 2, 1), made(dashed, 3, 2, 1), made(r"^(\d{1,2})/(\d{1,2})/(\d{2})$", 3, 2, 1), made(slashed, 3, 1, 2), made(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3))
+
+
+#: Normal quantiles by level, one table for order levels and one for forecast bands.
+Z_ORDERS = {0.90: 1.2816, 0.95: 1.6449, 0.975: 1.9600, 0.99: 2.3263}
+Z_BANDS = {0.80: 0.84, 0.90: 1.28, 0.95: 1.645, 0.975: 1.96, 0.99: 2.33}
+
+
+def z_score(level: Column, table: dict[float, float]) -> Column:
+    """The table's quantile for a level rounded to three digits; levels that it doesn't have, and null, count as 0.95."""
+    found = F.lit(table[0.95])
+    for known, z in table.items():
+        found = F.when(F.bround(level, 3) == known, z).otherwise(found)
+    return found

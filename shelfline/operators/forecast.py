@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import Z_ORDERS, z_score
 from . import panel
 
 #: Fixed values of the models.
@@ -135,13 +136,38 @@ def backtest(series: DataFrame) -> DataFrame:
     return sums.select("series", *(F.bround(c, 2).alias(c) for c in ("wape", "wape_last", "wape_mean", "bias")), F.bround((F.col("wape_last") - F.col("wape")) / F.col("wape_last") * 100, 1).alias("skill_pct"))
 
 
-def order_up_to(lines: DataFrame, as_of: Column, days: int = 90, lead: int = 7, review: int = 7, z: float = 1.65) -> DataFrame:
+def union_backtest(history: DataFrame, months: int = 6) -> DataFrame:
+    """scope (a branch, or all), series, wape_pct, mae, bias_pct and the skill against the last value and the mean: the monthly
+    forecast from all periods but the last, held against it. Series that only one side has count with 0 on the other;
+    `series` are those with something sold or told. history: branch, sku, period, qty."""
+    end = history.agg(F.max("period").alias("__end"))  # one row
+    marked = history.join(F.broadcast(end))
+    series = panel.as_arrays(panel.densify(marked.filter(F.col("period") < F.col("__end")).drop("__end"))).withColumn("y", panel.tail(F.col("y"), months))
+    told = monthly_forecast(series).select("branch", "sku", F.col("point").alias("f")).join(series.select("branch", "sku", F.get("y", F.size("y") - 1).alias("last"), (_sum(F.col("y")) / F.size("y")).alias("mean")), ["branch", "sku"])
+    actual = marked.filter(F.col("period") == F.col("__end")).groupBy("branch", "sku").agg(F.sum("qty").cast("double").alias("a"))
+    met = told.join(actual, ["branch", "sku"], "full").na.fill(0.0, ["f", "last", "mean", "a"])
+    off = lambda c: F.sum(F.abs(F.col(c) - F.col("a")))
+    sums = met.rollup("branch").agg(
+        F.grouping("branch").alias("__g"), F.count_if((F.col("a") > 0) | (F.col("f") > 0)).alias("series"), F.sum("a").alias("t"), off("f").alias("e"), off("last").alias("el"), off("mean").alias("em"),
+        F.bround(F.avg(F.abs(F.col("f") - F.col("a"))), 2).alias("mae"), F.sum(F.col("f") - F.col("a")).alias("over"),
+    )
+    pct = lambda c: F.when(F.col("t") != 0, 100 * F.col(c) / F.col("t"))
+    skill = lambda c: F.when(F.col(c) != 0, F.bround(100 * (1 - F.col("wape_pct") / pct(c)), 1))
+    scored = sums.withColumn("wape_pct", F.bround(pct("e"), 1))
+    return scored.select(F.when(F.col("__g") == 1, "all").otherwise(F.col("branch")).alias("scope"), "series", "wape_pct", "mae", F.bround(pct("over"), 1).alias("bias_pct"), skill("el").alias("skill_vs_last_pct"), skill("em").alias("skill_vs_mean_pct"))
+
+
+def order_up_to(lines: DataFrame, as_of: Column, days: int = 90, lead: int = 7, review: int = 7, z: float = 1.65, levels: DataFrame | None = None) -> DataFrame:
     """Linearly weighted daily demand (0.5 for the oldest day, 1.5 for the newest), its spread, reorder point and target.
-    Days without demand count as 0 without being made: they add to neither sum."""
+    Days without demand count as 0 without being made: they add to neither sum. z is the quantile of the service level;
+    levels (product_id, service_level) gives each product its own."""
     age = F.datediff(as_of, F.col("doc_date"))
     daily = lines.filter((age >= 0) & (age < days)).groupBy("branch_id", "product_id", age.alias("age")).agg(F.sum("requested_qty").alias("q"))
     total_weight = float(days)
     sums = daily.groupBy("branch_id", "product_id").agg((F.sum(F.col("q") * (days - 1 + 2 * (days - 1 - F.col("age")))) / (2 * (days - 1)) / total_weight).alias("daily"), F.sqrt(F.sum(F.col("q") * F.col("q")) / days - F.pow(F.sum("q") / days, F.lit(2.0))).alias("sigma"))
-    safety = z * F.col("sigma") * F.sqrt(F.lit(float(lead)))
+    quantile = F.lit(z)
+    if levels is not None:
+        sums, quantile = sums.join(levels.select("product_id", "service_level"), "product_id", "left"), z_score(F.col("service_level"), Z_ORDERS)
+    safety = quantile * F.col("sigma") * F.sqrt(F.lit(float(lead)))
     point = F.col("daily") * lead + safety
     return sums.select("branch_id", "product_id", F.bround("daily", 6).alias("daily"), F.bround("sigma", 6).alias("sigma"), F.bround(safety, 4).alias("safety_stock"), F.bround(point, 4).alias("reorder_point"), F.bround(point + F.col("daily") * review, 4).alias("target_level"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the demand statistics.
 RECENT_PERIODS, RECENT_WEIGHT, INFLUENCE, PEAK_CEILING = 6, 2.0, 0.75, 3.0
-ANCHOR_PERIODS, DEAD_PERIODS = 8, 6
+ANCHOR_PERIODS, DEAD_PERIODS, DRY_WEEKS = 8, 6, 8
 ADI_CUT, CV2_CUT = 1.32, 0.49
 LOW, HEURISTIC_LOW, HEURISTIC_RATE, LEAST_LEVEL, MOST_CENSORED = 0.6, 0.25, 0.5, 2.0, 0.5
 
@@ -43,6 +43,26 @@ def segments(dense: DataFrame) -> DataFrame:
     return sums.select("branch", "sku", "nnz", F.bround(adi, 4).alias("adi"), F.bround(cv2, 4).alias("cv2"), label.alias("segment"))
 
 
+def dry_run_limit(periods: DataFrame) -> DataFrame:
+    """limit: how many of these periods (column period, repeats count once) make up the longest dry spell that still is a
+    stockout, eight weeks; at least one, and eight where no gap between periods is known. One row."""
+    ends = periods.agg(F.countDistinct("period").alias("n"), F.datediff(F.max("period"), F.min("period")).alias("days"))
+    scaled = F.greatest(F.lit(1), F.bround(DRY_WEEKS * 7 * (F.col("n") - 1) / F.col("days"), 0).cast("int"))
+    return ends.select(F.when(F.col("days") > 0, scaled).otherwise(DRY_WEEKS).alias("limit"))
+
+
+def matrix(history: DataFrame, months: int = 3) -> DataFrame:
+    """Of each series the units of the last periods as columns q1 (the oldest) and on, 0 where there are none, its last item
+    and category in these, and its turnover a unit, null without units. history: branch, sku, item, category, period,
+    qty, turnover_cents."""
+    ranked = history.select("period").distinct().withColumn("__back", F.row_number().over(Window.orderBy(F.desc("period")))).filter(F.col("__back") <= months)  # few rows
+    recent = history.join(F.broadcast(ranked), "period")
+    cells = [F.coalesce(F.sum(F.when(F.col("__back") == months - i, F.col("qty"))), F.lit(0).cast("long")).alias(f"q{i + 1}") for i in range(months)]
+    last = lambda c: F.max_by(c, F.struct("period", c)).alias(c)
+    sums = recent.groupBy("branch", "sku").agg(*cells, last("item"), last("category"), F.sum("qty").alias("__units"), F.sum("turnover_cents").alias("__cents"))
+    return sums.withColumn("unit_price_cents", F.when(F.col("__units") > 0, F.bround(F.col("__cents") / F.col("__units"), 4))).drop("__units", "__cents")
+
+
 def median_of(values: Column) -> Column:
     ordered, n = F.array_sort(values), F.size(values)
     return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2

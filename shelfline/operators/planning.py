@@ -29,14 +29,17 @@ def demand_estimate(rates: DataFrame, lines: DataFrame, as_of: Column) -> DataFr
 
 
 def low_stock(rates: DataFrame, stock: DataFrame, limit: int = 50) -> DataFrame:
-    """Products with a network rate in the top quarter that cover under one and a half weeks in a branch."""
-    network = rates.groupBy("product_id").agg(F.sum("rate").alias("network"))
-    least = network.filter("network > 0").agg(F.percentile("network", 0.75).alias("least"))
-    busy = network.join(F.broadcast(least)).filter("network >= least").select("product_id", "network")
-    met = rates.join(busy, "product_id").join(stock.select("branch_id", "product_id", "on_hand"), ["branch_id", "product_id"])
+    """Products with a network rate in the top quarter that cover under one and a half weeks in a branch, the busiest first;
+    with how many there are in all, and how many products are in that quarter. Products without a stock row have none."""
+    # sums and quantile are rounded, so that ties with the quantile do not hang on the order of addition
+    network = rates.groupBy("product_id").agg(F.bround(F.sum("rate"), 8).alias("network")).filter("network > 0")
+    least = network.agg(F.bround(F.percentile("network", 0.75), 8).alias("least"))
+    busy = network.join(F.broadcast(least)).filter("network >= least").select("product_id")
+    met = rates.join(busy, "product_id").join(stock.select("branch_id", "product_id", "on_hand"), ["branch_id", "product_id"], "left").na.fill(0, ["on_hand"])
     cover = F.col("on_hand") / F.col("rate")
-    low = met.filter((F.col("rate") > 0) & (cover < LOW_COVER_WEEKS))
-    return low.select("branch_id", "product_id", "on_hand", F.bround("rate", 4).alias("rate"), F.bround(F.bround(cover, 8), 2).alias("cover_weeks")).orderBy(F.desc("rate"), "branch_id", "product_id").limit(limit)
+    low = met.filter((F.col("rate") > 0) & (cover < LOW_COVER_WEEKS)).select("branch_id", "product_id", "on_hand", F.bround("rate", 4).alias("rate"), F.bround(F.bround(cover, 8), 2).alias("cover_weeks"))
+    counts = low.agg(F.count(F.lit(1)).alias("total_alerts")).join(F.broadcast(busy.agg(F.count(F.lit(1)).alias("priority_products"))))  # one row each
+    return low.orderBy(F.desc("rate"), "branch_id", "product_id").limit(limit).join(F.broadcast(counts))
 
 
 def reorder_points(rates: DataFrame, stock: DataFrame) -> DataFrame:
@@ -48,6 +51,16 @@ def reorder_points(rates: DataFrame, stock: DataFrame) -> DataFrame:
     return met.select("branch_id", "product_id", "on_hand", F.bround(safety, 0).cast("long").alias("safety_stock"), F.bround(point, 0).cast("long").alias("reorder_point"), F.bround(F.bround(F.col("on_hand") / (F.col("rate") / 7), 8), 1).alias("days_left"), status.alias("status"))
 
 
+def first_to_reorder(points: DataFrame, limit: int = 300) -> DataFrame:
+    """The rows of reorder_points in the order in which to act: what is at or below its point first, of these and of the
+    others what runs out soonest, unknown last; with the number of all rows and of those to reorder."""
+    due = F.col("status") != "ok"
+    counts = points.agg(F.count(F.lit(1)).alias("products"), F.count_if(due).alias("to_reorder"))
+    order = [F.desc(due), F.asc_nulls_last("days_left"), F.asc("branch_id"), F.asc("product_id")]
+    place = F.row_number().over(Window.orderBy(*order))  # `limit` rows
+    return points.orderBy(*order).limit(limit).withColumn("place", place).join(F.broadcast(counts))
+
+
 def excess_stock(rates: DataFrame, stock: DataFrame) -> DataFrame:
     """Stock of over twelve weeks of cover, rounded to one digit before the test, or of no rate at all."""
     met = stock.filter("on_hand > 0").join(rates.select("branch_id", "product_id", "rate"), ["branch_id", "product_id"], "left")

@@ -95,13 +95,21 @@ def trusted_stock(stock: DataFrame, distrusted: list[int] | None = None) -> Data
 
 
 def forecast_summary(forecasts: DataFrame) -> DataFrame:
-    """Of each branch the series, those of each pattern that calls for something, of each confidence, and the sum told."""
+    """Of each branch the series, those of each pattern that calls for something, of each confidence, the sum told and its
+    value (where forecasts have value_cents)."""
     has = lambda c, v: F.count_if(F.col(c) == v).alias(f"{v.lower()}")
     return forecasts.groupBy("branch").agg(
-        F.count(F.lit(1)).alias("series"), *(has("pattern", p) for p in ("growing", "declining", "new", "dropped")), *(has("confidence", c) for c in ("High", "Medium", "Low")), F.bround(F.sum("point"), 2).alias("units"),
+        F.count(F.lit(1)).alias("series"), *(has("pattern", p) for p in ("growing", "declining", "intermittent", "new", "dropped")), *(has("confidence", c) for c in ("High", "Medium", "Low")), F.bround(F.sum("point"), 2).alias("units"),
+        *([F.bround(F.sum("value_cents"), 0).alias("value_cents")] if "value_cents" in forecasts.columns else []),
     )
 
 
+def forecast_values(forecasts: DataFrame, history: DataFrame) -> DataFrame:
+    """forecasts with value_cents: what is told at the series' turnover a unit over its history, 0 where it has no units."""
+    prices = history.groupBy("branch", "sku").agg(F.when(F.sum("qty") > 0, F.sum("turnover_cents") / F.sum("qty")).alias("__price"))
+    return forecasts.join(prices, ["branch", "sku"], "left").withColumn("value_cents", F.bround(F.coalesce(F.col("point") * F.col("__price"), F.lit(0.0)) + 1e-6, 2)).drop("__price")
+
+
 def top_by(rows: DataFrame, value: str, n: int, *ties: str) -> DataFrame:
     """The n rows of the largest value, with how many rows there are in all."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))

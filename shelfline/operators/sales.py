@@ -24,14 +24,30 @@ def coverage(panel: DataFrame) -> DataFrame:
     )
 
 
+def _days(panel: DataFrame) -> Column:
+    """Days that a branch's month covers: by day_from and day_to where the panel has them, else all of it."""
+    if {"day_from", "day_to"} <= set(panel.columns):
+        return F.greatest(F.lit(1), F.max("day_to") - F.min("day_from") + 1)
+    return F.max(F.dayofmonth(F.last_day("period")))
+
+
 def branch_summary(panel: DataFrame, months: int = 3) -> DataFrame:
-    """Units and turnover of the last months, and the change of the daily rate from their first to their last half."""
-    per = last_periods(panel, months).groupBy("branch", "period", "back").agg(F.sum("qty").alias("qty"), F.sum("turnover_cents").alias("turnover_cents"))
-    half = max(1, months // 2)
-    rate = F.col("qty") / F.dayofmonth(F.last_day("period"))
-    first, last = F.avg(F.when(F.col("back") > months - half, rate)), F.avg(F.when(F.col("back") <= half, rate))
-    sums = per.groupBy("branch").agg(F.sum("qty").alias("qty"), F.sum("turnover_cents").alias("turnover_cents"), F.count(F.lit(1)).alias("months"), first.alias("a"), last.alias("b"))
-    return sums.select("branch", "qty", "turnover_cents", "months", F.when(F.col("a") > 0, F.bround((F.col("b") - F.col("a")) / F.col("a") * 100, 1)).alias("trend_pct"))
+    """Of each branch over the last months: units, turnover, months with rows, distinct items, mean units a month, the
+    change of the daily rate from the first half of its months to the last (the middle one counts to neither), and
+    whether its latest month is a part of one."""
+    recent = last_periods(panel, months)
+    per = recent.groupBy("branch", "period").agg(F.sum("qty").alias("qty"), F.sum("turnover_cents").alias("turnover_cents"), _days(panel).alias("days"))
+    own = Window.partitionBy("branch")  # a row a month
+    per = per.withColumns({"at": F.row_number().over(own.orderBy("period")), "n": F.count(F.lit(1)).over(own)})
+    half, rate = F.greatest(F.lit(1), F.floor(F.col("n") / 2)), F.col("qty") / F.col("days")
+    first, last = F.avg(F.when(F.col("at") <= half, rate)), F.avg(F.when(F.col("at") > F.col("n") - half, rate))
+    sums = per.groupBy("branch").agg(
+        F.sum("qty").alias("qty"), F.sum("turnover_cents").alias("turnover_cents"), F.count(F.lit(1)).alias("months"), F.bround(F.avg("qty"), 1).alias("avg_monthly_qty"),
+        first.alias("a"), last.alias("b"), (F.max_by("days", "period") < PARTIAL_DAYS).alias("latest_month_partial"),
+    )
+    items = recent.groupBy("branch").agg(F.countDistinct("sku").alias("distinct_skus"))
+    change = F.when(F.col("a") != 0, F.bround((F.col("b") - F.col("a")) / F.col("a") * 100, 1))
+    return sums.join(items, "branch").select("branch", "qty", "turnover_cents", "months", "distinct_skus", "avg_monthly_qty", change.alias("trend_pct"), "latest_month_partial")
 
 
 def trend(panel: DataFrame, months: int = 6) -> DataFrame:
@@ -59,18 +75,28 @@ def abc_summary(classes: DataFrame, value: str) -> DataFrame:
 
 
 def flow_summary(panel: DataFrame) -> DataFrame:
-    """The last period against the one before, and the branch and item that lead it (ties by name)."""
-    two = last_periods(panel, 2)
+    """The last period against the one before; and over all periods the margin, and the branch and the item of most units
+    and the item of most profit with their shares (ties by name). panel may have profit_cents; without it, or without a
+    positive turnover, the margin is null."""
+    panel = panel if "profit_cents" in panel.columns else panel.withColumn("profit_cents", F.lit(None).cast("long"))
     now, before = F.col("back") == 1, F.col("back") == 2
-    head = two.agg(F.max("period").alias("period"), *(F.sum(F.when(w, F.col(c))).alias(f"{c}_{n}") for c in ("qty", "turnover_cents") for w, n in ((now, "now"), (before, "before"))))
+    head = last_periods(panel, 2).agg(F.max("period").alias("period"), *(F.sum(F.when(w, F.col(c))).alias(f"{c}_{n}") for c in ("qty", "turnover_cents") for w, n in ((now, "now"), (before, "before"))))
+    whole = panel.agg(F.countDistinct("period").alias("periods"), ratio_or_null(F.coalesce(F.sum("profit_cents"), F.lit(0)) * 100.0, F.sum("turnover_cents"), 1).alias("margin"))
+    known = panel.agg(F.count("profit_cents").alias("profits"))
 
-    def leader(column: str) -> DataFrame:
-        sums = two.filter(now).groupBy(column).agg(F.sum("qty").alias("q"))
-        return sums.agg(F.max(F.struct(F.col("q"), F.lit(0))).alias("m"), F.sum("q").alias("all"), F.min_by(column, F.struct(-F.col("q"), F.col(column))).alias(f"top_{column}")).select(f"top_{column}", F.bround(F.col("m.q") * 100.0 / F.col("all"), 1).alias(f"top_{column}_pct"))
+    def leader(column: str, value: str, name: str) -> DataFrame:
+        sums = panel.groupBy(column).agg(F.sum(value).alias("q")).filter("q is not null")
+        share = F.bround(F.max("q") * 100.0 / F.when(F.sum("q") == 0, 1).otherwise(F.sum("q")), 1)
+        return sums.agg(F.min_by(column, F.struct(-F.col("q"), F.col(column))).alias(name), share.alias(f"{name}_pct"), F.max("q").alias(f"{name}_{value}"))
 
     change = lambda c: ratio_or_null((F.col(f"{c}_now") - F.col(f"{c}_before")) * 100.0, F.col(f"{c}_before"), 1)
-    joined = head.join(F.broadcast(leader("branch"))).join(F.broadcast(leader("sku")))  # one row each
-    return joined.select("period", "qty_now", "qty_before", "turnover_cents_now", "turnover_cents_before", change("qty").alias("qty_pct"), change("turnover_cents").alias("turnover_pct"), "top_branch", "top_branch_pct", "top_sku", "top_sku_pct")
+    joined = head
+    for row in (whole, known, leader("branch", "qty", "top_branch"), leader("sku", "qty", "top_sku"), leader("sku", "profit_cents", "top_profit_sku")):
+        joined = joined.join(F.broadcast(row))  # one row each
+    return joined.select(
+        "period", "periods", "qty_now", "qty_before", "turnover_cents_now", "turnover_cents_before", change("qty").alias("qty_pct"), change("turnover_cents").alias("turnover_pct"), F.when(F.col("profits") > 0, F.col("margin")).alias("margin_pct"),
+        "top_branch", "top_branch_pct", "top_sku", "top_sku_qty", "top_sku_pct", "top_profit_sku", "top_profit_sku_profit_cents", "top_profit_sku_pct",
+    )
 
 
 def growth(panel: DataFrame, periods: int = 12) -> DataFrame:

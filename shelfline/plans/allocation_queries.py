@@ -103,7 +103,10 @@ def recode_chains(spark, sf_dir):
     return recode.follow(recode.find_recodes(_codes(spark, sf_dir)))
 
 
-@register()
+@register("WITH RECURSIVE " + using("dn", """SELECT c.branch, COALESCE(m.new, c.sku) AS sku, c.t, round_even(SUM(c.qty * CASE WHEN m.new IS NULL THEN 1 ELSE LEAST(1, GREATEST(0.25::DOUBLE, since / before)) END), 4) AS qty FROM codes c LEFT JOIN merges m ON m.branch = c.branch AND m.old = c.sku
+    LEFT JOIN (SELECT branch, sku, AVG(qty)::DOUBLE AS before FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY branch, sku ORDER BY t DESC) AS back FROM codes WHERE qty > 0) WHERE back <= 6 GROUP BY ALL) b ON b.branch = c.branch AND b.sku = m.old
+    LEFT JOIN (SELECT branch, sku, SUM(qty)::DOUBLE / ((SELECT MAX(t) FROM codes) - MIN(t) + 1) AS since FROM codes WHERE qty > 0 GROUP BY ALL) s ON s.branch = c.branch AND s.sku = m.new GROUP BY 1, 2, 3""",
+    codes=_CODES, life=_LIFE, best=_BEST, found=_FOUND, walk=_WALK, merges="SELECT branch, old, arg_max(new, depth) AS new FROM walk GROUP BY branch, old")[5:])
 def merged_history(spark, sf_dir):
     """The monthly history with re-coded products' rows under their last code."""
     codes = _codes(spark, sf_dir)

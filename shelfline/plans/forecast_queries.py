@@ -8,6 +8,7 @@ from ..operators import forecast, panel
 from ..sources import tables
 from .panel_queries import _ALL, damped_sql, dense, dense_sql
 from .registry import register
+from .sales_queries import BY_REVENUE_SQL, product_classes
 from .views import using
 
 
@@ -57,12 +58,15 @@ def _monthly(source: str, m: int) -> str:
     sqrt(SUM(qty * qty)::DOUBLE / COUNT(*) FILTER (qty > 0) - pow(SUM(qty)::DOUBLE / COUNT(*) FILTER (qty > 0), 2)) AS sd_sold FROM ({source}) GROUP BY branch, sku)"""
 
 
-@register(using("fine", f"""SELECT branch, sku, round_even(point + 1e-9::DOUBLE, 4) AS point, round_even(sigma + 1e-9::DOUBLE, 4) AS sigma, round_even(GREATEST(0, point - 1.28::DOUBLE * sigma) + 1e-9::DOUBLE, 4) AS low,
+MONTHLY_SQL = f"""SELECT branch, sku, round_even(point + 1e-9::DOUBLE, 4) AS point, round_even(sigma + 1e-9::DOUBLE, 4) AS sigma, round_even(GREATEST(0, point - 1.28::DOUBLE * sigma) + 1e-9::DOUBLE, 4) AS low,
     round_even(point + 1.28::DOUBLE * sigma + 1e-9::DOUBLE, 4) AS high, CAST(nnz AS INTEGER) AS months_sold,
     CASE WHEN nnz = 0 THEN 'none' WHEN nnz = 1 AND last > 0 THEN 'new' WHEN last <= 0 THEN 'dropped' WHEN q2 > q1 AND q3 > q2 THEN 'growing' WHEN q2 < q1 AND q3 < q2 THEN 'declining'
          WHEN nnz < 6 THEN 'intermittent' ELSE 'regular' END AS pattern,
     CASE WHEN nnz <= 1 THEN 'Low' WHEN nnz = 6 AND COALESCE(cv, 0) <= 0.6 THEN 'High' ELSE 'Medium' END AS confidence
-    FROM (SELECT *, CASE WHEN nnz = 0 THEN 0 WHEN nnz >= 2 THEN sd ELSE 0.7::DOUBLE * point END AS sigma FROM ({_monthly(_LAST6, 6)}))""", dense=dense_sql("fine")))
+    FROM (SELECT *, CASE WHEN nnz = 0 THEN 0 WHEN nnz >= 2 THEN sd ELSE 0.7::DOUBLE * point END AS sigma FROM ({_monthly(_LAST6, 6)}))"""
+
+
+@register(using("fine", MONTHLY_SQL, dense=dense_sql("fine")))
 def monthly_forecast(spark, sf_dir):
     """The month after the last six of each nation and brand."""
     return forecast.monthly_forecast(_series(spark, sf_dir, "branch").withColumn("y", panel.tail(F.col("y"), 6)))
@@ -82,14 +86,43 @@ def forecast_backtest(spark, sf_dir):
     return forecast.backtest(_series(spark, sf_dir).withColumn("y", panel.tail(F.col("y"), 7)))
 
 
-@register(using("lines", """SELECT branch_id, product_id, round_even(daily, 6) AS daily, round_even(sigma, 6) AS sigma, round_even(safety, 4) AS safety_stock, round_even(daily * 7 + safety, 4) AS reorder_point,
+_UNION = "SELECT region AS branch, product_id AS sku, CAST(date_trunc('month', doc_date) AS DATE) AS period, CAST(SUM(requested_qty) AS BIGINT) AS qty FROM dn GROUP BY ALL"
+_SKILL = "CASE WHEN {0} <> 0 THEN round_even(100 * (1 - wape_pct / (100 * {0} / NULLIF(t, 0))), 1) END"
+
+
+@register(using("dn", f"""SELECT scope, series, wape_pct, mae, bias_pct, {_SKILL.format('el')} AS skill_vs_last_pct, {_SKILL.format('em')} AS skill_vs_mean_pct FROM (
+    SELECT CASE WHEN grouping(branch) = 1 THEN 'all' ELSE branch END AS scope, COUNT(*) FILTER (a > 0 OR f > 0) AS series, SUM(a) AS t, SUM(ABS(last - a)) AS el, SUM(ABS(mean - a)) AS em, round_even(100 * SUM(ABS(f - a)) / NULLIF(SUM(a), 0), 1) AS wape_pct,
+      round_even(AVG(ABS(f - a)), 2) AS mae, round_even(100 * SUM(f - a) / NULLIF(SUM(a), 0), 1) AS bias_pct FROM (
+      SELECT COALESCE(m.branch, x.branch) AS branch, COALESCE(f, 0)::DOUBLE AS f, COALESCE(last, 0)::DOUBLE AS last, COALESCE(mean, 0)::DOUBLE AS mean, COALESCE(a, 0)::DOUBLE AS a
+      FROM (SELECT p.branch, p.sku, round_even(point + 1e-9::DOUBLE, 4) AS f, last, mean FROM ({_monthly(_LAST6, 6)}) p JOIN (SELECT branch, sku, SUM(qty)::DOUBLE / 6 AS mean FROM ({_LAST6}) GROUP BY ALL) q ON p.branch = q.branch AND p.sku = q.sku) m
+      FULL JOIN (SELECT branch, sku, qty AS a FROM goods WHERE period = (SELECT MAX(period) FROM goods)) x ON m.branch = x.branch AND m.sku = x.sku) GROUP BY ROLLUP (branch))""",
+    goods=_UNION, trained="SELECT * FROM goods WHERE period < (SELECT MAX(period) FROM goods)", dense=dense_sql("trained")))
+def union_backtest(spark, sf_dir):
+    """The last month of each region and product, those that it has no history of included."""
+    months = tables.delivery_lines(spark, sf_dir, product=False).groupBy(F.col("region").alias("branch"), F.col("product_id").alias("sku"), F.trunc("doc_date", "month").alias("period"))
+    return forecast.union_backtest(months.agg(F.sum("requested_qty").alias("qty")))
+
+
+_ORDER_UP_TO = """SELECT branch_id, product_id, round_even(daily, 6) AS daily, round_even(sigma, 6) AS sigma, round_even(safety, 4) AS safety_stock, round_even(daily * 7 + safety, 4) AS reorder_point,
     round_even(daily * 7 + safety + daily * 7, 4) AS target_level FROM (SELECT *, 1.65::DOUBLE * sigma * sqrt(7.0::DOUBLE) AS safety FROM (
     SELECT branch_id, product_id, SUM(q * (0.5::DOUBLE + (89 - age) / 89.0::DOUBLE)) / 90 AS daily, sqrt(SUM(q * q)::DOUBLE / 90 - pow(SUM(q) / 90.0::DOUBLE, 2)) AS sigma FROM (
-      SELECT branch_id, product_id, age_days AS age, SUM(requested_qty) AS q FROM lines WHERE age_days >= 0 AND age_days < 90 GROUP BY 1, 2, 3) GROUP BY 1, 2))"""))
+      SELECT branch_id, product_id, age_days AS age, SUM(requested_qty) AS q FROM lines WHERE age_days >= 0 AND age_days < 90 GROUP BY 1, 2, 3) GROUP BY 1, 2))"""
+
+
+@register(using("lines", _ORDER_UP_TO))
 def order_up_to(spark, sf_dir):
     return forecast.order_up_to(tables.delivery_lines(spark, sf_dir), tables.as_of())
 
 
+@register(using("lines", _ORDER_UP_TO.replace("1.65::DOUBLE *", "CASE abc WHEN 'A' THEN 2.3263::DOUBLE WHEN 'B' THEN 1.96::DOUBLE WHEN 'C' THEN 1.2816::DOUBLE ELSE 1.6449::DOUBLE END *").replace("GROUP BY 1, 2))", "GROUP BY 1, 2) LEFT JOIN classes USING (product_id))"),
+    classes=f"SELECT product_id, abc FROM ({BY_REVENUE_SQL})"))
+def order_up_to_by_class(spark, sf_dir):
+    """Order levels with a service level by the product's class of revenue."""
+    level = F.when(F.col("abc") == "A", 0.99).when(F.col("abc") == "B", 0.975).otherwise(0.9)
+    levels = product_classes(spark, sf_dir).select("product_id", level.alias("service_level"))
+    return forecast.order_up_to(tables.delivery_lines(spark, sf_dir, product=False), tables.as_of(), levels=levels)
+
+
 @register()
 def model_scores(spark, sf_dir):
     """Five models on the last three months of each region and brand."""

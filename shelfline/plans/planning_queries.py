@@ -30,22 +30,32 @@ def weekly_demand_estimate(spark, sf_dir):
     return found.selectExpr("branch_id", "product_id", "bround(rate, 6) as rate", "basis")
 
 
-@register(using("lines stock", """SELECT r.branch_id, r.product_id, on_hand, round_even(rate, 4) AS rate, round_even(round_even(on_hand / rate, 8), 2) AS cover_weeks FROM rates r
-    JOIN (SELECT product_id, SUM(rate) AS network FROM rates GROUP BY product_id) n ON r.product_id = n.product_id JOIN stock s ON r.branch_id = s.branch_id AND r.product_id = s.product_id
-    WHERE rate > 0 AND on_hand / rate < 1.5 AND network >= (SELECT quantile_cont(network, 0.75) FROM (SELECT SUM(rate) AS network FROM rates GROUP BY product_id))
-    ORDER BY round_even(rate, 4) DESC, r.branch_id, r.product_id LIMIT 50""", rates=_RATES))
+@register(using("lines stock", """SELECT r.branch_id, r.product_id, on_hand, round_even(rate, 4) AS rate, round_even(round_even(on_hand / rate, 8), 2) AS cover_weeks, COUNT(*) OVER () AS total_alerts,
+    (SELECT COUNT(*) FROM net WHERE network >= (SELECT round_even(quantile_cont(network, 0.75), 8) FROM net)) AS priority_products FROM rates r
+    JOIN net n ON r.product_id = n.product_id JOIN stock s ON r.branch_id = s.branch_id AND r.product_id = s.product_id
+    WHERE rate > 0 AND on_hand / rate < 1.5 AND network >= (SELECT round_even(quantile_cont(network, 0.75), 8) FROM net)
+    ORDER BY round_even(rate, 4) DESC, r.branch_id, r.product_id LIMIT 50""", rates=_RATES, net="SELECT product_id, round_even(SUM(rate), 8) AS network FROM rates GROUP BY product_id HAVING round_even(SUM(rate), 8) > 0"))
 def low_stock_alerts(spark, sf_dir):
     return planning.low_stock(_rates(spark, sf_dir), tables.stock_levels(spark, sf_dir))
 
 
-@register(using("lines stock", """SELECT r.branch_id, r.product_id, COALESCE(on_hand, 0) AS on_hand, CAST(round_even(rate * 1.2::DOUBLE, 0) AS BIGINT) AS safety_stock,
+_POINTS = """SELECT r.branch_id, r.product_id, COALESCE(on_hand, 0) AS on_hand, CAST(round_even(rate * 1.2::DOUBLE, 0) AS BIGINT) AS safety_stock,
     CAST(round_even(rate * 1.2::DOUBLE + rate * 2, 0) AS BIGINT) AS reorder_point, round_even(round_even(COALESCE(on_hand, 0) / (rate / 7), 8), 1) AS days_left,
     CASE WHEN COALESCE(on_hand, 0) <= 0 THEN 'out' WHEN COALESCE(on_hand, 0) < rate * 1.2::DOUBLE + rate * 2 THEN 'reorder' ELSE 'ok' END AS status
-    FROM rates r LEFT JOIN stock s ON r.branch_id = s.branch_id AND r.product_id = s.product_id WHERE rate > 0""", rates=_RATES))
+    FROM rates r LEFT JOIN stock s ON r.branch_id = s.branch_id AND r.product_id = s.product_id WHERE rate > 0"""
+
+
+@register(using("lines stock", "SELECT * FROM points", rates=_RATES, points=_POINTS))
 def reorder_points(spark, sf_dir):
     return planning.reorder_points(_rates(spark, sf_dir), tables.stock_levels(spark, sf_dir))
 
 
+@register(using("lines stock", """SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY status = 'ok', days_left, branch_id, product_id) AS INTEGER) AS place, COUNT(*) OVER () AS products, COUNT(*) FILTER (status <> 'ok') OVER () AS to_reorder
+    FROM points ORDER BY place LIMIT 300""", rates=_RATES, points=_POINTS))
+def first_to_reorder(spark, sf_dir):
+    return planning.first_to_reorder(planning.reorder_points(_rates(spark, sf_dir), tables.stock_levels(spark, sf_dir)))
+
+
 @register(using("lines stock", """SELECT s.branch_id, s.product_id, on_hand, CASE WHEN rate > 0 THEN round_even(round_even(on_hand / rate, 8), 1) END AS cover_weeks, COALESCE(rate <= 0, TRUE) AS dead
     FROM stock s LEFT JOIN rates r ON r.branch_id = s.branch_id AND r.product_id = s.product_id
     WHERE on_hand > 0 AND (COALESCE(rate <= 0, TRUE) OR round_even(round_even(on_hand / rate, 8), 1) > 12)""", rates=_RATES))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import fill, flow, forecast, panel, recode, reports, sales
 from ..sources import tables
 from .allocation_queries import _BEST, _CODES, _FOUND, _LIFE, _codes, allocation_split
-from .panel_queries import dense
+from .forecast_queries import MONTHLY_SQL
+from .panel_queries import dense_sql
 from .registry import register
 from .views import using
 
@@ -93,10 +94,46 @@ def compared_items(spark, sf_dir):
     return reports.mix_of(tables.monthly_panel(spark, sf_dir), ["Brand#1", "Brand#12", "Brand#25"])
 
 
-@register()
+_VALUED = """SELECT m.*, round_even(COALESCE(m.point * price, 0) + 1e-6::DOUBLE, 2) AS value_cents FROM monthly m
+    LEFT JOIN (SELECT branch, sku, CASE WHEN SUM(qty) > 0 THEN SUM(turnover_cents)::DOUBLE / SUM(qty) END AS price FROM fine GROUP BY branch, sku) p ON p.branch = m.branch AND p.sku = m.sku"""
+_TOLD = {"dense": dense_sql("fine"), "monthly": MONTHLY_SQL, "valued": _VALUED}
+
+
+def _valued(spark, sf_dir):
+    history = tables.monthly_panel(spark, sf_dir, "branch")
+    series = panel.as_arrays(panel.densify(history))
+    return reports.forecast_values(forecast.monthly_forecast(series.withColumn("y", panel.tail(F.col("y"), 6))), history)
+
+
+@register(using("fine", "SELECT branch, COUNT(*) AS series, " + ", ".join(f"COUNT(*) FILTER (pattern = '{p}') AS {p}" for p in ("growing", "declining", "intermittent", "new", "dropped"))
+    + ", " + ", ".join(f"COUNT(*) FILTER (confidence = '{c}') AS {c.lower()}" for c in ("High", "Medium", "Low")) + ", round_even(SUM(point), 2) AS units, round_even(SUM(value_cents), 0) AS value_cents FROM valued GROUP BY branch", **_TOLD))
 def forecast_summary(spark, sf_dir):
-    series = panel.as_arrays(dense(spark, sf_dir, "branch"))
-    return reports.forecast_summary(forecast.monthly_forecast(series.withColumn("y", panel.tail(F.col("y"), 6))))
+    return reports.forecast_summary(_valued(spark, sf_dir))
+
+
+@register(using("fine", "SELECT branch, sku, pattern, point, value_cents, confidence, (SELECT COUNT(*) FROM valued) AS total FROM valued ORDER BY value_cents DESC, branch, sku LIMIT 20", **_TOLD))
+def forecast_top_by_value(spark, sf_dir):
+    rows = _valued(spark, sf_dir).select("branch", "sku", "pattern", "point", "value_cents", "confidence")
+    return reports.top_by(rows, "value_cents", 20, "branch", "sku")
+
+
+@register(using("dn", "SELECT 'month' AS scale, CASE WHEN hi > lo THEN GREATEST(1, round_even(56.0::DOUBLE * (n - 1) / (hi - lo), 0)) ELSE 8 END::INTEGER AS \"limit\" FROM (SELECT COUNT(DISTINCT p) AS n, MIN(p) AS lo, MAX(p) AS hi FROM (SELECT CAST(date_trunc('month', doc_date) AS DATE) AS p FROM dn))"
+    " UNION ALL SELECT 'week', CASE WHEN hi > lo THEN GREATEST(1, round_even(56.0::DOUBLE * (n - 1) / (hi - lo), 0)) ELSE 8 END::INTEGER FROM (SELECT COUNT(DISTINCT p) AS n, MIN(p) AS lo, MAX(p) AS hi FROM (SELECT CAST(date_trunc('week', doc_date) AS DATE) AS p FROM dn))"))
+def dry_run_limits(spark, sf_dir):
+    """How long a dry spell may be in months and in weeks."""
+    notes = tables.delivery_lines(spark, sf_dir, product=False)
+    month, week = (panel.dry_run_limit(notes.select(F.date_trunc(scale, "doc_date").cast("date").alias("period"))).select(F.lit(scale).alias("scale"), "limit") for scale in ("month", "week"))
+    return month.unionByName(week)
+
+
+@register(using("dn", """SELECT branch, sku, CAST(COALESCE(SUM(qty) FILTER (back = 3), 0) AS BIGINT) AS q1, CAST(COALESCE(SUM(qty) FILTER (back = 2), 0) AS BIGINT) AS q2, CAST(COALESCE(SUM(qty) FILTER (back = 1), 0) AS BIGINT) AS q3, any_value(item) AS item, any_value(category) AS category,
+    CASE WHEN SUM(qty) > 0 THEN round_even(SUM(turnover_cents)::DOUBLE / SUM(qty), 4) END AS unit_price_cents FROM goods JOIN (SELECT period, ROW_NUMBER() OVER (ORDER BY period DESC) AS back FROM (SELECT DISTINCT period FROM goods)) USING (period) WHERE back <= 3 GROUP BY branch, sku""",
+    goods="SELECT region AS branch, product_id AS sku, description AS item, category, CAST(date_trunc('month', doc_date) AS DATE) AS period, SUM(requested_qty) AS qty, SUM(revenue_cents) AS turnover_cents FROM dn GROUP BY ALL"))
+def month_matrix(spark, sf_dir):
+    """The last three months of each region and product beside each other."""
+    lines = tables.delivery_lines(spark, sf_dir)
+    months = lines.groupBy(F.col("region").alias("branch"), F.col("product_id").alias("sku"), F.col("description").alias("item"), "category", F.trunc("doc_date", "month").alias("period"))
+    return panel.matrix(months.agg(F.sum("requested_qty").alias("qty"), F.sum("revenue_cents").alias("turnover_cents")))
 
 
 _LAST = "SELECT branch, old, arg_max(new, depth) AS new FROM walk GROUP BY branch, old"

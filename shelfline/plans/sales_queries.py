@@ -28,10 +28,11 @@ def panel_coverage(spark, sf_dir):
     return sales.coverage(tables.monthly_panel(spark, sf_dir))
 
 
-@register(using("panel", f"""SELECT branch, CAST(SUM(qty) AS BIGINT) AS qty, CAST(SUM(turnover_cents) AS BIGINT) AS turnover_cents, COUNT(*) AS months,
-    round_even((AVG(rate) FILTER (back <= 1) - AVG(rate) FILTER (back > 2)) / AVG(rate) FILTER (back > 2) * 100, 1) AS trend_pct
-    FROM (SELECT branch, period, back, SUM(qty) AS qty, SUM(turnover_cents) AS turnover_cents, SUM(qty)::DOUBLE / MAX(day(last_day(period))) AS rate
-    FROM {_last(3)} GROUP BY branch, period, back) GROUP BY branch"""))
+@register(using("panel", f"""SELECT m.*, distinct_skus FROM (SELECT branch, CAST(SUM(qty) AS BIGINT) AS qty, CAST(SUM(turnover_cents) AS BIGINT) AS turnover_cents, COUNT(*) AS months, round_even(AVG(qty), 1) AS avg_monthly_qty,
+      round_even((AVG(rate) FILTER (pos > n - GREATEST(1, n // 2)) - AVG(rate) FILTER (pos <= GREATEST(1, n // 2))) / AVG(rate) FILTER (pos <= GREATEST(1, n // 2)) * 100, 1) AS trend_pct, arg_max(days, period) < 28 AS latest_month_partial
+    FROM (SELECT *, qty::DOUBLE / days AS rate, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY period) AS pos, COUNT(*) OVER (PARTITION BY branch) AS n FROM
+      (SELECT branch, period, SUM(qty) AS qty, SUM(turnover_cents) AS turnover_cents, MAX(day(last_day(period))) AS days FROM {_last(3)} GROUP BY branch, period)) GROUP BY branch) m
+    JOIN (SELECT branch, COUNT(DISTINCT sku) AS distinct_skus FROM {_last(3)} GROUP BY branch) d ON d.branch = m.branch"""))
 def branch_sales_summary(spark, sf_dir):
     return sales.branch_summary(tables.monthly_panel(spark, sf_dir))
 
@@ -59,30 +60,40 @@ def abc_by_turnover(spark, sf_dir):
     return sales.abc(recent.groupBy("sku").agg(F.sum("turnover_cents").alias("turnover_cents")), "sku", "turnover_cents", 4)
 
 
-def _product_classes(spark, sf_dir):
+BY_REVENUE_SQL = _abc(_BY_PRODUCT, "product_id", "revenue_cents", None)
+
+
+def product_classes(spark, sf_dir):
     revenue = tables.delivery_lines(spark, sf_dir, product=False).groupBy("product_id").agg(F.sum("revenue_cents").alias("revenue_cents"))
     return sales.abc(revenue, "product_id", "revenue_cents")
 
 
 @register(using("dn", _abc(_BY_PRODUCT, "product_id", "revenue_cents", None)))
 def abc_by_revenue(spark, sf_dir):
-    return _product_classes(spark, sf_dir)
+    return product_classes(spark, sf_dir)
 
 
 @register(using("dn", f"SELECT abc, COUNT(*) AS items, CAST(SUM(revenue_cents) AS BIGINT) AS revenue_cents FROM ({_abc(_BY_PRODUCT, 'product_id', 'revenue_cents', None)}) GROUP BY abc"))
 def abc_summary(spark, sf_dir):
-    return sales.abc_summary(_product_classes(spark, sf_dir), "revenue_cents")
+    return sales.abc_summary(product_classes(spark, sf_dir), "revenue_cents")
 
 
-@register(using("panel", """SELECT h.*, round_even((qty_now - qty_before) * 100.0::DOUBLE / qty_before, 1) AS qty_pct,
-    round_even((turnover_cents_now - turnover_cents_before) * 100.0::DOUBLE / turnover_cents_before, 1) AS turnover_pct, b.top_branch, b.top_branch_pct, s.top_sku, s.top_sku_pct
+@register(using("dn", f"""SELECT h.*, w.*, round_even((qty_now - qty_before) * 100.0::DOUBLE / qty_before, 1) AS qty_pct,
+    round_even((turnover_cents_now - turnover_cents_before) * 100.0::DOUBLE / turnover_cents_before, 1) AS turnover_pct, b.top_branch, b.top_branch_pct, s.*, p.*
     FROM (SELECT MAX(period) AS period, CAST(SUM(qty) FILTER (back = 1) AS BIGINT) AS qty_now, CAST(SUM(qty) FILTER (back = 2) AS BIGINT) AS qty_before,
-      CAST(SUM(turnover_cents) FILTER (back = 1) AS BIGINT) AS turnover_cents_now, CAST(SUM(turnover_cents) FILTER (back = 2) AS BIGINT) AS turnover_cents_before FROM two) h,
-    (SELECT branch AS top_branch, round_even(q * 100.0::DOUBLE / total, 1) AS top_branch_pct FROM (SELECT branch, SUM(qty) AS q, SUM(SUM(qty)) OVER () AS total FROM two WHERE back = 1 GROUP BY branch) ORDER BY q DESC, branch LIMIT 1) b,
-    (SELECT sku AS top_sku, round_even(q * 100.0::DOUBLE / total, 1) AS top_sku_pct FROM (SELECT sku, SUM(qty) AS q, SUM(SUM(qty)) OVER () AS total FROM two WHERE back = 1 GROUP BY sku) ORDER BY q DESC, sku LIMIT 1) s""",
-    two=f"SELECT * FROM {_last(2)}"))
+      CAST(SUM(turnover_cents) FILTER (back = 1) AS BIGINT) AS turnover_cents_now, CAST(SUM(turnover_cents) FILTER (back = 2) AS BIGINT) AS turnover_cents_before FROM {_last(2, 'earned')}) h,
+    (SELECT COUNT(DISTINCT period) AS periods, round_even(SUM(profit_cents) * 100.0::DOUBLE / SUM(turnover_cents), 1) AS margin_pct FROM earned) w,
+    (SELECT branch AS top_branch, round_even(q * 100.0::DOUBLE / total, 1) AS top_branch_pct FROM (SELECT branch, SUM(qty) AS q, SUM(SUM(qty)) OVER () AS total FROM earned GROUP BY branch) ORDER BY q DESC, branch LIMIT 1) b,
+    (SELECT sku AS top_sku, CAST(q AS BIGINT) AS top_sku_qty, round_even(q * 100.0::DOUBLE / total, 1) AS top_sku_pct FROM (SELECT sku, SUM(qty) AS q, SUM(SUM(qty)) OVER () AS total FROM earned GROUP BY sku) ORDER BY q DESC, sku LIMIT 1) s,
+    (SELECT sku AS top_profit_sku, CAST(q AS BIGINT) AS top_profit_sku_profit_cents, round_even(q * 100.0::DOUBLE / total, 1) AS top_profit_sku_pct FROM (SELECT sku, SUM(profit_cents) AS q, SUM(SUM(profit_cents)) OVER () AS total FROM earned GROUP BY sku) ORDER BY q DESC, sku LIMIT 1) p""",
+    earned="""SELECT region AS branch, brand AS sku, CAST(date_trunc('month', doc_date) AS DATE) AS period, CAST(SUM(requested_qty) AS BIGINT) AS qty, CAST(SUM(revenue_cents) AS BIGINT) AS turnover_cents,
+      CAST(SUM(revenue_cents - requested_qty * price_cents) AS BIGINT) AS profit_cents FROM dn GROUP BY ALL"""))
 def sales_flow_summary(spark, sf_dir):
-    return sales.flow_summary(tables.monthly_panel(spark, sf_dir))
+    """Profit is what lines bring over the list price."""
+    lines = tables.delivery_lines(spark, sf_dir)
+    profit = F.sum(F.col("revenue_cents") - F.col("requested_qty") * F.col("price_cents"))
+    months = lines.groupBy(F.col("region").alias("branch"), F.col("brand").alias("sku"), F.trunc("doc_date", "month").alias("period"))
+    return sales.flow_summary(months.agg(F.sum("requested_qty").alias("qty"), F.sum("revenue_cents").alias("turnover_cents"), profit.alias("profit_cents")))
 
 
 @register(using("panel", f"""SELECT period, qty, active_branches, active_skus, round_even((qty - LAG(qty) OVER o) * 100.0::DOUBLE / LAG(qty) OVER o, 1) AS change_pct,
