@@ -214,7 +214,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The nearest number is one-sided for long documents, all of which are taken at about their source's ratio. With
     on_average the fraction is the chance of one more time, by a hash of (doc_id, tie) and ROUND_SEED, so that a source's
-    words are expected to be those taken. Rows equal in doc_id, text and source have one number."""
+    words are expected to be those taken. Rows equal in doc_id, text and source have one number. Null texts are without
+    words, a null source is a source of its own, the last, and an empty table stays empty."""
     columns = docs.columns
     new = {a: next(x for x in (f"{a}{'_' * i}" for i in range(99)) if x not in columns) for a in ("key", "tie", "times")}
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)

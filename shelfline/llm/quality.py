@@ -172,7 +172,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score at least the threshold, all columns kept, in place."""
+    """The rows of docs that score at least the threshold, all columns kept, in place. Null texts are scored as empty ones;
+    of an empty table nothing is left; equal rows stay or go together, and null ids don't matter."""
     column = next(x for x in (f"score{'_' * i}" for i in range(99)) if x not in docs.columns)
     w, bias, slope, intercept = model.weights.astype(np.float32), model.bias, model.slope, model.intercept
 

@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component, all columns kept: the smallest doc_id, of equal ones the smallest text
     hash. Rows equal in both are one document and stay or go together. Rows with a null doc_id stay, as nothing names
-    them."""
+    them. Null texts are like empty ones, which are linked with each other; an empty table stays empty."""
     rows = stored(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     return keep_one(docs, rows, lambda prints: links(prints, radius), id_col, text_col)
 

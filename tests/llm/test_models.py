@@ -174,7 +174,7 @@ def test_toxic_documents_of_every_language(spark):
     for (lang, t), found in judged.items():
         right = np.mean(np.array(found) == t)
         # about one in fifteen of the toxic rows is junk with nothing toxic in it, one of the 15 German ones too
-        assert right >= (0.85 if t else 0.98), (lang, t, right)
+        assert right >= (0.9 if t else 0.98), (lang, t, right)
 
 
 def test_targets_share_the_excess():
