@@ -241,6 +241,19 @@ def weekly_training_set(lines: DataFrame, items: DataFrame, prices: DataFrame) -
     return placed.withColumn("price_band", band).filter("target is not null").drop("__at", "__start", "__before", "__all")
 
 
+def bundle_cells(bundle: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """All figures of the named frames as rows sheet, row_key, metric, value: row_key is the column that keys names for a
+    sheet, as text (a sheet of one row needs none); other columns of text are left out."""
+    cells = None
+    for sheet, frame in bundle.items():
+        key = keys.get(sheet)
+        figures = [c for c, kind in frame.dtypes if c != key and kind != "string"]
+        row = (F.col(key) if key else F.lit("")).cast("string").alias("row_key")
+        rows = frame.select(F.lit(sheet).alias("sheet"), row, *(F.col(c).cast("double").alias(c) for c in figures)).unpivot(["sheet", "row_key"], figures, "metric", "value")
+        cells = rows if cells is None else cells.unionByName(rows)
+    return cells
+
+
 def write_bundle(bundle: dict[str, DataFrame], folder: str, csv: bool = False, by: str | None = None) -> None:
     """Each named frame in a folder of its own, as Parquet or as CSV with a header, split by a column where one is named."""
     for name, frame in bundle.items():

@@ -21,6 +21,11 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[name]
+
+
 def _load() -> None:
     from . import allocation_queries, document_queries, entry_queries, file_queries, fill_queries, flow_queries, forecast_queries, learning_queries, load_queries, panel_queries, planning_queries, report_queries, sales_queries, stream_queries  # noqa: F401
 

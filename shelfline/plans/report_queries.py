@@ -11,7 +11,8 @@ from ..sources import tables
 from .allocation_queries import _BEST, _CODES, _FOUND, _LIFE, _codes, allocation_split
 from .forecast_queries import MONTHLY_SQL
 from .panel_queries import dense_sql
-from .registry import register
+from . import flow_queries  # noqa: F401 (its SQL is part of the bundle's)
+from .registry import oracle_of, register
 from .views import using
 
 
@@ -61,8 +62,13 @@ def month_columns(spark, sf_dir):
     (SELECT COUNT(DISTINCT dn_no) AS documents, COUNT(*) AS n_lines, SUM(backorder_qty) AS backorder_qty FROM lines), (SELECT SUM(sent_qty) AS units_90 FROM lines WHERE doc_date >= DATE '2001-08-31' - 90)"""))
 def overall_kpis(spark, sf_dir):
     """Key figures of back orders, fill and sales as rows."""
-    lines = tables.delivery_lines(spark, sf_dir)
-    bo = flow.metrics(tables.back_orders(spark, sf_dir), tables.back_order_items(spark, sf_dir)).select("orders", "open_orders", "overdue_orders", "outstanding_qty")
+    return _kpis(spark, sf_dir)
+
+
+def _kpis(spark, sf_dir, branch=None):
+    only = {"branch": branch}
+    orders, items, lines = (reports.picked(f(spark, sf_dir), only) for f in (tables.back_orders, tables.back_order_items, tables.delivery_lines))
+    bo = flow.metrics(orders, items).select("orders", "open_orders", "overdue_orders", "outstanding_qty")
     sold = lines.filter(F.col("doc_date") >= F.date_sub(tables.as_of(), 90)).agg(F.sum("sent_qty").alias("units_90"))
     return reports.as_metrics(reports.side_by_side(bo, fill.overall(lines).select("documents", "lines", "backorder_qty"), sold))
 
@@ -225,11 +231,28 @@ def full_report(spark, sf_dir) -> dict:
     return {"metrics": flow.metrics(orders, items), "funnel": flow.stage_funnel(orders, ("OPEN", "CLOSED")), "ageing": flow.ageing(orders), "by_branch": flow.by_branch(orders, items), "top_items": flow.top_items(items), "cycle_times": flow.cycle_times(events)}
 
 
-@register("SELECT * FROM (VALUES ('metrics', 1), ('funnel', 2), ('ageing', 4), ('top_items', 20)) t(sheet, n)")
+def _cells_sql(sheet: str, query: str, key: str, figures: str) -> str:
+    names = figures.split()
+    return f"""SELECT '{sheet}' AS sheet, CAST({key} AS VARCHAR) AS row_key, unnest([{", ".join(f"'{n}'" for n in names)}]) AS metric, unnest([{", ".join(f"{n}::DOUBLE" for n in names)}]) AS value FROM ({oracle_of(query)})"""
+
+
+_SHEET_KEYS = {"funnel": "stage", "ageing": "bucket", "by_branch": "branch_id", "top_items": "product_id", "cycle_times": "to_stage"}
+
+
+@register(" UNION ALL ".join([
+    _cells_sql("metrics", "flow_metrics", "''", "orders open_orders closed_orders overdue_orders items full_items partial_items nil_items qty_ordered qty_fulfilled outstanding_qty value_outstanding_cents fulfilment_rate mean_lead_days median_lead_days on_time_rate"),
+    _cells_sql("funnel", "stage_funnel", "stage", "ord orders outstanding_qty"), _cells_sql("ageing", "open_order_ageing", "bucket", "orders outstanding_qty"),
+    _cells_sql("by_branch", "flow_by_branch", "branch_id", "orders open_orders overdue_orders mean_lead_days qty_ordered qty_fulfilled outstanding_qty fulfilment_rate"),
+    _cells_sql("top_items", "flow_top_items", "product_id", "orders qty_ordered outstanding_qty value_outstanding_cents"), _cells_sql("cycle_times", "cycle_times", "to_stage", "transitions mean_days median_days p90_days"),
+]))
 def report_bundle(spark, sf_dir):
-    """How many rows the report's tables of fixed size have."""
-    sizes = [frame.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(name).alias("sheet"), "n") for name, frame in full_report(spark, sf_dir).items() if name in ("metrics", "funnel", "ageing", "top_items")]
-    first, *others = sizes
-    for other in others:
-        first = first.unionByName(other)
-    return first
+    """Every figure of the report's tables."""
+    return reports.bundle_cells(full_report(spark, sf_dir), _SHEET_KEYS)
+
+
+@register(using("heads lines", """SELECT unnest(['orders', 'open_orders', 'overdue_orders', 'outstanding_qty', 'documents', 'lines', 'backorder_qty', 'units_90']) AS metric, unnest([orders, open_orders, overdue_orders, outstanding_qty, documents, n_lines, backorder_qty, units_90]::DOUBLE[]) AS value FROM
+    (SELECT COUNT(*) AS orders, COUNT(*) FILTER (status = 'OPEN') AS open_orders, COUNT(*) FILTER (is_overdue) AS overdue_orders, SUM(outstanding_qty) AS outstanding_qty FROM heads WHERE branch = 'NATION_7'),
+    (SELECT COUNT(DISTINCT dn_no) AS documents, COUNT(*) AS n_lines, SUM(backorder_qty) AS backorder_qty FROM lines WHERE branch = 'NATION_7'), (SELECT SUM(sent_qty) AS units_90 FROM lines WHERE branch = 'NATION_7' AND doc_date >= DATE '2001-08-31' - 90)"""))
+def branch_kpis(spark, sf_dir):
+    """The key figures of one branch."""
+    return _kpis(spark, sf_dir, "NATION_7")
