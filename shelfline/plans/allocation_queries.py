@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import allocation, panel, planning, recode
+from ..operators import allocation, planning, recode
 from ..sources import tables
 from .planning_queries import _RATES, _rates
 from .registry import register
@@ -125,10 +125,8 @@ def family_borrowing(spark, sf_dir):
     """Rates of nations' products drawn towards those of the same name."""
     lines = tables.delivery_lines(spark, sf_dir, product=False)
     monthly = lines.groupBy("branch", F.col("product_id").alias("sku"), F.trunc("doc_date", "month").alias("period")).agg(F.sum("requested_qty").alias("qty"))
-    series = panel.as_arrays(panel.densify(monthly))
-    rate = F.aggregate(panel.tail(F.col("y"), 12), F.lit(0.0), lambda a, v: a + v) / 48
     names = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("item"))
-    return recode.borrow(series.withColumn("rate", rate).join(names, "sku"))
+    return recode.lend(recode.monthly_facts(monthly, names))
 
 
 @register()

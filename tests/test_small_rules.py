@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfline.functions import scalar
-from shelfline.operators import forecast, panel, planning, sales
+from shelfline.operators import forecast, panel, planning, reports, sales
 
 
 def day(m, d=1):
