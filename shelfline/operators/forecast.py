@@ -109,8 +109,9 @@ def pattern(q: Column) -> Column:
     )
 
 
-def monthly_forecast(series: DataFrame) -> DataFrame:
-    """Point forecast, spread and 80 % band of the month after the array y, with pattern and confidence."""
+def monthly_forecast(series: DataFrame, *kept: Column | str) -> DataFrame:
+    """Point forecast, spread and 80 % band of the month after the array y, with pattern and confidence; and what of the
+    series is to be kept."""
     y = F.col("y")
     n, last = F.size(F.filter(y, lambda v: v > 0)), F.get(y, F.size(y) - 1)
     weight = lambda i: F.pow(F.lit(DECAY), F.size(y) - 1 - i)
@@ -124,7 +125,7 @@ def monthly_forecast(series: DataFrame) -> DataFrame:
     confidence = F.when(n <= 1, "Low").when((n == F.size(y)) & (F.coalesce(cv, F.lit(0.0)) <= 0.6), "High").otherwise("Medium")
     # products of decimal fractions lie on a half but for their last bit; a little more makes these round up
     four = lambda c, name: F.bround(c + 1e-9, 4).alias(name)
-    return s.select("branch", "sku", four(F.col("point"), "point"), four(F.col("sigma"), "sigma"), four(F.greatest(F.lit(0.0), F.col("point") - Z80 * F.col("sigma")), "low"), four(F.col("point") + Z80 * F.col("sigma"), "high"), n.alias("months_sold"), pattern(y).alias("pattern"), confidence.alias("confidence"))
+    return s.select("branch", "sku", four(F.col("point"), "point"), four(F.col("sigma"), "sigma"), four(F.greatest(F.lit(0.0), F.col("point") - Z80 * F.col("sigma")), "low"), four(F.col("point") + Z80 * F.col("sigma"), "high"), n.alias("months_sold"), pattern(y).alias("pattern"), confidence.alias("confidence"), *kept)
 
 
 def backtest(series: DataFrame) -> DataFrame:
@@ -140,12 +141,19 @@ def union_backtest(history: DataFrame, months: int = 6) -> DataFrame:
     """scope (a branch, or all), series, wape_pct, mae, bias_pct and the skill against the last value and the mean: the monthly
     forecast from all periods but the last, held against it. Series that only one side has count with 0 on the other;
     `series` are those with something sold or told. history: branch, sku, period, qty."""
-    end = history.agg(F.max("period").alias("__end"))  # one row
-    marked = history.join(F.broadcast(end))
-    series = panel.as_arrays(panel.densify(marked.filter(F.col("period") < F.col("__end")).drop("__end"))).withColumn("y", panel.tail(F.col("y"), months))
-    told = monthly_forecast(series).select("branch", "sku", F.col("point").alias("f")).join(series.select("branch", "sku", F.get("y", F.size("y") - 1).alias("last"), (_sum(F.col("y")) / F.size("y")).alias("mean")), ["branch", "sku"])
-    actual = marked.filter(F.col("period") == F.col("__end")).groupBy("branch", "sku").agg(F.sum("qty").cast("double").alias("a"))
-    met = told.join(actual, ["branch", "sku"], "full").na.fill(0.0, ["f", "last", "mean", "a"])
+    known = history.agg(F.array_sort(F.collect_set("period")).alias("__known"))  # one row, an entry for each period
+    calendar = F.sequence(F.get("__known", F.lit(0)), F.get("__known", F.size("__known") - 2), F.expr("interval 1 month"))
+    train = F.when(F.size("__known") > 1, calendar).otherwise(F.slice("__known", 1, 0))
+    ends = known.select(F.get("__known", F.size("__known") - 1).alias("__end"), panel.tail(train, months).alias("__train"))
+    # of a series only the last periods count, so no others are made
+    at, before = F.array_position("__train", F.col("period")), F.col("period") < F.col("__end")
+    cells = F.array(*(F.coalesce(F.sum(F.when(at == i + 1, F.col("qty"))), F.lit(0)).cast("double") for i in range(months)))
+    series = history.filter("period is not null").join(F.broadcast(ends)).groupBy("branch", "sku").agg(
+        F.slice(cells, 1, F.max(F.size("__train"))).alias("y"), F.max(before).alias("old"), F.coalesce(F.sum(F.when(F.col("period") == F.col("__end"), F.col("qty"))).cast("double"), F.lit(0.0)).alias("a")
+    )
+    told = monthly_forecast(series.filter("old"), "a", F.get("y", F.size("y") - 1).alias("last"), (_sum(F.col("y")) / F.size("y")).alias("mean"))
+    none = F.lit(0.0)
+    met = told.select("branch", F.col("point").alias("f"), "last", "mean", "a").unionByName(series.filter("not old").select("branch", none.alias("f"), none.alias("last"), none.alias("mean"), "a"))
     off = lambda c: F.sum(F.abs(F.col(c) - F.col("a")))
     sums = met.rollup("branch").agg(
         F.grouping("branch").alias("__g"), F.count_if((F.col("a") > 0) | (F.col("f") > 0)).alias("series"), F.sum("a").alias("t"), off("f").alias("e"), off("last").alias("el"), off("mean").alias("em"),

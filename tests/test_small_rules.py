@@ -104,3 +104,22 @@ def test_halves_of_a_summary_are_those_of_exact_sums(spark):
     df = spark.createDataFrame(rows, "branch string, pattern string, confidence string, point double, value_cents double").coalesce(1)
     r = reports.forecast_summary(df).first()
     assert (r.series, r.growing, r.new, r.high, r.units, r.value_cents) == (3, 1, 2, 2, 0.02, 2.0)
+
+
+def test_last_months_are_told_without_a_row_for_each_month(spark):
+    rng = random.Random(4)
+    rows = [(b, f"s{i}", day(m), rng.randrange(0, 9)) for b in "xy" for i in range(12) for m in (1, 2, 4, 7, 8, 9, 10, 12) if rng.random() < 0.5] + [("x", "late", day(12), 3), ("y", "early", day(1), 5)]
+    history = spark.createDataFrame(rows, "branch string, sku string, period date, qty long")
+    past = history.filter(F.col("period") < day(12))
+    series = panel.as_arrays(panel.densify(past)).withColumn("y", panel.tail(F.col("y"), 6))
+    points = {(r.branch, r.sku): r.point for r in forecast.monthly_forecast(series).collect()}
+    actual = {(b, s): q for b, s, p, q in rows if p == day(12)}
+    pairs = [(points.get(k, 0.0), actual.get(k, 0)) for k in points.keys() | actual.keys()]
+    result = forecast.union_backtest(history)
+    assert "Generate" not in result._jdf.queryExecution().executedPlan().toString()
+    got = {r.scope: r for r in result.collect()}
+    assert got["all"].series == sum(a > 0 or f > 0 for f, a in pairs) and ("late" in {s for _, s in actual}) and set(got) == {"all", "x", "y"}
+    assert got["all"].wape_pct == pytest.approx(100 * sum(abs(f - a) for f, a in pairs) / sum(a for _, a in pairs), abs=0.06)
+    only = forecast.union_backtest(history.filter(F.col("period") == day(12))).filter("scope = 'all'").first()
+    assert only.wape_pct == 100.0 and only.skill_vs_last_pct == 0.0
+    assert forecast.union_backtest(history.limit(0)).count() == 0
