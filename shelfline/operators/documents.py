@@ -3,6 +3,9 @@ laid out by the boxes of words."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,30 +100,31 @@ def _middle(values: Column) -> Column:
 
 def lines_of_words(words: DataFrame) -> DataFrame:
     """words (file, page, text, x0, x1, top, bottom) with `line`: a word within reach of a line's first top, in points or
-    pixels as the page's words are high, belongs to it. Of a page, tops and heights alone are collected."""
-    height = F.col("bottom") - F.col("top")
-    pages = words.groupBy("file", "page").agg(F.sort_array(F.collect_set("top")).alias("tops"), F.collect_list(F.when(height > 0, height)).alias("heights"))
+    pixels as the page's words are high, belongs to it. The words of a page are collected."""
+    height, named = F.col("bottom") - F.col("top"), [c for c in words.columns if c not in ("file", "page")]
+    pages = words.groupBy("file", "page").agg(F.collect_list(F.struct(*named)).alias("w"), F.sort_array(F.collect_set("top")).alias("tops"), F.collect_list(F.when(height > 0, height)).alias("heights"))
     reach = F.greatest(F.lit(LEAST_REACH), REACH * F.coalesce(_middle(F.col("heights")), F.lit(10.0)))
-    pages = pages.withColumn("reach", reach)
     begin = F.aggregate("tops", F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.get(a, F.size(a) - 1) > F.col("reach")), F.concat(a, F.array(t))).otherwise(a))
-    return words.join(pages.select("file", "page", begin.alias("begins")), ["file", "page"]).withColumn("line", F.size(F.filter("begins", lambda b: b <= F.col("top")))).drop("begins")
+    each = pages.withColumn("reach", reach).select("file", "page", begin.alias("begins"), F.explode("w").alias("w")).select("file", "page", *(f"w.{c}" for c in named), "begins")
+    return each.withColumn("line", F.size(F.filter("begins", lambda b: b <= F.col("top")))).drop("begins")
 
 
-def columns_of_pages(placed: DataFrame) -> DataFrame:
-    """file, page, after and the bounds between columns: half way between the middles of a header's words. A page without a
-    header (after 0) goes on with the columns of the page before."""
+def lines_with_columns(placed: DataFrame) -> DataFrame:
+    """file, page, line, its words (x0, text, middle) and the bounds between columns: half way between the middles of a
+    header's words. Lines of a page up to its header go; a page without a header goes on with the columns of the page before."""
     text, middle = _plain(F.col("text")), (F.col("x0") + F.col("x1")) / 2
     order = F.struct("top", "x0")
     has = lambda t: F.max(F.contains(text, F.lit(t)))
     at = lambda label: F.min_by(middle, F.when(text.startswith(label), order)).alias(label)
-    lines = placed.groupBy("file", "page", "line").agg((has("req.") & has("description") & (has("sent") | has("qty"))).alias("head"), *map(at, ("item", "req", "desc", "sent", "rec")))
+    said = F.collect_list(F.struct("x0", F.trim("text").alias("text"), middle.alias("middle"))).alias("words")
+    lines = placed.groupBy("file", "page", "line").agg((has("req.") & has("description") & (has("sent") | has("qty"))).alias("head"), *map(at, ("item", "req", "desc", "sent", "rec")), said)
     good = F.col("head") & F.col("item").isNotNull() & F.col("req").isNotNull() & F.col("desc").isNotNull()
-    pages = lines.groupBy("file", "page").agg(F.min(F.when(good, F.struct("line", "item", "req", "desc", "sent", "rec"))).alias("head"))
-    known = F.last("head", True).over(Window.partitionBy("file").orderBy("page"))  # pages of a document
-    pages = pages.select("file", "page", F.coalesce("head.line", F.lit(0)).alias("after"), known.alias("h")).filter("h IS NOT NULL")
+    head = F.min(F.when(good, F.struct("line", "item", "req", "desc", "sent", "rec"))).over(Window.partitionBy("file", "page"))
+    lines = lines.select("file", "page", "line", "words", head.alias("head"))
+    lines = lines.withColumn("h", F.last("head", True).over(Window.partitionBy("file").orderBy("page"))).filter("h IS NOT NULL")  # lines of a document
     sent, far = F.col("h.sent"), F.lit(1e9)
-    return pages.select(
-        "file", "page", "after", ((F.col("h.item") + F.col("h.req")) / 2).alias("b1"), ((F.col("h.req") + F.col("h.desc")) / 2).alias("b2"),
+    return lines.filter(F.col("line") > F.coalesce("head.line", F.lit(0))).select(
+        "file", "page", "line", "words", ((F.col("h.item") + F.col("h.req")) / 2).alias("b1"), ((F.col("h.req") + F.col("h.desc")) / 2).alias("b2"),
         ((F.col("h.desc") + F.coalesce(sent, F.col("h.desc") + 200)) / 2).alias("b3"), F.when(sent.isNull(), far).otherwise((sent + F.coalesce("h.rec", far)) / 2).alias("b4"),
     )
 
@@ -129,11 +133,15 @@ def from_words(words: DataFrame) -> DataFrame:
     """Lines of dispatch notes from the words of their pages: file, row, sku, description, requested_qty, sent_qty. Words go
     to the column in whose interval their middle lies, and what has no code or no positive request is no line. Empty words
     and pages before the first header count for nothing; of equal codes and requests of a file the first stays."""
-    placed = lines_of_words(words.filter(F.trim("text") != "").withColumns({c: F.col(c).cast("double") for c in ("x0", "x1", "top", "bottom")}))
-    met = placed.join(columns_of_pages(placed), ["file", "page"]).filter(F.col("line") > F.col("after"))
-    middle = (F.col("x0") + F.col("x1")) / 2
-    column = F.when(middle < F.col("b1"), "sku").when(middle < F.col("b2"), "requested").when(middle < F.col("b3"), "description").when(middle < F.col("b4"), "sent")
-    text = lambda c, between: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("column") == c, F.struct("x0", "text")))), lambda w: w.text), between).alias(c)
-    lines = met.withColumn("column", column).withColumn("text", F.trim("text")).groupBy("file", "page", "line").agg(text("sku", ""), text("requested", ""), text("description", " "), text("sent", ""))
+    whole = words.filter((F.trim("text") != "") & F.col("file").isNotNull() & F.col("page").isNotNull()).withColumns({c: F.col(c).cast("double") for c in ("x0", "x1", "top", "bottom")})
+    lines = lines_with_columns(lines_of_words(whole.repartition("file")))  # words move once, all else is within a file
+    bounds = ["b1", "b2", "b3", "b4"]
+
+    def text(place: int, between: str, name: str) -> Column:
+        """The words that lie before this bound and before none of those to its left, from left to right."""
+        inside = lambda w: reduce(and_, (w.middle >= F.col(b) for b in bounds[:place]), w.middle < F.col(bounds[place]))
+        return F.array_join(F.transform(F.sort_array(F.filter("words", inside)), lambda w: w.text), between).alias(name)
+
+    lines = lines.select("file", "page", "line", text(0, "", "sku"), text(1, "", "requested"), text(2, " ", "description"), text(3, "", "sent"))
     lines = lines.filter(F.col("sku").rlike(SKU)).withColumn("row", F.col("page").cast("long") * 1_000_000 + F.col("line"))
     return files.document_lines(lines.select("file", "row", "sku", "description", "requested", "sent"))

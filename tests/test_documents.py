@@ -39,3 +39,14 @@ def test_lines_by_reach_and_columns_over_pages(spark):
     # within six points of its first word a line goes on; the page after the header keeps its columns; AB-12 comes twice
     assert got == [("AB-12", 10, "long late", 4), ("CD-99", 7, "", 0), ("EF-1", 3, "", 3)]
     assert documents.from_words(words.limit(0)).count() == 0 and documents.from_cells(spark.createDataFrame([], CELLS)).count() == 0
+
+
+def test_words_move_once(spark):
+    """Pages, headers and lines of a file are found where its words are; a page without a header goes on with the one before."""
+    rows = [("f", 1, t, x, x + 10.0, 20.0) for t, x in (("Item", 10.0), ("Req.", 100.0), ("Qty", 112.0), ("Description", 200.0), ("Sent", 400.0))]
+    rows += [("f", p, t, x, x + 10.0, 40.0 + dy) for p in (1, 2) for t, x, dy in ((f"AB{p}-", 10.0, 0.0), ("X", 22.0, 1.0), (str(p + 3), 104.0, -1.0), ("thing", 215.0, 0.0), ("a", 195.0, 0.0), ("2", 402.0, 2.0))]
+    rows += [("g", 1, "CD1", 10.0, 20.0, 40.0), (None, 1, "CD1", 10.0, 20.0, 40.0)]
+    words = spark.createDataFrame([(*r, r[5] + 10.0) for r in rows], "file string, page int, text string, x0 double, x1 double, top double, bottom double")
+    found = documents.from_words(words)
+    assert {(r.file, r.sku, r.description, r.requested_qty, r.sent_qty) for r in found.collect()} == {("f", "AB1-X", "a thing", 4, 2), ("f", "AB2-X", "a thing", 5, 2)}
+    assert "Join" not in documents.lines_with_columns(documents.lines_of_words(words))._jdf.queryExecution().executedPlan().toString()
