@@ -30,7 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more of their five-word shingles one stays."""
+    """Of documents linked by a similarity of 0.8 or more of their five-word shingles one stays: SimHash proposes pairs,
+    and min-hash bands those that are beyond its radius."""
     return near_copies.one_of_each(docs)
 
 

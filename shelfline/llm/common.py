@@ -5,8 +5,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
+from typing import ClassVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,16 +73,37 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[range]:
         yield range(begin, len(texts))
 
 
+def text_parts(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    """The texts of a batch's column in order, as lists of up to about `limit` bytes, one text at least; the batch as a
+    whole never becomes Python strings."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + limit, "right")))
+        yield column.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
 class Recent:
     """What was computed for recent distinct words, in two generations so that memory stays bounded: when the new
     one is full it becomes the old one, and what is used again moves on."""
 
+    _every: ClassVar[weakref.WeakSet] = weakref.WeakSet()
+
     def __init__(self, make: Callable[[list[str]], Iterable], words: int = 100_000, chars: int = 2_000_000):
+        Recent._every.add(self)
         self.make, self.words, self.chars = make, words, chars
         self.now: dict = {}
         self.before: dict = {}
         self.held = 0
 
+    def alone(self) -> Recent:
+        """Empties what a worker still has of other operators' words. Spark hands workers on from stage to stage."""
+        for other in list(Recent._every):
+            if other is not self:
+                other.now, other.before, other.held = {}, {}, 0
+        return self
+
     def learn(self, words: set[str]) -> dict:
         """A dict that has at least the given words."""
         if len(self.now) > self.words or self.held > self.chars:

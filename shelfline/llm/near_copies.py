@@ -1,4 +1,10 @@
-"""Near copies by the Jaccard similarity of five-word shingles: bands of min-hashes propose pairs, the real sets decide.
+"""Near copies by the Jaccard similarity of five-word shingles: SimHash proposes pairs, the real sets decide, and bands of
+min-hashes find what SimHash leaves.
+
+Each set of shingles has a SimHash fingerprint. Fingerprints of at most RADIUS differing bits meet in the covering tables
+of shelfline.llm.simhash; what they propose is compared by the real sets. At a similarity of 0.8 fingerprints differ in
+9.7 of 64 bits on average, so most pairs just above it are beyond any radius that has few tables, and no link may be lost:
+the others are found by bands.
 
 With 24 bands of 5 min-hashes a pair at similarity 0.8 shares no band with a chance of (1 - 0.8**5)**24 = 0.00007, and
 less above it; no pair below the threshold is linked. In each bucket the smallest and the largest member are compared
@@ -19,10 +25,13 @@ from pyspark.sql import functions as F
 from .bloom_dedup import filter_bits, flag_possible, member_filter
 from .common import attach, stored, text_of
 from .components import connected_components
-from .simhash import keep_one
+from .simhash import keep_one, majority
+from .simhash import links as fingerprint_links
 
 SHINGLE, ALIKE_PERMILLE = 5, 800
 BANDS, ROWS, SEED = 24, 5, 43
+#: Bits in which fingerprints may differ that SimHash's covering tables bring together.
+RADIUS = 2
 #: Equal min-hashes (their last 8 bits) that a pair needs before its sets are compared.
 LEAST_EQUAL = 67
 #: Shingles hashed, and shingles put through the permutations, at once.
@@ -74,25 +83,26 @@ def _row_key(id_col: str, text_col: str):
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tie (a hash of the text), row (a hash of both), print (a hash of the set of shingles), n (their number),
-    bands (a key for each) and marks (the last 8 bits of each min-hash) of every row."""
+    finger (the SimHash of the set), bands (a key for each) and marks (the last 8 bits of each min-hash) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, counts, bands, marks = [], [], [], []
+            prints, counts, fingers, bands, marks = [], [], [], [], []
             for text in batch.column(3).cast(pa.binary()):
                 shingles = shingle_set(text.as_buffer().to_pybytes())
                 prints.append(set_print(shingles))
                 counts.append(len(shingles))
+                fingers.append(majority(shingles))
                 least = min_hashes(shingles)
                 bands += band_keys(least)
                 marks.append((least & np.uint32(0xFF)).astype(np.uint8).view(np.int8))
             each = np.arange(len(prints) + 1, dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(each * BANDS), pa.array(_signed(bands)))
             marked = pa.ListArray.from_arrays(pa.array(each * BANDS * ROWS), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int8)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_signed(prints)), pa.array(counts, pa.int64()), lists, marked], ["doc_id", "tie", "row", "print", "n", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_signed(prints)), pa.array(counts, pa.int64()), pa.array(_signed(fingers)), lists, marked], ["doc_id", "tie", "row", "print", "n", "finger", "bands", "marks"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"), _row_key(id_col, text_col).alias("row"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, row long, print long, n long, bands array<long>, marks array<tinyint>")
+    return rows.mapInArrow(run, "doc_id long, tie long, row long, print long, n long, finger long, bands array<long>, marks array<tinyint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,9 +149,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame],
     return stored(met.filter(1000 * both >= ALIKE_PERMILLE * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), f"{name}-links")
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the prints of nodes (print, n, finger) that SimHash brings together: those of one fingerprint with
+    the smallest of them, and the smallest ones of two fingerprints that its covering tables link. Pairs that can't be
+    alike by their sizes are left out."""
+    fingers = stored(nodes.groupBy("finger").agg(F.min(F.struct("print", "n")).alias("top"), F.count(F.lit(1)).alias("of")), "fingers")
+    same = attach(nodes.select("print", "n", "finger"), fingers, "finger", "of", nodes.count()).select(F.struct("print", "n").alias("a"), F.col("top").alias("b"))
+    tops = fingers.select("finger", "top")
+    near = fingerprint_links(fingers.select(F.col("finger").alias("print")), RADIUS)
+    near = near.join(tops.toDF("a", "top_a"), "a").join(tops.toDF("b", "top_b"), "b").select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))
+    pairs = same.union(near).filter((F.col("a.print") != F.col("b.print")) & _like_sizes("a.n", "b.n"))
+    return pairs.select(F.least("a.print", "b.print").alias("a"), F.greatest("a.print", "b.print").alias("b"))
+
+
 def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) among the prints of rows, the stored sketches of docs, enough to connect all that are alike."""
-    nodes = stored(rows.groupBy("print").agg(F.first("n").alias("n"), F.min(F.struct("row", "bands", "marks")).alias("top")).select("print", "n", "top.row", "top.bands", "top.marks"), "nodes")
+    """Links (a, b) among the prints of rows, the stored sketches of docs, enough to connect all that are alike. What SimHash
+    and the ends of buckets connect needs no more comparisons."""
+    nodes = stored(rows.groupBy("print").agg(F.first("n").alias("n"), F.first("finger").alias("finger"), F.min(F.struct("row", "bands", "marks")).alias("top")).select("print", "n", "finger", "top.row", "top.bands", "top.marks"), "nodes")
     keyed = nodes.select("print", "n", F.explode("bands").alias("bucket"))
     met = stored(
         keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("print", "n")).alias("low"), F.max(F.struct("print", "n")).alias("high")).filter("size > 1"), "buckets"
@@ -152,7 +176,7 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataF
     def led(end: str) -> DataFrame:
         return members.filter((F.col("print") != F.col(f"{end}.print")) & _like_sizes("n", f"{end}.n")).select(F.least("print", f"{end}.print").alias("a"), F.greatest("print", f"{end}.print").alias("b"))
 
-    first = _verified(led("low").union(led("high")), nodes, sets_of, "led")
+    first = _verified(proposed(nodes).union(led("low")).union(led("high")), nodes, sets_of, "led")
     roots = connected_components(first)
     rooted = members.select("bucket", "print", "n").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     rooted = stored(rooted.select("bucket", "print", "n", "root"), "members")

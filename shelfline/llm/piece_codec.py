@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, chunks, text_of
+from .common import Recent, chunks, text_of, text_parts
 from .piece_bpe import marked, pre_tokens, vocabulary
 
 _recent: dict[str, Recent] = {}
@@ -69,11 +69,11 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     are merged through a heap, with the same result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _words(model)
+        cache = _words(model).alone()
         for batch in batches:
-            texts, sizes, ids, back = batch.column(1).to_pylist(), [], [], []
-            for rows in chunks(texts):
-                words = [pre_tokens(texts[i]) for i in rows]
+            sizes, ids, back = [], [], []
+            for texts in text_parts(batch.column(1)):
+                words = [pre_tokens(text) for text in texts]
                 known = cache.learn(set().union(*words))
                 for doc in words:
                     parts = list(map(known.__getitem__, doc))

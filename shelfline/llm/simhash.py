@@ -32,6 +32,15 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (code[i] & v).bit_count() % 2) for v in range(1, 1 << width)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the given 64-bit hashes."""
+    totals = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        octets = hashes[at : at + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8)
+        totals += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * totals > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """A-Z lower-cased, words between ASCII white space, shingles of words with repeats (fewer words: all of them; none:
     0); a bit is set if it is in over half of the shingles' XXH64."""

@@ -84,6 +84,18 @@ def test_awkward_rows(spark, awkward, nameless, empty):
     assert [d for d, _ in pairs_of(corpus_pipeline.near_dedup(spark, nameless, ""))].count(None) == 4
 
 
+def test_simhash_proposes_what_its_radius_reaches(spark):
+    made = copies(groups=20)
+    rows = near_copies.sketches(spark.createDataFrame(rows_of(made), SCHEMA))
+    sets = {r.print: (r.finger, r.n) for r in rows.select("print", "finger", "n").collect()}
+    want = {near_copies.set_print(s): near_copies.majority(s) for s in (near_copies.shingle_set(t.encode()) for _, t in made)}
+    assert {p: f % (1 << 64) for p, (f, _) in sets.items()} == {p - (p >> 63 << 64): f for p, f in want.items()}
+    got = {(r.a, r.b) for r in near_copies.proposed(rows).collect()}
+    prints = sorted(sets)
+    near = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (sets[a][0] ^ sets[b][0]).bit_count() <= near_copies.RADIUS or (sets[a][0] - sets[b][0]) % (1 << 64) == 0}
+    assert got == {(a, b) for a, b in near if 1000 * min(sets[a][1], sets[b][1]) >= 800 * max(sets[a][1], sets[b][1])} and got
+
+
 def test_sets_are_as_stated():
     assert len(near_copies.shingle_set(b"a b c d e f")) == 2 and len(near_copies.shingle_set(b"a b")) == 1
     assert (near_copies.shingle_set(b"A b\n C") == near_copies.shingle_set(b"a b c")).all()

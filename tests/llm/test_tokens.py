@@ -200,3 +200,19 @@ def test_marks_after_letters_whose_lower_case_is_longer(spark):
     for i, x in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         ids = np.array([*x.ids, 2], "<u4")
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), texts[i]
+
+
+def test_texts_of_a_batch_come_in_parts_and_caches_don_t_pile_up():
+    import pyarrow as pa
+
+    from shelfline.llm.common import Recent, text_parts
+
+    texts = ["", "abc" * 10, "", "é" * 40, "x", "y" * 500, "z", ""]
+    parts = list(text_parts(pa.array(["left out", *texts]).slice(1), 50))
+    assert [t for p in parts for t in p] == texts and len(parts) > 3 and all(len(p) == 1 or sum(len(t.encode()) for t in p) <= 50 for p in parts)
+    assert list(text_parts(pa.array([], pa.string()))) == []
+    one, other = Recent(lambda words: map(len, words)), Recent(lambda words: map(len, words))
+    one.learn({"a"})
+    other.learn({"b"})
+    other.alone()
+    assert not one.now and other.now == {"b": 1} and one.learn({"cc"}) == {"cc": 2}
