@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming import jobs
 from .running import average_rank
 
 LOW_COVER_WEEKS, EXCESS_COVER_WEEKS, SAFETY_WEEKS, LEAD_WEEKS = 1.5, 12, 1.2, 2
@@ -93,7 +94,9 @@ def worst_of_network(rates: DataFrame, stock: DataFrame, weeks: int = 26, limit:
         rates, stock = (df.filter(F.col("branch_id").isin(branch_ids)) for df in (rates, stock))
     held = stock.groupBy("branch_id", "product_id").agg(F.sum("on_hand").alias("on_hand"))
     known = held.join(rates.select("branch_id", "product_id", "units", "revenue_cents"), ["branch_id", "product_id"], "full").na.fill(0, ["on_hand", "units", "revenue_cents"])
+    known = jobs.kept(known, "known")  # each list reads it several times
     products = known.groupBy("product_id").agg(*(F.sum(c).alias(c) for c in ("on_hand", "units", "revenue_cents")))
+    products = jobs.kept(products, "products")
     totals = products.agg(F.sum("units").alias("__u"), F.sum(F.greatest("revenue_cents", F.lit(0))).alias("__r"))
 
     def listed(rows: DataFrame, scope: str) -> DataFrame:

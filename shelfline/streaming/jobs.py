@@ -23,6 +23,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{(shared or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder and read back, for what several plans read."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def events(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
     """The stage log as a stream of the folder's files of that name."""
     schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfline.functions import scalar
-from shelfline.operators import forecast, panel, planning, reports, sales
+from shelfline.operators import forecast, panel, planning, reports, running, sales
 
 
 def day(m, d=1):
@@ -123,3 +123,22 @@ def test_last_months_are_told_without_a_row_for_each_month(spark):
     only = forecast.union_backtest(history.filter(F.col("period") == day(12))).filter("scope = 'all'").first()
     assert only.wape_pct == 100.0 and only.skill_vs_last_pct == 0.0
     assert forecast.union_backtest(history.limit(0)).count() == 0
+
+
+def test_rows_of_a_frequent_value_get_their_rank_where_they_are(spark):
+    values = [0] * 3000 + [None] * 2500 + list(range(1, 400)) + [7, 7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long").repartition(8)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(old, ("false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        got = running.average_rank(df, "v", "twice").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    order = sorted(values, key=lambda v: (v is not None, v or 0))
+    first = {v: order.index(v) for v in set(values)}
+    assert {r.id: r.twice for r in got} == {i: 2 * first[v] + values.count(v) + 1 for i, v in enumerate(values)}
+    for v in (0, None):
+        tasks = [r.task for r in got if r.v == v]
+        assert max(map(tasks.count, set(tasks))) < len(tasks)
