@@ -7,6 +7,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import dealt
+
+#: Places in a branch's order of arrival whose closes are counted in one window.
+SEQ_BLOCK = 65_536
+
 
 def checked_lines(lines: DataFrame, known_notes: DataFrame) -> DataFrame:
     """lines: dn_no, line_no, branch_id, product_id, doc_date, requested_qty, sent_qty. Adds reason, null for a line that
@@ -35,20 +40,23 @@ def back_orders_of(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("reason").isNull() & (short > 0)).groupBy("dn_no", "branch_id", "product_id").agg(F.sum(short).alias("qty_ordered"))
 
 
-def movements(receipts: DataFrame, known: DataFrame) -> DataFrame:
+def movements(receipts: DataFrame, known: DataFrame, tasks: int | None = None) -> DataFrame:
     """receipts: ro_no, line_no, branch_id, product_id, received_qty. The stock that accepted receipts add; a receipt with
-    a line that isn't positive or with a known number is refused as a whole."""
+    a line that isn't positive or with a known number is refused as a whole. tasks: how many share the receipts, where that
+    is more than a shuffle has."""
     bad = receipts.filter(F.coalesce("received_qty", F.lit(0)) <= 0).select("ro_no").union(known.select("ro_no")).distinct()
-    good = receipts.join(bad, "ro_no", "left_anti")
+    good = dealt(receipts, tasks, "ro_no").join(dealt(bad, tasks, "ro_no"), "ro_no", "left_anti")
     return good.groupBy("branch_id", "product_id", F.col("ro_no").alias("doc_no")).agg(F.sum("received_qty").alias("change"))
 
 
-def capped_dispatch(orders: DataFrame, available: DataFrame) -> DataFrame:
+def capped_dispatch(orders: DataFrame, available: DataFrame, tasks: int | None = None) -> DataFrame:
     """orders: do_no, line_no, product_id, qty; available: product_id, on_hand of the warehouse. What each line sends: its
     quantity at most what the warehouse had when the order came, which other lines don't lessen. Adds status: sent,
-    capped, skipped, or refused where an order sends nothing at all or has a quantity that isn't positive."""
-    met = orders.join(available.select("product_id", F.greatest("on_hand", F.lit(0)).alias("on_hand")), "product_id", "left").withColumn("on_hand", F.coalesce("on_hand", F.lit(0).cast("long")))
-    sent = met.withColumn("sent_qty", F.least("qty", "on_hand"))
+    capped, skipped, or refused where an order sends nothing at all or has a quantity that isn't positive. tasks: how many
+    share the lines, where that is more than a shuffle has."""
+    held = available.select("product_id", F.greatest("on_hand", F.lit(0)).alias("on_hand"))
+    met = dealt(orders, tasks, "product_id").join(dealt(held, tasks, "product_id"), "product_id", "left").withColumn("on_hand", F.coalesce("on_hand", F.lit(0).cast("long")))
+    sent = dealt(met.withColumn("sent_qty", F.least("qty", "on_hand")), tasks, "do_no")
     order = Window.partitionBy("do_no")
     refused = (F.min("qty").over(order) <= 0) | (F.max("sent_qty").over(order) <= 0)
     status = F.when(refused, "refused").when(F.col("sent_qty") <= 0, "skipped").when(F.col("sent_qty") < F.col("qty"), "capped").otherwise("sent")
@@ -58,8 +66,9 @@ def capped_dispatch(orders: DataFrame, available: DataFrame) -> DataFrame:
 def transfers(dispatched: DataFrame, warehouse: int) -> DataFrame:
     """Both sides of what was sent: out of the warehouse and into the branch. dispatched: capped_dispatch() with branch_id."""
     sums = dispatched.filter("sent_qty > 0").groupBy("do_no", "branch_id", "product_id").agg(F.sum("sent_qty").alias("change"))
-    out = sums.select("do_no", F.lit(warehouse).cast("long").alias("branch_id"), "product_id", (-F.col("change")).alias("change"))
-    return out.unionByName(sums.select("do_no", F.col("branch_id").cast("long").alias("branch_id"), "product_id", "change"))
+    side = lambda branch, change: F.struct(branch.cast("long").alias("branch_id"), change.alias("change"))
+    sides = F.array(side(F.lit(warehouse), -F.col("change")), side(F.col("branch_id"), F.col("change")))
+    return sums.select("do_no", "product_id", F.explode(sides).alias("side")).select("do_no", "side.branch_id", "product_id", "side.change")
 
 
 def reversals(moves: DataFrame, asked: DataFrame, closed: DataFrame, doc: str) -> DataFrame:
@@ -108,8 +117,13 @@ def accumulated(notes: DataFrame) -> DataFrame:
     product, with the order's notes and whether it is still open."""
 
     branch, close = Window.partitionBy("branch_id"), (F.col("kind") == "CLOSE").cast("long")
-    before = F.coalesce(F.sum(close).over(branch.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = notes.withColumns({"__order": before, "__closes": F.sum(close).over(branch)}).filter("kind <> 'CLOSE'")
+    # closes are counted inside blocks of a branch, and the blocks before, a row each, are carried in front
+    ahead = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    cut = notes.withColumn("__block", F.coalesce(F.floor(F.col("seq") / SEQ_BLOCK), F.lit(-(1 << 62))))
+    blocks = cut.groupBy("branch_id", "__block").agg(F.sum(close).alias("__n"))
+    blocks = blocks.select("branch_id", "__block", F.coalesce(F.sum("__n").over(ahead(branch.orderBy("__block"))), F.lit(0)).alias("__ahead"), F.sum("__n").over(branch).alias("__closes"))
+    inside = F.coalesce(F.sum(close).over(ahead(Window.partitionBy("branch_id", "__block").orderBy("seq"))), F.lit(0))
+    placed = cut.withColumn("__inside", inside).filter("kind <> 'CLOSE'").join(blocks, ["branch_id", "__block"]).withColumn("__order", F.col("__ahead") + F.col("__inside"))
     orders = placed.groupBy("branch_id", "__order").agg(
         F.min("seq").alias("__first"), F.min_by(week_number(F.col("branch"), F.col("doc_date")), "seq").alias("__base"), F.count(F.lit(1)).alias("notes"), F.bool_and(F.col("__order") == F.col("__closes")).alias("is_open")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: "Today" of every query over these tables.
 AS_OF = "2001-08-31"
 SLA_DAYS = 14
+ROWS_A_TASK = 200_000
 
 
 def as_of() -> Column:
@@ -25,6 +26,17 @@ def cents(column: str) -> Column:
     return F.round(F.col(column) * 100).cast("long")
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks of up to ROWS_A_TASK rows for a table; its rows are counted in the files' footers."""
+    return -(-df.count() // ROWS_A_TASK)
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """df by its keys in n tasks, where that is more than the session's shuffles have, so that a task's rows don't grow
+    with the table."""
+    return df.repartition(n, *keys) if n and n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branch and region of each nation: 25 rows, whatever the scale."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -43,12 +55,13 @@ def delivery_lines(spark: SparkSession, sf_dir: str, product: bool = True) -> Da
     """Delivery-note lines with what was requested and sent, the shortfall, its value and age. With product=False the
     columns of the product and the values by its price are left out, and lines are shuffled once, by their note."""
     line = table(spark, sf_dir, "lineitem")
+    n = tasks(line)
     requested = F.col("l_quantity").cast("long")
     sent = F.when(F.col("l_returnflag") == "N", requested).when(F.col("l_returnflag") == "A", F.floor(F.col("l_quantity") / 2)).otherwise(F.lit(0).cast("long"))
-    lines = line.select(
+    lines = dealt(line.select(
         F.col("l_orderkey").alias("dn_no"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("product_id"), requested.alias("requested_qty"), sent.alias("sent_qty"),
         F.col("l_linestatus").alias("line_status"), cents("l_extendedprice").alias("revenue_cents"),
-    ).join(notes(spark, sf_dir), "dn_no")
+    ), n, "dn_no").join(dealt(notes(spark, sf_dir), n, "dn_no"), "dn_no")
     short = F.greatest(F.col("requested_qty") - F.col("sent_qty"), F.lit(0).cast("long"))
     status = F.when(short == 0, "FULL").when(F.col("sent_qty") == 0, "NIL").otherwise("PARTIAL")
     lines = lines.withColumns({"backorder_qty": short, "fill_status": status, "age_days": F.datediff(as_of(), F.col("doc_date"))})
