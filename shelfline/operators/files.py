@@ -58,8 +58,9 @@ def sales_file(file: Column, branches: list[tuple[str, str]], default_year: int)
     no month or no branch."""
     words = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.upper(file), r"[\s_.\-]+"), lambda w: w != ""), " "), F.lit(" "))
     tokens = F.split(F.trim(words), " ")
-    known = F.array(*(F.struct(F.instr(words, F.lit(f" {name.upper()} ")).alias("at"), F.lit(-len(name)).alias("shorter"), F.lit(code).alias("code")) for name, code in branches))
-    code = F.array_min(F.filter(known, lambda b: b["at"] > 0))["code"]
+    known = lambda w: F.array(*(F.struct(F.instr(w, F.lit(f" {name.upper()} ")).alias("at"), F.lit(-len(name)).alias("shorter"), F.lit(code).alias("code")) for name, code in branches))
+    # an array of one, so that the words are made once and not for each branch
+    code = F.get(F.transform(F.array(words), lambda w: F.array_min(F.filter(known(w), lambda b: b["at"] > 0))["code"]), F.lit(0))
     month = F.element_at(F.filter(F.transform(tokens, lambda t: F.array_position(F.array(*map(F.lit, MONTHS)), t)), lambda m: m > 0), 1)
     year = F.coalesce(F.get(F.filter(tokens, lambda t: t.rlike(r"^(19|20)\d{2}$")), F.lit(0)).cast("int"), F.lit(default_year))
     period = F.when(code.isNotNull(), F.last_day(F.make_date(year, month.cast("int"), F.lit(1))))
@@ -105,12 +106,17 @@ def monthly_panel(cells: DataFrame, branches: list[tuple[str, str]], default_yea
     rows = cells.filter("row > 0").join(F.broadcast(found.filter("period is not null")), "file")  # a row for each file
     value = lambda at: F.when(F.col(at) > 0, _number(F.get("cells", (F.col(at) - 1).cast("int"))))
     typed = rows.select(
-        "branch_code", "period", "day_from", "day_to", F.struct("file", "row").alias("__at"), F.trim(F.get("cells", F.lit(0))).alias("sku"), F.get("cells", F.lit(1)).alias("item"),
+        "branch_code", "period", "day_from", "day_to", "file", "row", F.trim(F.get("cells", F.lit(0))).alias("sku"), F.get("cells", F.lit(1)).alias("item"),
         F.coalesce(_number(F.get("cells", F.lit(2))), F.lit(0.0)).alias("qty"), value("__t").alias("turnover"), value("__g").alias("gp_pct"), value("__p").alias("profit"),
     ).filter("sku <> ''")
-    sums = typed.groupBy("branch_code", "sku", "period").agg(
-        F.min_by("item", F.struct("__at", "item")).alias("item"), F.sum("qty").alias("qty"), F.coalesce(F.sum("turnover"), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum("profit"), F.lit(0.0)).alias("profit"),
-        F.avg("gp_pct").alias("gp_pct"), F.min_by("day_from", "__at").alias("day_from"), F.min_by("day_to", "__at").alias("day_to"),
+    # rows of an item are added first, by numbers alone, which needs no sort; where it stands first is looked for after that
+    items = typed.groupBy("branch_code", "sku", "period", "file", "day_from", "day_to", "item").agg(
+        F.min("row").alias("row"), *(F.sum(c).alias(c) for c in ("qty", "turnover", "profit", "gp_pct")), F.count("gp_pct").alias("__n")
+    )
+    at = F.struct("file", "row")
+    sums = items.groupBy("branch_code", "sku", "period").agg(
+        F.min_by("item", F.struct(at, "item")).alias("item"), F.sum("qty").alias("qty"), F.coalesce(F.sum("turnover"), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum("profit"), F.lit(0.0)).alias("profit"),
+        F.try_divide(F.sum("gp_pct"), F.sum("__n")).alias("gp_pct"), F.min_by("day_from", at).alias("day_from"), F.min_by("day_to", at).alias("day_to"),
     )
     return sums.withColumn("category", category(F.col("item")))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import parsed_date, parsed_int
 from ..operators import files
 from ..sources import tables
+from ..streaming import jobs
 from .registry import register
 from .views import using
 
@@ -53,12 +54,14 @@ _UPLOADED = f"""SELECT branch_code, sku, period, item, qty, turnover, profit, gp
 
 
 def _uploaded(spark, sf_dir):
-    """Each nation's lines of a month as a file with a header, a row a line and a totals row without a sku."""
+    """Each nation's lines of a month as a file with a header, a row a line and a totals row without a sku. The files are
+    named after the notes, so that lines are read once; one without lines gives nothing."""
     lines = tables.delivery_lines(spark, sf_dir).withColumn("m", F.trunc("doc_date", "month"))
     named = _names(lines)
     text = lambda *cs: F.array(*(F.col(c).cast("string") for c in cs))
     rows = named.select("file", (F.col("dn_no") * 10 + F.col("line_no")).alias("row"), text("brand", "description", "requested_qty", "line_no", "sent_qty", "backorder_qty").alias("cells"))
-    each = named.select("file").distinct()
+    months = tables.notes(spark, sf_dir).select("branch_id", "branch", F.trunc("doc_date", "month").alias("m")).distinct()
+    each = jobs.kept(_names(months).select("file").distinct(), "files")  # stored, or what is asked of names would be asked of each note
     header = each.select("file", F.lit(0).cast("long").alias("row"), F.array(*map(F.lit, ("Item No", "Name", "Qty", "GP %", "Turnover (USD)", " Profit "))).alias("cells"))
     totals = each.select("file", F.lit(1 << 40).alias("row"), F.array(F.lit(None).cast("string"), *map(F.lit, ("Total", "1", "2", "3", "4"))).alias("cells"))
     found = files.monthly_panel(rows.unionByName(header).unionByName(totals), _branches(spark, sf_dir), 2003)
@@ -75,7 +78,8 @@ def uploaded_month_panel(spark, sf_dir):
 def files_over_stored(spark, sf_dir):
     """Months that have a file come from it, all others from the stored table."""
     stored = tables.delivery_lines(spark, sf_dir).groupBy(F.concat(F.lit("B"), F.col("branch_id").cast("string")).alias("branch_code"), F.col("brand").alias("sku"), F.last_day("doc_date").alias("period")).agg(F.sum("sent_qty").cast("double").alias("qty"))
-    return files.files_first(_uploaded(spark, sf_dir).select("branch_code", "sku", "period", "qty"), stored, ["branch_code", "period"])
+    uploaded = jobs.kept(_uploaded(spark, sf_dir).select("branch_code", "sku", "period", "qty"), "uploaded")
+    return files.files_first(uploaded, stored, ["branch_code", "period"])
 
 
 @register(using("dn", """SELECT file, CASE WHEN k = 4 THEN NULL WHEN k = 2 AND year(w) < 2000 THEN CAST(w + INTERVAL 100 YEAR AS DATE) ELSE w END AS week_start, CASE WHEN k = 4 THEN NULL WHEN branch_id % 8 = 3 THEN CASE WHEN k = 2 THEN 'B0' ELSE 'OTHER' || chr(65 + branch_id % 10) END ELSE 'B' || branch_id END AS branch_code FROM (
