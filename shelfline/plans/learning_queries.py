@@ -15,7 +15,10 @@ HORIZON, ORIGINS = 3, 4
 
 
 def _series(spark, sf_dir):
-    return panel.as_arrays(dense(spark, sf_dir)).join(tables.brands(spark, sf_dir).select("sku", "category"), "sku")
+    """Series of the regions' brands. Months and series are stored, so that fits, which read them many times, don't read the
+    lines again."""
+    months = jobs.kept(tables.monthly_panel(spark, sf_dir), "months")
+    return jobs.kept(panel.as_arrays(panel.densify(months)).join(tables.brands(spark, sf_dir).select("sku", "category"), "sku"), "series")
 
 
 def _first_month(spark, sf_dir) -> int:

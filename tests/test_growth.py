@@ -23,3 +23,10 @@ def test_file_names_are_split_once(spark):
 
 def test_files_over_stored_reads_lines_once(spark, sf_dir, capsys):
     assert scans(file_queries.files_over_stored(spark, sf_dir), "lineitem", capsys) == 1
+
+
+def test_series_of_forecasts_are_stored(spark, sf_dir):
+    """Each fit and each step of a forecast read the lines again."""
+    from shelfline.plans import learning_queries
+
+    assert not any("lineitem" in f for f in learning_queries._series(spark, sf_dir).inputFiles())
