@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
@@ -9,6 +11,9 @@ from . import entry_queries
 from .registry import register
 from .views import using
 
+#: Places in a branch's order of arrival, two for each note, that one load brings at most.
+LOAD_PLACES = 200_000
+
 
 @register("""SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, COUNT(*) AS events, MIN(event_id) AS first_event, MAX(event_id) AS last_event
     FROM events GROUP BY 1, 2""")
@@ -25,13 +30,16 @@ def stream_stage_stays(spark, sf_dir):
 
 @register(using("dn", f"SELECT * EXCLUDE (is_open) FROM ({entry_queries._ACCUMULATED}) WHERE NOT is_open", seq=entry_queries._SEQ))
 def stream_closed_back_orders(spark, sf_dir):
-    """The back orders that notes have filled and a close has put out, from notes that come in two loads: the job ends
-    after the first and goes on from its checkpoint, with the open orders of all branches as its state."""
+    """The back orders that notes have filled and a close has put out, from notes that come in two loads or more: the job ends
+    after each and goes on from its checkpoint, with the open orders of all branches as its state. One ends at a
+    quarter of the longest branch, and none has more than LOAD_PLACES, so that what a worker holds of a branch doesn't grow."""
     folder, notes = jobs.work_folder(spark, "closed-back-orders"), entry_queries.noted(spark, sf_dir).persist()
     try:
-        middle = notes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m // 4
-        for i, some in enumerate((F.col("seq") <= middle, F.col("seq") > middle)):
-            notes.filter(some).write.parquet(f"{folder}/in/{i}")
+        last = notes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m
+        ends = [-1, *range(last // 4, 0, -LOAD_PLACES)[::-1], *range(last // 4 + LOAD_PLACES, last, LOAD_PLACES), last]
+        ends = [-1, last // 4, last] if last < 4 else ends
+        for i, (begin, end) in enumerate(pairwise(ends)):
+            notes.filter((F.col("seq") > begin) & (F.col("seq") <= end)).write.parquet(f"{folder}/in/{i}")
             stream = jobs.accumulate(spark.readStream.schema(notes.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in"))
             writer = stream.writeStream.option("checkpointLocation", f"{folder}/c").format("parquet").option("path", f"{folder}/out")
             writer.trigger(availableNow=True).start().awaitTermination()

@@ -7,13 +7,18 @@ import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Rows of one frame that closed back orders are put out in.
+ROWS_AT_ONCE = 50_000
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder in spark.checkpoint.dir; a local one only where that is unset and Spark runs on this machine alone."""
@@ -82,35 +87,69 @@ def ledger(changes: DataFrame) -> DataFrame:
     return changes.groupBy("branch_id", "product_id").applyInPandasWithState(fold, "branch_id long, product_id long, seq long, change long, balance long", "balance long", "append", GroupStateTimeout.NoTimeout)
 
 
+def filled(branch: str, parts: Iterator[pd.DataFrame], held: dict) -> Iterator[pd.DataFrame]:
+    """The rows (bo_no, notes, product_id, qty_ordered) that the closes among a branch's notes put out, at most
+    ROWS_AT_ONCE in a frame; held, the branch's state, is changed to what is open after the last note. parts: seq, close,
+    week (ISO year and week as yyyyww), products and qtys (arrays of what a note is short of). Of the notes flat arrays are
+    held, a few numbers for each, as they come in no order."""
+    columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    for part in parts:
+        flat = [part[c].to_numpy(np.int64) for c in ("seq", "close", "week")] + [part["products"].map(len).to_numpy(np.int64)]
+        flat += [np.concatenate([np.zeros(0, np.int64), *part[c]]).astype(np.int64) for c in ("products", "qtys")]
+        for column, values in zip(columns, flat):
+            column.append(values)
+    seq, close, week, sizes, products, qtys = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
+    del columns
+    order = np.argsort(seq, kind="stable")
+    close, week = close[order] > 0, week[order]
+    group = np.cumsum(close)  # how many closes a note has before it
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    of = group[place[np.repeat(np.arange(len(sizes)), sizes)]]
+    closes, now = int(close.sum()), held["open"]
+    notes = np.bincount(group[~close], minlength=closes + 1)
+    names = np.full(closes + 1, None, object)
+    if now:
+        short = now["short"]
+        of, products, qtys = np.r_[np.zeros(len(short), np.int64), of], np.r_[np.array(list(short), np.int64), products], np.r_[np.array(list(short.values()), np.int64), qtys]
+        names[0], notes[0] = now["bo_no"], notes[0] + now["notes"]
+    begun, first = np.unique(group[~close], return_index=True)
+    for g, at in zip(begun.tolist(), week[~close][first].tolist()):
+        if names[g] is None:
+            year, base = at // 100, f"BO-{branch}-{at // 100}W{at % 100:02d}"
+            if year != held.get("year"):
+                held["used"], held["year"] = {k: v for k, v in held["used"].items() if int(k.rsplit("-", 1)[1][:4]) >= year - 1}, year
+            n = held["used"][base] = held["used"].get(base, 0) + 1
+            names[g] = base if n == 1 else f"{base}-{n}"
+    by = np.lexsort((products, of))
+    of, products, qtys = of[by], products[by], qtys[by]
+    starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (products[1:] != products[:-1])][: len(of)])
+    sums = np.add.reduceat(qtys, starts) if len(starts) else qtys
+    of, products = of[starts], products[starts]
+    out = int(np.searchsorted(of, closes))
+    held["open"] = {"bo_no": names[closes], "notes": int(notes[closes]), "short": {str(p): q for p, q in zip(products[out:].tolist(), sums[out:].tolist())}} if names[closes] is not None else None
+    for at in range(0, out, ROWS_AT_ONCE):
+        some = slice(at, min(out, at + ROWS_AT_ONCE))
+        yield pd.DataFrame({"bo_no": names[of[some]], "notes": notes[of[some]], "product_id": products[some], "qty_ordered": sums[some]})
+
+
 def accumulate(notes: DataFrame) -> DataFrame:
     """entry.accumulated() as a stream: notes (branch_id, branch, seq, kind, dn_no, doc_date, shorts) load the branch's open
     back order, and a CLOSE puts out its rows: branch_id, bo_no, notes, product_id, qty_ordered. State of a branch is its
     open order as JSON and how often each number has been used this year and last."""
+    names = ["branch_id", "bo_no", "notes", "product_id", "qty_ordered"]
 
     def load(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"open": None, "used": {}}
-        out = []
-        for note in pd.concat(list(parts)).sort_values("seq").itertuples():
-            now = held["open"]
-            if note.kind == "CLOSE":
-                if now:
-                    out += [(key[0], now["bo_no"], now["notes"], int(p), q) for p, q in now["short"].items()]
-                held["open"] = None
-                continue
-            if now is None:
-                year, week, _ = note.doc_date.isocalendar()
-                base = f"BO-{note.branch}-{year}W{week:02d}"
-                held["used"] = {k: v for k, v in held["used"].items() if int(k.rsplit("-", 1)[1][:4]) >= year - 1}
-                held["used"][base] = held["used"].get(base, 0) + 1
-                n = held["used"][base]
-                now = held["open"] = {"bo_no": base if n == 1 else f"{base}-{n}", "notes": 0, "short": {}}
-            now["notes"] += 1
-            for s in note.shorts:
-                now["short"][str(s["product_id"])] = now["short"].get(str(s["product_id"]), 0) + int(s["qty"])
+        head = next(parts)
+        for frame in filled(head["branch"].iloc[0], chain([head], parts), held):
+            yield frame.assign(branch_id=key[0])[names]
         state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=["branch_id", "bo_no", "notes", "product_id", "qty_ordered"])
 
-    return notes.groupBy("branch_id").applyInPandasWithState(load, "branch_id long, bo_no string, notes long, product_id long, qty_ordered long", "held string", "append", GroupStateTimeout.NoTimeout)
+    close = F.col("kind") == "CLOSE"
+    week = F.when(close, 0).otherwise(F.extract(F.lit("YEAROFWEEK"), "doc_date") * 100 + F.weekofyear("doc_date"))
+    flat = notes.select("branch_id", "branch", "seq", close.cast("int").alias("close"), week.alias("week"), F.col("shorts.product_id").alias("products"), F.col("shorts.qty").alias("qtys"))
+    return flat.groupBy("branch_id").applyInPandasWithState(load, "branch_id long, bo_no string, notes long, product_id long, qty_ordered long", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def merge_parts(stream: DataFrame, target: str, checkpoint: str) -> None:

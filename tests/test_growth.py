@@ -1,9 +1,12 @@
 """What keeps queries in proportion to their tables: lines read once, expressions made once, flat and bounded frames."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfline.operators import files
-from shelfline.plans import file_queries
+from shelfline.plans import entry_queries, file_queries, stream_queries
+from shelfline.streaming import jobs
 
 
 def scans(frame, name, capsys):
@@ -30,3 +33,25 @@ def test_series_of_forecasts_are_stored(spark, sf_dir):
     from shelfline.plans import learning_queries
 
     assert not any("lineitem" in f for f in learning_queries._series(spark, sf_dir).inputFiles())
+
+
+def test_closed_back_orders_come_in_bounded_frames(monkeypatch):
+    """All notes of a branch and all rows that they put out were held as objects at once."""
+    monkeypatch.setattr(jobs, "ROWS_AT_ONCE", 2)
+    notes = pd.DataFrame({"seq": [5, 1, 3, 2, 4], "close": [0, 0, 0, 0, 1], "week": [200102, 200101, 200101, 200101, 0], "products": [[9], [5, 6], [8, 5], [7], []], "qtys": [[1], [1, 1], [4, 2], [3], []]})
+    for column in ("products", "qtys"):
+        notes[column] = notes[column].map(lambda v: np.array(v, np.int64))
+    held = {"open": {"bo_no": "BO-N-2000W52", "notes": 2, "short": {"5": 10}}, "used": {"BO-N-2000W52": 1}}
+    frames = list(jobs.filled("N", iter([notes[:3], notes[3:]]), held))
+    assert [len(f) for f in frames] == [2, 2]
+    rows = pd.concat(frames)
+    assert set(rows["bo_no"]) == {"BO-N-2000W52"} and set(rows["notes"]) == {5} and dict(zip(rows["product_id"], rows["qty_ordered"])) == {5: 13, 6: 1, 7: 3, 8: 4}
+    assert held["open"] == {"bo_no": "BO-N-2001W02", "notes": 1, "short": {"9": 1}} and held["used"] == {"BO-N-2000W52": 1, "BO-N-2001W02": 1}
+    assert list(jobs.filled("N", iter([notes[:0]]), held)) == [] and held["open"]["short"] == {"9": 1}
+
+
+def test_stream_goes_on_over_many_loads(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(stream_queries, "LOAD_PLACES", 50)
+    columns = ["branch_id", "bo_no", "notes", "product_id", "qty_ordered"]
+    got = stream_queries.stream_closed_back_orders(spark, sf_dir).select(columns).collect()
+    assert sorted(got) == sorted(entry_queries.accumulated_back_orders(spark, sf_dir).filter("not is_open").select(columns).collect()) and got
