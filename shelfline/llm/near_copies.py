@@ -7,10 +7,11 @@ of shelfline.llm.simhash; what they propose is compared by the real sets. At a s
 the others are found by bands.
 
 With 24 bands of 5 min-hashes a pair at similarity 0.8 shares no band with a chance of (1 - 0.8**5)**24 = 0.00007, and
-less above it; no pair below the threshold is linked. In each bucket the smallest and the largest member are compared
-with all others first. What that connects needs no more comparisons, so a crowd of copies costs two a member; all other
-pairs of a bucket are compared one by one, whatever its size. The sets of a pair only move if so many of its min-hashes
-are equal that it can be alike: of 120, a pair at similarity 0.8 has 66 or fewer equal with a chance below 10**-8."""
+less above it; no pair below the threshold is linked. In each bucket a hub, the member that meets most others, is compared
+with all others first. What that connects needs no more comparisons. The other pairs of a bucket of up to SMALL_BUCKET are
+compared one by one; those of a larger one only if they share one of the first shingles that tell them from their hub,
+which all that are alike do, see sharing(). The sets of a pair only move if so many of its min-hashes are equal that it can
+be alike: of 120, a pair at similarity 0.8 has 66 or fewer equal with a chance below 10**-8."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .bloom_dedup import filter_bits, flag_possible, member_filter
 from .common import attach, stored, text_of
 from .components import connected_components
-from .simhash import keep_one, majority
+from .simhash import SMALL_BUCKET, keep_one, majority
 from .simhash import links as fingerprint_links
 
 SHINGLE, ALIKE_PERMILLE = 5, 800
@@ -34,6 +35,9 @@ BANDS, ROWS, SEED = 24, 5, 43
 RADIUS = 2
 #: Equal min-hashes (their last 8 bits) that a pair needs before its sets are compared.
 LEAST_EQUAL = 67
+#: Sets are alike if they differ in at most this part of their sizes' sum: one in APART. A member of more than one in
+#: MOST_HOT pairs is broadcast.
+APART, MOST_HOT = (1000 + ALIKE_PERMILLE) // (1000 - ALIKE_PERMILLE), 2000
 #: Shingles hashed, and shingles put through the permutations, at once.
 AT_ONCE, MIXED_AT_ONCE = 100_000, 2048
 
@@ -128,27 +132,39 @@ def _like_sizes(a: str, b: str):
 
 
 def _beside(pairs: DataFrame, values: DataFrame, value: str, name: str) -> DataFrame:
-    """Stored pairs (a, b) with the value of each of both prints, as value_a and value_b. The value of a member of very
-    many pairs is broadcast."""
-    total, met = pairs.count(), pairs
+    """Stored pairs (a, b) with the value of each of both prints, as value_a and value_b; what else pairs have stays. The
+    value of a member of very many pairs is broadcast."""
+    least, met = max(1, pairs.count() // MOST_HOT), pairs
     for side in ("a", "b"):
-        counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias(f"of_{side}"))
-        table = stored(values.select(F.col("print").alias(side), F.col(value).alias(f"{value}_{side}")).join(counted, side), f"{name}-{value}")
-        met = attach(met, table, side, f"of_{side}", total)
+        hot = F.broadcast(stored(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("of")).filter(F.col("of") > least).select(side), f"{name}-hot"))
+        table = values.select(F.col("print").alias(side), F.col(value).alias(f"{value}_{side}"))
+        at_once = met.join(F.broadcast(table.join(hot, side, "left_semi")), side)
+        met = at_once.unionByName(met.join(hot, side, "left_anti").join(table, side))
     return met
 
 
+def _sets_of_pairs(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Stored pairs with set_a and set_b; sets_of gives print and shingles for stored row hashes."""
+    asked = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
+    sets = stored(sets_of(stored(nodes.join(asked, "print", "left_semi").select("row"), f"{name}-rows")), f"{name}-sets").withColumnRenamed("shingles", "set")
+    return _beside(pairs, sets, "set", name)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """The pairs (a, b) whose sets are alike; sets_of gives print and shingles for stored row hashes."""
+    """The stored pairs (a, b) whose sets are alike."""
     equal = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    close = stored(_beside(stored(pairs.distinct(), f"{name}-pairs"), nodes, "marks", name).filter(equal >= LEAST_EQUAL).select("a", "b"), f"{name}-close")
-    asked = close.select(F.col("a").alias("print")).union(close.select("b")).distinct()
-    sets = stored(sets_of(stored(nodes.join(asked, "print", "left_semi").select("row"), f"{name}-rows")), f"{name}-sets").withColumnRenamed("shingles", "set")
-    met = _beside(close, sets, "set", name)
+    close = stored(_beside(pairs, nodes, "marks", name).filter(equal >= LEAST_EQUAL).select("a", "b"), f"{name}-close")
     both = F.size(F.array_intersect("set_a", "set_b"))
+    met = _sets_of_pairs(close, nodes, sets_of, name)
     return stored(met.filter(1000 * both >= ALIKE_PERMILLE * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), f"{name}-links")
 
 
+def _possible(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """rows without most of those whose key is not among that of the stored frame wanted; rows don't move."""
+    bits = filter_bits(wanted.count())
+    return flag_possible(rows, key, stored(member_filter(wanted, key, bits), name), bits, "possible").filter("possible").drop("possible")
+
+
 def proposed(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of the prints of nodes (print, n, finger) that SimHash brings together: those of one fingerprint with
     the smallest of them, and the smallest ones of two fingerprints that its covering tables link. Pairs that can't be
@@ -162,29 +178,72 @@ def proposed(nodes: DataFrame) -> DataFrame:
     return pairs.select(F.least("a.print", "b.print").alias("a"), F.greatest("a.print", "b.print").alias("b"))
 
 
+def sharing(crowds: DataFrame, differing: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each crowd (hub, print, n, root, of one row each) that may be alike and have other
+    roots. differing: a stored row for each hub and print with both sets, set_b the hub's.
+
+    What tells sets X and Y from their hub H differs in as much as they do, so X and Y, of d(X) and d(Y) such shingles,
+    share at least (d(X) + d(Y) - (|X| + |Y|) / APART) / 2 of these if they are alike. Two that are both alike to the hub
+    have one root, so one, X, is not: d(X) > (|X| + |H|) / APART, and more than (d(Y) + (|H| - |Y|) / APART) / 2 are
+    shared, and at least (d(X) - (|X| + |H|) / APART) / 2. In one order of shingles the first that they share is among
+    all but that many, less one, of either side. What the hub lacks comes first, since copies of a text have little of
+    that in common. Exact."""
+    own = F.concat(F.sort_array(F.array_except("set_a", "set_b")), F.sort_array(F.array_except("set_b", "set_a")))
+    told = differing.select(F.col("b").alias("hub"), F.col("a").alias("print"), own.alias("own"), F.size("set_a").alias("of_set"), F.size("set_b").alias("of_hub"))
+    d = F.size("own")
+    far = APART * d - F.col("of_set") - F.col("of_hub")
+    told = told.withColumn("as_x", F.when(far > 0, d - F.floor((far - 1) / (2 * APART))).otherwise(0)).withColumn("as_y", d - F.floor((APART * d + F.col("of_hub") - F.col("of_set")) / (2 * APART)))
+    first = F.slice("own", F.lit(1), F.greatest("as_x", "as_y").cast("int"))
+    told = stored(told.select("hub", "print", "as_x", "as_y", F.posexplode(first).alias("at", "own")), "told")
+    met = told.groupBy("hub", "own").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("hub", "own")
+    named = stored(told.join(met, ["hub", "own"]).join(crowds, ["hub", "print"]), "shared")
+    x, y = (named.filter(F.col("at") < F.col(f"as_{s}")).select("hub", "own", *(F.col(c).alias(f"{c}_{s}") for c in ("print", "n", "root"))) for s in "xy")
+    pairs = x.join(y, ["hub", "own"]).filter((F.col("root_x") != F.col("root_y")) & _like_sizes("n_x", "n_y"))
+    return pairs.select(F.least("print_x", "print_y").alias("a"), F.greatest("print_x", "print_y").alias("b"))
+
+
 def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) among the prints of rows, the stored sketches of docs, enough to connect all that are alike. What SimHash
-    and the ends of buckets connect needs no more comparisons."""
+    and the hubs of buckets connect needs no more comparisons."""
     nodes = stored(rows.groupBy("print").agg(F.first("n").alias("n"), F.first("finger").alias("finger"), F.min(F.struct("row", "bands", "marks")).alias("top")).select("print", "n", "finger", "top.row", "top.bands", "top.marks"), "nodes")
     keyed = nodes.select("print", "n", F.explode("bands").alias("bucket"))
-    met = stored(
-        keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("print", "n")).alias("low"), F.max(F.struct("print", "n")).alias("high")).filter("size > 1"), "buckets"
-    )
-    members = stored(attach(keyed, met, "bucket", "size", nodes.count() * BANDS).filter("size is not null"), "members")
+    met = stored(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
+    places = stored(_possible(keyed, "bucket", met, "met"), "places")
+    members = stored(attach(places, met, "bucket", "size", places.count()).filter("size is not null"), "members")
+    # the hub is the member that meets most others: of copies of a text that is the text, if it is there; hubs of large
+    # buckets give way to the strongest that they meet, so that a crowd has few
+    weights = members.groupBy("print").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weights, "print").groupBy("bucket", "size").agg(F.max(F.struct("weight", "print", "n")).alias("top"))
+    hubs = stored(hubs, "hubs")
+    large = hubs.filter(F.col("size") > SMALL_BUCKET)
+    met_by = members.join(large.select(F.col("top.print").alias("print")).distinct(), "print", "left_semi").drop("size").join(hubs, "bucket")
+    tops = met_by.groupBy(F.col("print").alias("was")).agg(F.max("top").alias("leader"))
+    led_by = large.join(tops, F.col("top.print") == F.col("was")).select("bucket", "size", F.col("leader").alias("top")).union(hubs.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "size", "top"))
+    hubs = stored(led_by.select("bucket", "size", F.col("top.print").alias("hub"), F.col("top.n").alias("hub_n")), "hubs")
+    led = stored(attach(members.drop("size"), hubs, "bucket", "size", members.count()).filter("print <> hub"), "led")
     sets_of = lambda wanted: _sets(docs, wanted, id_col, text_col)
 
-    def led(end: str) -> DataFrame:
-        return members.filter((F.col("print") != F.col(f"{end}.print")) & _like_sizes("n", f"{end}.n")).select(F.least("print", f"{end}.print").alias("a"), F.greatest("print", f"{end}.print").alias("b"))
-
-    first = _verified(proposed(nodes).union(led("low")).union(led("high")), nodes, sets_of, "led")
+    at_hubs = led.filter(_like_sizes("n", "hub_n")).select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b"))
+    pairs = stored(proposed(nodes).union(at_hubs).distinct(), "pairs")
+    meeting = stored(members.select("print").union(pairs.select("a")).union(pairs.select("b")).distinct(), "meeting")
+    nodes = stored(_possible(nodes.select("print", "row", "marks"), "print", meeting, "met"), "nodes")
+    first = _verified(pairs, nodes, sets_of, "led")
     roots = connected_components(first)
-    rooted = members.select("bucket", "print", "n").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    rooted = stored(rooted.select("bucket", "print", "n", "root"), "members")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("bucket")
-    open_ = stored(rooted.join(mixed, "bucket", "left_semi"), "open")
-    a, b = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("print", "n", "root"))) for s in "ab")
-    rest = a.join(b, "bucket").filter((F.col("print_a") < F.col("print_b")) & (F.col("root_a") != F.col("root_b")) & _like_sizes("n_a", "n_b"))
-    return first.union(_verified(rest.select(F.col("print_a").alias("a"), F.col("print_b").alias("b")), nodes, sets_of, "rest"))
+    rooted = led.select("bucket", "size", "hub", "print", "n").join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = stored(rooted, "rooted_members")
+
+    def mixed(groups: DataFrame, by: str) -> DataFrame:
+        some = groups.groupBy(by).agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select(by)
+        return stored(groups.join(some, by, "left_semi"), "open")
+
+    small = mixed(rooted.filter(F.col("size") <= SMALL_BUCKET), "bucket")
+    a, b = (small.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("print", "n", "root"))) for s in "ab")
+    rest = a.join(b, "bucket").filter((F.col("print_a") < F.col("print_b")) & (F.col("root_a") != F.col("root_b")) & _like_sizes("n_a", "n_b")).select(F.col("print_a").alias("a"), F.col("print_b").alias("b"))
+    crowds = mixed(rooted.filter(F.col("size") > SMALL_BUCKET).select("hub", "print", "n", "root").distinct(), "hub")
+    if crowds.limit(1).count():
+        of_hubs = stored(crowds.select(F.col("print").alias("a"), F.col("hub").alias("b")), "crowds")
+        rest = rest.union(sharing(crowds, _sets_of_pairs(of_hubs, nodes, sets_of, "crowds")))
+    return first.union(_verified(stored(rest.distinct(), "pairs"), nodes, sets_of, "rest"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,6 +76,33 @@ def test_a_crowd_and_a_chain(spark):
     assert Counter(pairs_of(stage(spark, made))) == plain_kept(made)
 
 
+def test_copies_far_from_each_other_make_few_pairs(spark, monkeypatch):
+    """All pairs of a bucket's members with other roots were made: the square of the copies that are near 0.8 but below it."""
+    rng, words = random.Random(4), 300
+    base = [f"w{i}" for i in range(words)]
+
+    def changed(text, n):
+        copy = list(text)
+        for at in rng.sample(range(words), n):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        return copy
+
+    crowd = [base, *(changed(base, rng.choice((2, 5))) for _ in range(60)), *(changed(base, rng.choice((7, 8, 9))) for _ in range(200))]
+    crowd += [changed(text, 2) for text in crowd[61:91]]  # alike to one of those, not to the base
+    made = [(i, " ".join(w)) for i, w in enumerate(crowd)]
+    rng.shuffle(made)
+    compared, verified = {}, near_copies._verified
+
+    def counted(pairs, nodes, sets_of, name):
+        compared[name] = pairs.distinct().count()
+        return verified(pairs, nodes, sets_of, name)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    want = plain_kept(made)
+    assert Counter(pairs_of(stage(spark, made))) == want and 150 < len(want) < 250
+    assert compared["rest"] < 25 * len(made)
+
+
 def test_awkward_rows(spark, awkward, nameless, empty):
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
     rows = {(d, t) for d, t in pairs_of(awkward)}
