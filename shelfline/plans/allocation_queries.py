@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import allocation, planning, recode
 from ..sources import tables
+from ..streaming import jobs
 from .planning_queries import _RATES, _rates
 from .registry import register
 from .views import using
@@ -83,10 +84,16 @@ _FOUND = """SELECT branch, old, new, 'branch' AS basis FROM best WHERE old_n >=
 
 
 def _codes(spark, sf_dir):
-    lines = tables.delivery_lines(spark, sf_dir)
-    month = F.trunc("doc_date", "month").alias("period")
-    sums = lines.groupBy(F.col("region").alias("branch"), F.col("product_id").alias("sku"), F.concat_ws(" ", "brand", "category").alias("item"), month)
-    return sums.agg(F.sum("requested_qty").alias("qty"), F.sum("revenue_cents").alias("turnover_cents")).withColumn("t", F.year("period") * 12 + F.month("period"))
+    """recode.histories() of regions and products, stored: lines move to their product once, for all that is asked of them."""
+    lines = tables.delivery_lines(spark, sf_dir, product=False)
+    sold = lines.select(F.col("region").alias("branch"), F.col("product_id").alias("sku"), (F.year("doc_date") * 12 + F.month("doc_date")).alias("t"), "requested_qty", "revenue_cents")
+    n = max(tables.tasks(tables.table(spark, sf_dir, "lineitem")), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = sold.repartition(n, "sku").groupBy("branch", "sku", "t").agg(F.sum("requested_qty").alias("qty"), F.sum("revenue_cents").alias("turnover_cents"))
+    series = sums.groupBy("branch", "sku").agg(F.collect_list(F.struct("t", "qty", "turnover_cents")).alias("months"))
+    part = tables.table(spark, sf_dir, "part").groupBy(F.col("p_partkey").alias("sku"), F.concat_ws(" ", "p_brand", "p_type").alias("item")).agg(F.count(F.lit(1)).alias("times"))
+    items = part.groupBy("sku").agg(F.collect_list(F.struct("item", "times")).alias("items"))  # one, but for keys that repeat
+    months = F.flatten(F.transform("items", lambda i: F.transform("months", lambda m: F.struct(i["item"].alias("item"), m.t.alias("t"), (m.qty * i.times).alias("qty"), (m.turnover_cents * i.times).alias("turnover_cents")))))
+    return jobs.kept(series.join(recode.sorted_join(items), "sku").select("branch", "sku", months.alias("months")), "codes")
 
 
 @register(using("dn", "SELECT * FROM found", codes=_CODES, life=_LIFE, best=_BEST, found=_FOUND))

@@ -158,14 +158,15 @@ def _merges(spark, sf_dir):
 def relabelled_months(spark, sf_dir):
     """Months with re-coded products' rows under their live code."""
     codes, merges = _merges(spark, sf_dir)
-    months = codes.select("branch", "sku", "item", F.col("t").alias("period"), "qty", "turnover_cents", F.when(F.col("t") % 5 != 0, F.col("qty") * 3).alias("profit_cents"))
+    profit = lambda m: F.when(m.t % 5 != 0, m.qty * 3)
+    months = codes.withColumn("months", F.transform("months", lambda m: F.struct(m["item"].alias("item"), m.t.alias("period"), m.qty.alias("qty"), m.turnover_cents.alias("turnover_cents"), profit(m).alias("profit_cents"))))
     return reports.relabelled(months, merges).withColumnRenamed("period", "t")
 
 
 @register("WITH RECURSIVE " + using("dn", """SELECT c.sku AS old, m.new, arg_min(c.item, (c.t, c.branch, c.item)) AS item, COUNT(DISTINCT c.branch) AS branches, CAST(SUM(c.qty) AS BIGINT) AS units FROM codes c JOIN merges m ON m.branch = c.branch AND m.old = c.sku GROUP BY c.sku, m.new""", **_RECODED)[5:])
 def recode_report(spark, sf_dir):
     codes, merges = _merges(spark, sf_dir)
-    return reports.merge_report(codes.drop("period").withColumnRenamed("t", "period"), merges)
+    return reports.merge_report(codes.withColumn("months", F.transform("months", lambda m: F.struct(m["item"].alias("item"), m.t.alias("period"), m.qty.alias("qty")))), merges)
 
 
 _ALIASES = "SELECT old, arg_min(new, (-n, new)) AS new FROM (SELECT old, new, COUNT(*) AS n FROM merges GROUP BY ALL) GROUP BY old"
@@ -174,7 +175,7 @@ _ALIASES = "SELECT old, arg_min(new, (-n, new)) AS new FROM (SELECT old, new, CO
 @register("WITH RECURSIVE " + using("dn", "SELECT COALESCE(a.new, c.sku) AS sku, CAST(SUM(c.qty) AS BIGINT) AS qty FROM codes c LEFT JOIN aliases a ON a.old = c.sku GROUP BY 1", **_RECODED, aliases=_ALIASES)[5:])
 def aliased_sales(spark, sf_dir):
     codes, merges = _merges(spark, sf_dir)
-    return reports.aliased(codes.select("sku", "qty"), recode.aliases(merges)).groupBy("sku").agg(F.sum("qty").alias("qty"))
+    return reports.aliased(codes.select("sku", recode.total(F.col("months"), "qty").alias("qty")), recode.aliases(merges)).groupBy("sku").agg(F.sum("qty").alias("qty"))
 
 
 @register("""WITH p AS (SELECT 'P' || p_partkey AS sku, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_partkey ELSE '' END AS item FROM part), q AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'p' || s_suppkey WHEN 1 THEN 'OLD' || s_suppkey WHEN 2 THEN (SELECT MIN(item) FROM p)

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfline.operators import files
-from shelfline.plans import entry_queries, file_queries, report_queries, stream_queries
+from shelfline.plans import allocation_queries, entry_queries, file_queries, report_queries, stream_queries
 from shelfline.streaming import jobs
 
 
@@ -63,3 +63,22 @@ def test_weeks_of_the_training_set_do_not_move(spark, sf_dir, capsys):
     report_queries.weekly_training_set(spark, sf_dir).explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin [branch_id" not in plan and plan.count("Window [lead") == 0
+
+
+def test_recoded_histories_read_lines_once(spark, sf_dir, capsys):
+    """Lines were joined anew for codes, shares, names and months; whole months moved with each join."""
+    frame = report_queries.relabelled_months(spark, sf_dir)
+    assert scans(frame, "lineitem", capsys) == 0
+    frame.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 5
+
+
+def test_codes_of_keys_that_repeat(spark, sf_dir, tmp_path):
+    """Each row of a part counts for its lines, as in the join; codes are made before parts are met."""
+    for name in ("region", "nation", "customer", "orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part.unionByName(part.filter("p_partkey % 7 = 0")).write.parquet(str(tmp_path / "part.parquet"))
+    units = lambda folder: {r.sku: r.qty for r in allocation_queries._codes(spark, folder).select("sku", F.inline("months")).groupBy("sku").agg(F.sum("qty").alias("qty")).collect()}
+    once, twice = units(sf_dir), units(str(tmp_path))
+    assert once and twice == {sku: qty * (2 if sku % 7 == 0 else 1) for sku, qty in once.items()}
