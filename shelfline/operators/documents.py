@@ -3,10 +3,14 @@ laid out by the boxes of words."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parsed_date
@@ -94,54 +98,175 @@ def from_cells(rows: DataFrame) -> DataFrame:
     return files.document_lines(lines.filter(real), once=False).join(labelled(rows, heads), "file", "left")
 
 
-def _middle(values: Column) -> Column:
-    return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
-
-
-def lines_of_words(words: DataFrame) -> DataFrame:
-    """words (file, page, text, x0, x1, top, bottom) with `line`: a word within reach of a line's first top, in points or
-    pixels as the page's words are high, belongs to it. The words of a page are collected."""
-    height, named = F.col("bottom") - F.col("top"), [c for c in words.columns if c not in ("file", "page")]
-    pages = words.groupBy("file", "page").agg(F.collect_list(F.struct(*named)).alias("w"), F.sort_array(F.collect_set("top")).alias("tops"), F.collect_list(F.when(height > 0, height)).alias("heights"))
-    reach = F.greatest(F.lit(LEAST_REACH), REACH * F.coalesce(_middle(F.col("heights")), F.lit(10.0)))
-    begin = F.aggregate("tops", F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.get(a, F.size(a) - 1) > F.col("reach")), F.concat(a, F.array(t))).otherwise(a))
-    each = pages.withColumn("reach", reach).select("file", "page", begin.alias("begins"), F.explode("w").alias("w")).select("file", "page", *(f"w.{c}" for c in named), "begins")
-    return each.withColumn("line", F.size(F.filter("begins", lambda b: b <= F.col("top")))).drop("begins")
-
-
-def lines_with_columns(placed: DataFrame) -> DataFrame:
-    """file, page, line, its words (x0, text, middle) and the bounds between columns: half way between the middles of a
-    header's words. Lines of a page up to its header go; a page without a header goes on with the columns of the page before."""
-    text, middle = _plain(F.col("text")), (F.col("x0") + F.col("x1")) / 2
-    order = F.struct("top", "x0")
-    has = lambda t: F.max(F.contains(text, F.lit(t)))
-    at = lambda label: F.min_by(middle, F.when(text.startswith(label), order)).alias(label)
-    said = F.collect_list(F.struct("x0", F.trim("text").alias("text"), middle.alias("middle"))).alias("words")
-    lines = placed.groupBy("file", "page", "line").agg((has("req.") & has("description") & (has("sent") | has("qty"))).alias("head"), *map(at, ("item", "req", "desc", "sent", "rec")), said)
-    good = F.col("head") & F.col("item").isNotNull() & F.col("req").isNotNull() & F.col("desc").isNotNull()
-    head = F.min(F.when(good, F.struct("line", "item", "req", "desc", "sent", "rec"))).over(Window.partitionBy("file", "page"))
-    lines = lines.select("file", "page", "line", "words", head.alias("head"))
-    lines = lines.withColumn("h", F.last("head", True).over(Window.partitionBy("file").orderBy("page"))).filter("h IS NOT NULL")  # lines of a document
-    sent, far = F.col("h.sent"), F.lit(1e9)
-    return lines.filter(F.col("line") > F.coalesce("head.line", F.lit(0))).select(
-        "file", "page", "line", "words", ((F.col("h.item") + F.col("h.req")) / 2).alias("b1"), ((F.col("h.req") + F.col("h.desc")) / 2).alias("b2"),
-        ((F.col("h.desc") + F.coalesce(sent, F.col("h.desc") + 200)) / 2).alias("b3"), F.when(sent.isNull(), far).otherwise((sent + F.coalesce("h.rec", far)) / 2).alias("b4"),
-    )
+#: What words of a header contain, and what those over its columns begin with; bits of a number in this order.
+_HOLD, _BEGIN = (("req.",), ("description",), ("sent", "qty")), ("item", "req", "desc", "sent", "rec")
+_MAY = "|".join(t.replace(".", r"\.") for some in (*_HOLD, _BEGIN) for t in some)
+#: Words of a task that are laid out at once, whole pages.
+WORDS_AT_ONCE = 100_000
+_PARTS = ("sku", "requested", "description", "sent")
+
+
+def lines_of_words(words: DataFrame, tasks: int | None = None) -> DataFrame:
+    """file, page, line and the texts under each column (sku, requested, description, sent) of words (file, page, text, x0, x1,
+    top, bottom). A word within reach of a line's first top, in points or pixels as the page's words are high, belongs to it.
+    Bounds between columns are half way between the middles of a header's words, and a word lies before the first bound that
+    is to the right of its middle. Lines of a page up to its header go, as do lines without a code; a page without a header goes
+    on with the columns of the page before. Words move once, to where their file is; a worker holds whole pages, some 100,000
+    words or one page at a time."""
+    number = lambda c: F.col(c).cast("double")
+    whole = words.filter((F.trim("text") != "") & F.col("file").isNotNull() & F.col("page").isNotNull())
+    whole = whole.select("file", F.col("page").cast("long").alias("page"), "text", number("x0").alias("x0"), ((number("x0") + number("x1")) / 2).alias("middle"), number("top").alias("top"), (number("bottom") - number("top")).alias("height"))
+    # a number sorts faster than a name; what files share by chance is told apart later
+    whole = whole.withColumn("at", F.xxhash64("file"))
+    near = (whole.repartition(tasks, "at") if tasks else whole.repartition("at")).sortWithinPartitions("at", "page")
+    ready = near.select("at", "file", "page", F.trim("text").alias("text"), "x0", "middle", "top", "height")
+    return ready.mapInArrow(_laid_out, "file string, page long, line int, sku string, requested string, description string, sent string")
+
+
+@lru_cache(10_000)
+def _bits(text: str) -> int:
+    """What of _HOLD and _BEGIN a word says."""
+    plain = text.lower().lstrip(" \t\n\v\f\r")
+    said = [any(t in plain for t in some) for some in _HOLD] + [plain.startswith(t) for t in _BEGIN]
+    return sum(1 << i for i, s in enumerate(said) if s)
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n, limit, heads = [], 0, WORDS_AT_ONCE, {}
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n < limit:
+            continue
+        table = pa.Table.from_batches(held)
+        at, page = table["at"].to_numpy(), table["page"].to_numpy()
+        whole = n - int(((at == at[-1]) & (page == page[-1])).sum())  # the last page may go on
+        if whole:
+            yield from _lines(table.slice(0, whole), heads)
+        held, n = table.slice(whole).combine_chunks().to_batches(), n - whole
+        limit = max(WORDS_AT_ONCE, 2 * n)
+    if n:
+        yield from _lines(pa.Table.from_batches(held), heads)
+
+
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and which are null."""
+    return column.to_numpy(), column.is_null().to_numpy()
+
+
+def _begins(tops: list[float], first: np.ndarray, end: np.ndarray, reach: np.ndarray) -> list[int]:
+    """Where lines begin: tops are in order within each page (first to end), and a line is what is within reach of its first."""
+    found = []
+    for i, stop, far in zip(first.tolist(), end.tolist(), reach.tolist()):
+        while i < stop:
+            found.append(i)
+            begin = tops[i]
+            j = bisect_right(tops, begin + far, i + 1, stop)
+            # sums and differences may round apart
+            while j < stop and not tops[j] - begin > far:
+                j += 1
+            while j > i + 1 and tops[j - 1] - begin > far:
+                j -= 1
+            i = j
+    return found
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _lines(table: pa.Table, heads: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
+    """The lines of whole pages. heads: the last header of each file that may go on, which is brought up to date."""
+    named = table["file"].combine_chunks().dictionary_encode()
+    (top, no_top), (x0, no_x0), (height, _), (middle, _) = (_numbers(table[c]) for c in ("top", "x0", "height", "middle"))
+    code, page = named.indices.to_numpy(), table["page"].to_numpy()
+    # nulls come first, and what is no number last
+    top, x0 = (np.where(none, -np.inf, np.where(np.isnan(v), np.inf, v)) for v, none in ((top, no_top), (x0, no_x0)))
+    order = np.lexsort((x0, top, page, code))
+    code, page, top, x0, no_top, height, middle = (v[order] for v in (code, page, top, x0, no_top, height, middle))
+    texts = table["text"].combine_chunks()
+    bits, may = np.zeros(len(order), np.int64), pc.match_substring_regex(texts, _MAY, ignore_case=True).to_numpy(zero_copy_only=False)
+    bits[may] = [_bits(t) for t in texts.filter(may).to_pylist()]
+    bits = bits[order]
+
+    starts = _runs(code, page)
+    ends = np.append(starts[1:], len(order))
+    of_page = np.repeat(np.arange(len(starts)), ends - starts)
+    high = height > 0
+    tall = np.lexsort((height[high], of_page[high]))
+    of_tall, tall = of_page[high][tall], height[high][tall]
+    reach = np.full(len(starts), 10.0)
+    if len(tall):
+        begin = _runs(of_tall)
+        reach[of_tall[begin]] = tall[begin + np.diff(np.append(begin, len(tall))) // 2]
+    reach = np.maximum(LEAST_REACH, REACH * reach)
+    new = np.zeros(len(order), np.int64)
+    new[_begins(top.tolist(), starts + np.add.reduceat(no_top, starts, dtype=np.int64), ends, reach)] = 1
+    line = np.cumsum(new)
+    line -= (line - new)[starts][of_page]  # words without a top are in line 0
+
+    # headers
+    rows = _runs(of_page, line)
+    of_row = np.repeat(np.arange(len(rows)), np.diff(np.append(rows, len(order))))
+    good = (np.bitwise_or.reduceat(bits, rows) & 0b111) == 0b111
+    places = np.full((len(_BEGIN), len(rows)), np.nan)
+    for i, place in enumerate(places):
+        said = np.flatnonzero((bits >> (i + len(_HOLD)) & 1).astype(bool) & good[of_row])
+        row, first = np.unique(of_row[said], return_index=True)
+        place[row] = middle[said[first]]
+    good &= ~np.isnan(places[:3]).any(axis=0)
+    of_head, first = np.unique(of_page[rows[good]], return_index=True)
+    columns, head_line = np.full((len(_BEGIN), len(starts)), np.nan), np.zeros(len(starts), np.int64)
+    columns[:, of_head], head_line[of_head] = places[:, good][:, first], line[rows[good]][first]
+    has = np.zeros(len(starts), bool)
+    has[of_head] = True
+    file_of = code[starts]
+    last = np.maximum.accumulate(np.where(has, np.arange(len(starts)), -1))
+    known = (last >= 0) & (file_of[last] == file_of)
+    columns = np.where(known, columns[:, last], np.nan)
+    for i in np.flatnonzero(~known & np.isin(file_of, [i for i, f in enumerate(named.dictionary.to_pylist()) if f in heads])) if heads else ():
+        columns[:, i], known[i] = heads[named.dictionary[int(file_of[i])].as_py()], True
+    goes_on = table["at"].to_numpy()[order][starts] == table["at"][-1].as_py()
+    after = {named.dictionary[int(file_of[i])].as_py(): tuple(columns[:, i]) for i in np.flatnonzero(goes_on & known)}
+    heads.clear()
+    heads.update(after)
+
+    # columns
+    item, req, desc, sent, rec = columns
+    far = 1e9
+    bounds = np.stack([(item + req) / 2, (req + desc) / 2, (desc + np.where(np.isnan(sent), desc + 200, sent)) / 2, np.where(np.isnan(sent), far, (sent + np.where(np.isnan(rec), far, rec)) / 2)])
+    inside = np.flatnonzero(known[of_page] & (line > head_line[of_page]))
+    before = middle[inside] < bounds[:, of_page[inside]]
+    place = np.where(before.any(axis=0), before.argmax(axis=0), len(bounds))
+    wanted = np.unique(of_row[inside[place == 0]])  # without a code there is no line
+    out = {}
+    for i, name in enumerate(_PARTS):
+        mine = inside[place == i]
+        mine = mine[np.isin(of_row[mine], wanted)]
+        mine = mine[np.lexsort((x0[mine], of_row[mine]))]
+        same = np.flatnonzero((of_row[mine][1:] == of_row[mine][:-1]) & (x0[mine][1:] == x0[mine][:-1]))
+        if len(same):  # equal places go by text
+            for part in np.split(same, np.flatnonzero(np.diff(same) != 1) + 1):
+                span = slice(part[0], part[-1] + 2)
+                mine[span] = sorted(mine[span], key=lambda w: (texts[int(order[w])].as_py().encode(), middle[w]))
+        offsets = np.searchsorted(of_row[mine], np.append(wanted, len(rows))).astype(np.int32)
+        out[name] = pc.binary_join(pa.ListArray.from_arrays(offsets, texts.take(order[mine])), " " if name == "description" else "")
+    at = rows[wanted]
+    yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(code[at])), pa.array(page[at]), pa.array(line[at].astype(np.int32)), *out.values()], ["file", "page", "line", *out])
+
+
+def lines_with_columns(lines: DataFrame) -> DataFrame:
+    """file, row and the texts of the lines that have a product's code in its column."""
+    coded = lines.filter(F.col("sku").rlike(SKU))
+    return coded.select("file", (F.col("page") * 1_000_000 + F.col("line")).alias("row"), *_PARTS)
 
 
-def from_words(words: DataFrame) -> DataFrame:
+def from_words(words: DataFrame, tasks: int | None = None) -> DataFrame:
     """Lines of dispatch notes from the words of their pages: file, row, sku, description, requested_qty, sent_qty. Words go
     to the column in whose interval their middle lies, and what has no code or no positive request is no line. Empty words
-    and pages before the first header count for nothing; of equal codes and requests of a file the first stays."""
-    whole = words.filter((F.trim("text") != "") & F.col("file").isNotNull() & F.col("page").isNotNull()).withColumns({c: F.col(c).cast("double") for c in ("x0", "x1", "top", "bottom")})
-    lines = lines_with_columns(lines_of_words(whole.repartition("file")))  # words move once, all else is within a file
-    bounds = ["b1", "b2", "b3", "b4"]
-
-    def text(place: int, between: str, name: str) -> Column:
-        """The words that lie before this bound and before none of those to its left, from left to right."""
-        inside = lambda w: reduce(and_, (w.middle >= F.col(b) for b in bounds[:place]), w.middle < F.col(bounds[place]))
-        return F.array_join(F.transform(F.sort_array(F.filter("words", inside)), lambda w: w.text), between).alias(name)
-
-    lines = lines.select("file", "page", "line", text(0, "", "sku"), text(1, "", "requested"), text(2, " ", "description"), text(3, "", "sent"))
-    lines = lines.filter(F.col("sku").rlike(SKU)).withColumn("row", F.col("page").cast("long") * 1_000_000 + F.col("line"))
-    return files.document_lines(lines.select("file", "row", "sku", "description", "requested", "sent"))
+    and pages before the first header count for nothing; of equal codes and requests of a file the first stays. tasks: how
+    many the words are dealt to, where that is known."""
+    return files.document_lines(lines_with_columns(lines_of_words(words, tasks)))

@@ -10,6 +10,8 @@ from ..sources import tables
 from .registry import register
 from .views import using
 
+#: Tasks of words for one of lines, which have nine each.
+WORD_TASKS = 3
 _SENT = "CASE WHEN k = 2 THEN requested_qty WHEN line_no % 3 = 0 THEN 0 WHEN line_no % 3 = 1 THEN requested_qty ELSE requested_qty // 2 END"
 
 
@@ -63,4 +65,5 @@ def documents_from_words(spark, sf_dir):
     )
     head = begun.select(F.concat(F.lit("note"), text("dn_no")).alias("file"), F.lit(1).cast("long").alias("page"), F.lit(120.0).alias("y"), F.explode(top).alias("w"))
     words = body.unionByName(head).select("file", "page", "w.text", "w.x0", "w.x1", (F.col("y") + F.col("w.lift")).alias("top"), (F.col("y") + F.col("w.lift") + 10).alias("bottom"))
-    return documents.from_words(words)
+    tasks = WORD_TASKS * tables.tasks(tables.table(spark, sf_dir, "lineitem"))
+    return documents.from_words(words, max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))

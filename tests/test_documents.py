@@ -1,6 +1,9 @@
 """Headers, labels and laid-out words on small documents."""
 
 import datetime
+import random
+
+import pyarrow as pa
 
 from shelfline.operators import documents
 
@@ -50,3 +53,38 @@ def test_words_move_once(spark):
     found = documents.from_words(words)
     assert {(r.file, r.sku, r.description, r.requested_qty, r.sent_qty) for r in found.collect()} == {("f", "AB1-X", "a thing", 4, 2), ("f", "AB2-X", "a thing", 5, 2)}
     assert "Join" not in documents.lines_with_columns(documents.lines_of_words(words))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_laid_out_in_one_pass(spark):
+    """Words were sorted and collected for pages, lines, headers and files in turn."""
+    words = spark.createDataFrame([], WORDS)
+    plan = documents.from_words(words)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_pages_and_headers_go_on_over_batches(monkeypatch):
+    """Files a and b are told apart though their numbers are the same; a header goes on to the next pages of its file only."""
+    rng, rows = random.Random(3), []
+    word = lambda at, file, page, text, x, top: rows.append((at, file, page, text, float(x), x + 5.0, top, 10.0))
+    for at, file, pages in ((1, "a", range(1, 9)), (1, "b", range(1, 9)), (2, "c", (1, 4, 5)), (3, "d", (1,))):
+        for page in pages:
+            shift = 30 if page >= 4 else 0  # the columns of the second header are further to the right
+            if page in (1, 4) and file != "d" or (file, page) == ("b", 6):
+                for text, x in (("Item", 0), ("REQ.", 100), ("Description", 200), ("Sent", 300)):
+                    word(at, file, page, text, x + shift, 10.0)
+            for line in range(3):
+                for text, x in ((f"{file.upper()}{page}", 0), (f"-{line}", 20), (str(line + 1), 95), ("y", 190), ("z", 190), ("x", 210), ("1", 295)):
+                    word(at, file, page, text, x + shift, 40.0 + 20 * line + rng.choice([0, 3, 5.5]))
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: (r[0], r[2]))
+    table = pa.table(dict(zip(("at", "file", "page", "text", "x0", "middle", "top", "height"), map(list, zip(*rows)))))
+
+    def laid_out(size):
+        monkeypatch.setattr(documents, "WORDS_AT_ONCE", size)
+        return sorted(tuple(r.values()) for b in documents._laid_out(iter(table.to_batches(max_chunksize=max(1, size // 3)))) for r in b.to_pylist())
+
+    want = sorted((f, p, n + (2 if p in (1, 4) or (f, p) == ("b", 6) else 1), f"{f.upper()}{p}-{n}", str(n + 1), "y z x", "1") for f, pages in (("a", range(1, 9)), ("b", range(1, 9)), ("c", (1, 4, 5))) for p in pages for n in range(3))
+    assert laid_out(100_000) == want
+    for size in (1, 20, 50, 120):
+        assert laid_out(size) == want
+    assert list(documents._laid_out(iter([]))) == []
